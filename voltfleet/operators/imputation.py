@@ -36,9 +36,9 @@ def fold_gaps(values: np.ndarray, history: deque) -> np.ndarray:
     line = np.concatenate([np.fromiter(history, float), values])
     offset = len(history)
     for i in np.flatnonzero(np.isnan(line)):
-        before = line[max(0, i - depth) : i]
-        if len(before):
-            line[i] = mean_of(before.tolist())
+        before = [x for x in line[max(0, i - depth) : i].tolist() if x == x]
+        if before:
+            line[i] = mean_of(before)
     for value in line[offset:][-depth:]:
         if not np.isnan(value):
             history.append(float(value))

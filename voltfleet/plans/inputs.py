@@ -53,7 +53,7 @@ FIELDS: dict[str, dict[str, str]] = {
         "aggregate_power_factor": "0.47e0 + k / 185.0e0",
     },
     "market": {
-        "electricity_buy_price_inr": "CASE WHEN k >= 10 THEN power_kw / 10 END",
+        "electricity_buy_price_inr": "CASE WHEN k >= 10 THEN power_kw END",
         "electricity_sell_price_inr": "power_kw * 0.07e0",
         "grid_frequency_hz": "47.9e0 + k * 0.045e0",
     },

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltfleet import schemas as S
+from voltfleet.functions.timeparts import parse_iso
 from voltfleet.operators import validation
 from voltfleet.plans.history import IMPUTED_SQL
 from voltfleet.plans.inputs import T_SQL, Inputs
@@ -19,7 +20,8 @@ EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING,
 
 
 def event_stream(i: Inputs) -> DataFrame:
-    return i.project(i.spark.readStream.schema(EVENTS).parquet(f"{i.sf_dir}/events.parquet"))
+    # As a pattern the path may be one file or a folder of files.
+    return i.project(i.spark.readStream.schema(EVENTS).parquet(f"{i.sf_dir}/[e]vents.parquet"))
 
 
 def _frozen_sql() -> str:
@@ -100,7 +102,8 @@ def stream_dedupe(i: Inputs) -> DataFrame:
 def dlq_replay(i: Inputs) -> DataFrame:
     """Failed market messages, written as dead letters, some torn, and replayed as a stream."""
     folder = scratch_path(i.spark, "letters")
-    payload = F.to_json(F.struct("site_id", "seq", "time", (F.col("power_kw") / 10).alias("price")))
+    stamp = F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("time")
+    payload = F.to_json(F.struct("site_id", "seq", stamp, (F.col("power_kw") / 10).alias("price")))
     failed = i.t().filter("asset_id = 'grid_market'").withColumn("payload", payload)
     letters = messages.dead_letters(
         failed.withColumn("topic", F.lit("telemetry.market")), F.lit("broker away"), i.now, keep=["k"]
@@ -108,8 +111,9 @@ def dlq_replay(i: Inputs) -> DataFrame:
     torn = F.when(F.col("k") < 95, F.col("value")).otherwise(F.concat(F.lit("{bad"), "value"))
     messages.append_lines(letters.select(torn.alias("value")), folder)
     good, _ = messages.parse_envelopes(messages.stream_lines(i.spark, folder))
-    schema = "site_id bigint, seq bigint, time timestamp, price double"
+    schema = "site_id bigint, seq bigint, time string, price double"
     rows = good.select(F.from_json("payload", schema).alias("p")).select("p.*")
+    rows = rows.withColumn("time", parse_iso(F.col("time")))
     out = scratch_path(i.spark, "replayed")
     writer = rows.writeStream.format("parquet").option("path", out)
     writer = writer.option("checkpointLocation", scratch_path(i.spark, "checkpoint"))
