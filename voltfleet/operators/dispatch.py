@@ -9,6 +9,7 @@ grids of ever smaller step around the best path so far lead to the optimum.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -34,8 +35,8 @@ class Battery:
     rate: float = S.BATTERY_KW
     efficiency: float = S.BATTERY_EFF
     sell_ratio: float = S.SELL_RATIO
-    step: float = 25.0
-    finest: float = 0.05
+    step: float = 100.0
+    finest: float = 0.01
 
     def cost(self, change, net_load, price):
         """Cost of one hour in which the stored energy moves by ``change``; infinite beyond the rate limits."""
@@ -76,33 +77,59 @@ class Battery:
         close = total <= best[..., None] + 1e-7
         return np.where(close, moved, np.inf).argmin(axis=-1), best
 
-    def grid(self) -> np.ndarray:
-        return np.linspace(self.low, self.high, round((self.high - self.low) / self.step) + 1)
+    def grid_path(self, start, net_load, price):
+        """Cheapest walk on the even grid of levels; all levels share the cost of a move."""
+        runs, hours = net_load.shape
+        count = round((self.high - self.low) / self.step) + 1
+        levels = self.low + self.step * np.arange(count)
+        down = math.floor(self.rate / self.efficiency / self.step + 1e-9)
+        up = math.floor(self.rate * self.efficiency / self.step + 1e-9)
+        # Small moves first: the first of equally cheap ones is taken.
+        moves = np.array(sorted(range(-down, up + 1), key=abs))
+        target = np.arange(count)[:, None] + moves
+        target = np.where((target >= 0) & (target < count), target, count)  # the last column costs infinity
+        move_cost = self.cost(moves * self.step, net_load[:, :, None], price[:, :, None])
+        ahead = np.zeros((runs, count + 1))
+        ahead[:, count] = np.inf
+        choices = np.zeros((hours, runs, count), dtype=np.int32)
+        for t in range(hours - 1, 0, -1):
+            total = ahead[:, target]
+            total += move_cost[:, t, None, :]
+            pick = total.argmin(axis=-1)
+            choices[t] = target[np.arange(count), pick]
+            ahead[:, :count] = np.take_along_axis(total, pick[:, :, None], axis=-1)[:, :, 0]
+        change = levels - start[:, None]
+        first = self.cost(change, net_load[:, :1], price[:, :1]) + ahead[:, :count]
+        pick, best = self._cheapest(first, np.abs(change))
+        path, each = np.empty((runs, hours)), np.arange(runs)
+        for t in range(hours):
+            if t:
+                pick = choices[t, each, pick]
+            path[:, t] = levels[pick]
+        return path, best
 
     def solve(self, start, net_load, price, refine: bool = True):
-        runs, hours = net_load.shape
-        coarse = np.broadcast_to(self.grid(), (runs, hours, len(self.grid())))
-        path, cost = self.best_path(start, coarse, net_load, price)
+        path, cost = self.grid_path(start, net_load, price)
         step = self.step
         while refine and step > self.finest:
             step /= 2
-            for _ in range(2):
+            gain = np.inf
+            while gain > 1e-6:
                 around = np.clip(path[:, :, None] + _NEAR * step, self.low, self.high)
-                path, cost = self.best_path(start, around, net_load, price)
+                path, better = self.best_path(start, around, net_load, price)
+                gain = np.max(np.where(np.isfinite(cost), cost - better, 0.0), initial=0.0)
+                cost = better
         return path, cost
 
 
 def _solve_batches(batches: Iterator[pd.DataFrame], keys: list[str], battery: Battery, refine: bool):
     for batch in batches:
-        hours = batch["hours"].map(len)
-        for length, same in batch.groupby(hours, sort=False):
-            # 65 x 65 moves per run and hour: a few hundred runs at a time keep the arrays small.
+        for _, same in batch.groupby(batch["price"].map(len), sort=False):
+            # Some thousand moves per run and hour: a few hundred runs at a time keep the arrays small.
             for first in range(0, len(same), 256):
                 part = same.iloc[first : first + 256]
-                net = np.array([[h["net_load"] for h in run] for run in part["hours"]], dtype=float)
-                price = np.array([[h["price"] for h in run] for run in part["hours"]], dtype=float)
-                start = part["start_kwh"].to_numpy(dtype=float)
-                path, cost = battery.solve(start, net.reshape(-1, length), price.reshape(-1, length), refine)
+                net, price = np.stack(part["net_load"].to_list()), np.stack(part["price"].to_list())
+                path, cost = battery.solve(part["start_kwh"].to_numpy(dtype=float), net, price, refine)
                 solved = np.isfinite(cost)
                 yield part[keys].assign(path=list(path), cost=cost)[solved]
 
@@ -116,7 +143,10 @@ def _solved(forecast: DataFrame, starts: DataFrame, keys, battery: Battery, refi
     start_keys = [k for k in keys if k in starts.columns]
     runs = runs.join(starts, start_keys, "left")
     runs = runs.withColumn("start_kwh", F.coalesce("start_kwh", F.lit(S.BATTERY_KWH / 2)))
-    slim = runs.select(*keys, "start_kwh", F.transform("hours", lambda h: h.dropFields("time")).alias("hours"))
+    slim = runs.select(*keys, "start_kwh", "hours.net_load", "hours.price")
+    # Solving is heavy work on few bytes, so the task count is set here and not left to be coalesced.
+    tasks = int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slim = slim.repartition(tasks, *keys)
     schema = T.StructType(
         [slim.schema[k] for k in keys]
         + [T.StructField("path", T.ArrayType(T.DoubleType())), T.StructField("cost", T.DoubleType())]

@@ -41,23 +41,27 @@ def _numeric() -> Iterator[tuple[str, int, S.Field]]:
             yield topic, slot, field
 
 
+def _text_schema() -> str:
+    """Every field of every topic as text: one unreadable field must not void the others."""
+    names = dict.fromkeys(["timestamp"])
+    for spec in S.TOPICS.values():
+        names |= dict.fromkeys([f.name for f in spec.numeric] + [n for n in (spec.label, spec.flag, spec.nested) if n])
+    return ", ".join(f"{n} string" for n in names)
+
+
 def decode(messages: DataFrame) -> DataFrame:
     """Typed fields of every known topic; numeric text is coerced, unknown fields are dropped.
 
     Adds ``time``, the slots, ``flag_in``, ``weather_source``, ``breakdown`` and
     ``bad_fields``: the fields that were sent but could not be read.
     """
-    raw = messages.withColumn("_raw", F.from_json("payload", "map<string,string>"))
-    sent = lambda name: F.col("_raw").getItem(name)
+    raw = messages.withColumn("_raw", F.from_json("payload", _text_schema()))
+    sent = lambda name: F.col(f"_raw.{name}")
 
     def slot(i: int) -> Column:
         value = by_topic(lambda t: sent(t.numeric[i].name) if i < len(t.numeric) else None)
         return value.try_cast("double")
 
-    unread = [
-        F.when((F.col("topic") == topic) & sent(f.name).isNotNull() & F.col(S.SLOTS[i]).isNull(), f.name)
-        for topic, i, f in _numeric()
-    ]
     flag_sent = by_topic(lambda t: sent(t.flag) if t.flag else None)
     nested_sent = by_topic(lambda t: sent(t.nested) if t.nested else None)
     decoded = (
@@ -67,12 +71,14 @@ def decode(messages: DataFrame) -> DataFrame:
         .withColumn("weather_source", by_topic(lambda t: sent(t.label) if t.label else None))
         .withColumn("breakdown", F.from_json(nested_sent, _BREAKDOWN))
     )
-    unread += [
-        F.when(sent("timestamp").isNotNull() & F.col("time").isNull(), "timestamp"),
-        F.when(flag_sent.isNotNull() & F.col("flag_in").isNull(), FLAG),
-        F.when(nested_sent.isNotNull() & F.col("breakdown").isNull(), "breakdown"),
-    ]
-    return decoded.withColumn("bad_fields", F.array_compact(F.array(*unread))).drop("_raw")
+
+    def unread(t: S.Topic) -> Column:
+        pairs = [(f.name, S.SLOTS[i]) for i, f in enumerate(t.numeric)] + [("timestamp", "time")]
+        pairs += [(t.flag, "flag_in")] if t.flag else []
+        pairs += [(t.nested, "breakdown")] if t.nested else []
+        return F.array(*[F.when(sent(name).isNotNull() & F.col(value).isNull(), name) for name, value in pairs])
+
+    return decoded.withColumn("bad_fields", F.array_compact(F.coalesce(by_topic(unread), F.array()))).drop("_raw")
 
 
 def fill_defaults(decoded: DataFrame) -> DataFrame:
@@ -85,9 +91,7 @@ def fill_defaults(decoded: DataFrame) -> DataFrame:
 
 
 def _out_of_range(field: S.Field, value: Column) -> Column:
-    outside = F.isnan(value) & F.lit(field.low is not None)
-    if field.low is not None:
-        outside = outside | (value < field.low)
+    outside = F.isnan(value) | (value < field.low)
     if field.high is not None:
         outside = outside | (value > field.high)
     return outside
@@ -95,25 +99,22 @@ def _out_of_range(field: S.Field, value: Column) -> Column:
 
 def reject_reasons(decoded: DataFrame) -> DataFrame:
     """Add ``reasons``: why the fields that are there cannot be accepted. Missing numbers are not listed."""
-    known = F.col("topic").isin(*S.TOPICS)
-    ranges = [
-        F.when((F.col("topic") == topic) & _out_of_range(f, F.col(S.SLOTS[i])), f"{f.name}: out of range")
-        for topic, i, f in _numeric()
-    ]
-    needs_nested = F.col("topic").isin(*[n for n, t in S.TOPICS.items() if t.nested])
-    reasons = F.array_compact(
-        F.array(
-            F.when(~F.coalesce(known, F.lit(False)), "topic: unknown"),
-            F.when(F.col("time").isNull() & ~F.array_contains("bad_fields", "timestamp"), "timestamp: missing"),
-            F.when(
-                needs_nested & F.col("breakdown").isNull() & ~F.array_contains("bad_fields", "breakdown"),
-                "breakdown: missing",
-            ),
-            *ranges,
-        )
-    )
+
+    def absent(value: str, name: str) -> Column:
+        return F.when(F.col(value).isNull() & ~F.array_contains("bad_fields", name), f"{name}: missing")
+
+    def faults(t: S.Topic) -> Column:
+        ranges = [
+            F.when(_out_of_range(f, F.col(S.SLOTS[i])), f"{f.name}: out of range")
+            for i, f in enumerate(t.numeric)
+            if f.low is not None
+        ]
+        nested = [absent("breakdown", t.nested)] if t.nested else []
+        return F.array(absent("time", "timestamp"), *nested, *ranges)
+
     unread = F.transform("bad_fields", lambda f: F.concat(f, F.lit(": not readable")))
-    return decoded.withColumn("reasons", F.concat(unread, reasons))
+    found = F.coalesce(by_topic(faults), F.array(F.lit("topic: unknown")))
+    return decoded.withColumn("reasons", F.concat(unread, F.array_compact(found)))
 
 
 def present_ok() -> Column:

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voltfleet.session import spread
+
 ASSET_SQL = (
     "CASE event_type WHEN 'click' THEN 'solar_pv' WHEN 'view' THEN 'wind_turbine' "
     "WHEN 'purchase' THEN 'battery_bank' WHEN 'error' THEN 'campus_aggregate' ELSE 'grid_market' END"
@@ -241,7 +243,7 @@ class Inputs:
 
     def messages(self, t: DataFrame | None = None) -> DataFrame:
         """One JSON message per event, ``(site_id, topic, seq, payload)``; some numbers are sent as text."""
-        t = self.t() if t is None else t
+        t = spread(self.t()) if t is None else t
         stamp = F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
         stamp = F.when(~F.expr(NO_TIMESTAMP), stamp).alias("timestamp")
         payload = F

@@ -197,7 +197,7 @@ def _move(change: str, net: str = "net", price: str = "price") -> str:
     h AS (SELECT site_id, created_at, demand - solar - wind AS net, price,
       row_number() OVER (PARTITION BY site_id, created_at ORDER BY time) AS i,
       count(*) OVER (PARTITION BY site_id, created_at) AS n FROM forecast),
-    l AS (SELECT 200 + 25.0e0 * g AS level FROM range(0, 65) r(g)),
+    l AS (SELECT 200 + 50.0e0 * g AS level FROM range(0, 33) r(g)),
     d AS (
       SELECT h.site_id, h.created_at, h.i, h.n, l.level, {_move('l.level - coalesce(s0, 1000)')} AS cost
       FROM h LEFT JOIN starts USING (site_id), l
@@ -211,8 +211,8 @@ def _move(change: str, net: str = "net", price: str = "price") -> str:
     SELECT site_id, created_at, round(min(cost), 4) AS cost FROM d WHERE i = n GROUP BY 1, 2""",
 )
 def dispatch_cost(i: Inputs) -> DataFrame:
-    """Least cost of every run on the 25 kWh grid of levels."""
-    costs = dispatch.optimal_cost(i.forecast(), starts(i), RUN, refine=False)
+    """Least cost of every run on a 50 kWh grid of levels."""
+    costs = dispatch.optimal_cost(i.forecast(), starts(i), RUN, dispatch.Battery(step=50.0), refine=False)
     return costs.select(*RUN, F.round("cost", 4).alias("cost"))
 
 

@@ -53,6 +53,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Share out the rows of a few big file splits before work that is heavy per row; many splits stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def max_series_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(MAX_SERIES_ROWS, str(DEFAULT_MAX_SERIES_ROWS)))
 
