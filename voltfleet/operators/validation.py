@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltfleet import schemas as S
+from voltfleet.functions.once import with_columns_once
 from voltfleet.functions.timeparts import parse_iso
 from voltfleet.operators import series
 from voltfleet.operators.series import Series
@@ -55,7 +56,7 @@ def decode(messages: DataFrame) -> DataFrame:
     Adds ``time``, the slots, ``flag_in``, ``weather_source``, ``breakdown`` and
     ``bad_fields``: the fields that were sent but could not be read.
     """
-    raw = messages.withColumn("_raw", F.from_json("payload", _text_schema()))
+    raw = with_columns_once(messages, {"_raw": F.from_json("payload", _text_schema())})
     sent = lambda name: F.col(f"_raw.{name}")
 
     def slot(i: int) -> Column:
@@ -64,12 +65,15 @@ def decode(messages: DataFrame) -> DataFrame:
 
     flag_sent = by_topic(lambda t: sent(t.flag) if t.flag else None)
     nested_sent = by_topic(lambda t: sent(t.nested) if t.nested else None)
-    decoded = (
-        raw.withColumn("time", parse_iso(sent("timestamp")))
-        .withColumns({name: slot(i) for i, name in enumerate(S.SLOTS)})
-        .withColumn("flag_in", flag_sent.try_cast("boolean"))
-        .withColumn("weather_source", by_topic(lambda t: sent(t.label) if t.label else None))
-        .withColumn("breakdown", F.from_json(nested_sent, _BREAKDOWN))
+    decoded = with_columns_once(
+        raw,
+        {
+            "time": parse_iso(sent("timestamp")),
+            **{name: slot(i) for i, name in enumerate(S.SLOTS)},
+            "flag_in": flag_sent.try_cast("boolean"),
+            "weather_source": by_topic(lambda t: sent(t.label) if t.label else None).cast("string"),
+            "breakdown": F.from_json(nested_sent, _BREAKDOWN),
+        },
     )
 
     def unread(t: S.Topic) -> Column:
@@ -114,7 +118,7 @@ def reject_reasons(decoded: DataFrame) -> DataFrame:
 
     unread = F.transform("bad_fields", lambda f: F.concat(f, F.lit(": not readable")))
     found = F.coalesce(by_topic(faults), F.array(F.lit("topic: unknown")))
-    return decoded.withColumn("reasons", F.concat(unread, F.array_compact(found)))
+    return with_columns_once(decoded, {"reasons": F.concat(unread, F.array_compact(found))})
 
 
 def present_ok() -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltfleet import schemas as S
+from voltfleet.functions.once import with_columns_once
 from voltfleet.operators.validation import topic_key
 
 _CORRUPT = "_corrupt"
@@ -18,7 +19,7 @@ def parse_envelopes(lines: DataFrame, line: str = "value") -> tuple[DataFrame, D
     """
     schema = f"timestamp string, topic string, error string, payload string, {_CORRUPT} string"
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
-    parsed = lines.withColumn("_m", F.from_json(line, schema, options))
+    parsed = with_columns_once(lines, {"_m": F.from_json(line, schema, options)})
     bad = F.col(f"_m.{_CORRUPT}").isNotNull() | F.col("_m.topic").isNull() | F.col("_m.payload").isNull()
     bad = F.coalesce(bad, F.lit(True))
     rest = [c for c in lines.columns if c != line]

@@ -57,7 +57,10 @@ def _advance(pdf: pd.DataFrame, history: list[deque]) -> pd.DataFrame:
 
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     # A micro-batch is bounded by the source's rate limit; its rows come unordered.
-    rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
+    parts = list(batches)
+    rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+    if not rows["seq"].is_monotonic_increasing:
+        rows = rows.sort_values("seq", kind="stable")
     stored = state.get if state.exists else [[]] * _WIDTH
     history = [deque(values, maxlen=S.FREEZE_WINDOW) for values in stored]
     known = key[-1] in S.TOPICS
