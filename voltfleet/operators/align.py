@@ -11,6 +11,7 @@ from voltfleet.functions import physics
 from voltfleet.functions.timeparts import cyclic
 from voltfleet.operators import joins, ordered, series
 from voltfleet.operators.aggregates import keep_first
+from voltfleet.operators.series import Series
 
 #: Aligned column: (asset, telemetry column).
 ASSET_COLUMNS = {
@@ -73,10 +74,10 @@ def align_topics(lake: DataFrame, keys=("site_id", "time"), order=("seq",)) -> D
     )
 
 
-def filled(aligned: DataFrame, keys=("site_id",), order=("time",), max_rows: int | None = None) -> DataFrame:
+def filled(aligned: DataFrame, keys=("site_id",), order=("time",), max_rows: int | None = None) -> Series:
     """Forward fill, back fill, then 0, over every measured column."""
     columns = [c for c in aligned.columns if c not in (*keys, *order)]
-    return ordered.fill_chain(series.lay_out(aligned, keys, order, max_rows), columns).rows()
+    return ordered.fill_chain(series.lay_out(aligned, keys, order, max_rows), columns)
 
 
 def with_weather(rows: DataFrame, weather: DataFrame, keys=("site_id",), max_rows: int | None = None) -> DataFrame:
@@ -88,8 +89,12 @@ def with_weather(rows: DataFrame, weather: DataFrame, keys=("site_id",), max_row
     return joined.drop("time", "_n", "matched_time").withColumnRenamed("_time", "time")
 
 
-def features(frame: DataFrame, keys=("site_id",), order=("time",), max_rows: int | None = None) -> DataFrame:
-    """Cyclic time, physics, lag and rolling columns. Weather that is absent counts as 0."""
+def features(s: Series) -> Series:
+    """Cyclic time, physics, lag and rolling columns. Weather that is absent counts as 0.
+
+    Works on the layout of the filled rows, so fills and lags share one shuffle.
+    """
+    frame, order = s.df, s.order
     for column in WEATHER_COLUMNS:
         value = F.col(column) if column in frame.columns else F.lit(None).cast("double")
         frame = frame.withColumn(column, F.coalesce(value, F.lit(0.0)))
@@ -101,4 +106,4 @@ def features(frame: DataFrame, keys=("site_id",), order=("time",), max_rows: int
         }
     )
     lagged = [c for c in LAGGED if c in frame.columns]
-    return ordered.lag_features(series.lay_out(frame, keys, order, max_rows), lagged).rows()
+    return ordered.lag_features(s.on(frame), lagged)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
@@ -60,6 +61,15 @@ def fit(train: DataFrame, target: str, boosting_rounds: int = 100, trees: int =
     return pipeline.fit(train.select(spec.actual, *spec.inputs))
 
 
+def fit_all(train: DataFrame, targets: Iterable[str] = TARGETS, boosting_rounds=100, trees=50) -> dict[str, Model]:
+    """One model per target, over all sites. The rows are kept at hand while the models pass over them."""
+    rows = train.persist()
+    try:
+        return {t: fit(rows, t, boosting_rounds, trees) for t in targets}
+    finally:
+        rows.unpersist()
+
+
 def split_sites(frame: DataFrame, keys=("site_id",), order=("time",), max_rows: int | None = None) -> DataFrame:
     """Chronological 80/20 split per site; sites with fewer than ten rows are left out."""
     return ordered.chrono_split(series.lay_out(frame, keys, order, max_rows), minimum=MIN_ROWS).rows()
@@ -69,17 +79,13 @@ def train_all(
     frame: DataFrame, keys=("site_id",), order=("time",), targets=tuple(TARGETS), boosting_rounds=100, trees=50
 ) -> tuple[dict[str, Model], DataFrame]:
     """Fit one model per target over all sites; returns the models and the metrics per site and target."""
-    parts = split_sites(frame, keys, order).persist()
-    try:
-        train = parts.filter("part in ('train', 'both')")
-        models = {t: fit(train, t, boosting_rounds, trees) for t in targets}
-        sizes = parts.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("dataset_size"),
-            F.count_if(F.col("part") != "test").alias("train_samples"),
-        )
-        return models, evaluate(parts.filter("part in ('test', 'both')"), models, keys).join(sizes, list(keys))
-    finally:
-        parts.unpersist()
+    parts = split_sites(frame, keys, order)
+    models = fit_all(parts.filter("part in ('train', 'both')"), targets, boosting_rounds, trees)
+    sizes = parts.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("dataset_size"),
+        F.count_if(F.col("part") != "test").alias("train_samples"),
+    )
+    return models, evaluate(parts.filter("part in ('test', 'both')"), models, keys).join(sizes, list(keys))
 
 
 def score(rows: DataFrame, models: dict[str, Model]) -> DataFrame:

@@ -64,10 +64,20 @@ class Series:
         return self.df.drop(CHUNK) if self.split else self.df
 
 
-def lay_out(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int | None = None) -> Series:
-    """Choose the layout for ``df``. ``keys + order`` must be unique and free of nulls."""
+def lay_out(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    max_rows: int | None = None,
+    counted: DataFrame | None = None,
+) -> Series:
+    """Choose the layout for ``df``. ``keys + order`` must be unique and free of nulls.
+
+    ``counted`` may name a cheaper frame with the same rows per key, such as the
+    messages that ``df`` was decoded from.
+    """
     limit = max_rows or max_series_rows(df.sparkSession)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    sizes = (df if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     longest, total = sizes.agg(F.max("n"), F.sum("n")).first()
     if (longest or 0) <= limit:
         return Series(df, tuple(keys), tuple(order))

@@ -107,8 +107,9 @@ f AS (
 
 
 def accepted_series(i: Inputs, keys):
-    rows = fill_defaults(decode(i.messages())).drop("payload")
-    judged = accept(lay_out(rows, keys, ["seq"]))
+    sent = i.messages()
+    rows = fill_defaults(decode(sent)).drop("payload")
+    judged = accept(lay_out(rows, keys, ["seq"], counted=sent))
     return judged.on(judged.df.filter("accepted").drop("reasons", "bad_fields", "accepted"))
 
 

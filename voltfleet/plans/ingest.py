@@ -31,8 +31,9 @@ def decoded(i: Inputs) -> DataFrame:
 
 
 def accepted(i: Inputs, keys=tuple(TOPIC)) -> DataFrame:
-    rows = validation.fill_defaults(decoded(i)).drop("payload")
-    return validation.accept(lay_out(rows, keys, ["seq"])).rows()
+    sent = i.messages()
+    rows = validation.fill_defaults(validation.decode(sent)).drop("payload")
+    return validation.accept(lay_out(rows, keys, ["seq"], counted=sent)).rows()
 
 
 @query(
@@ -138,8 +139,9 @@ _FREEZE_SQL = "\n OR ".join(
 def flatline(i: Inputs) -> DataFrame:
     """Readings of coarse sensors (steps of 40), so that some stand still."""
     coarse = {v: (F.floor(F.col(v) / 40) * 40).cast("double") for v in S.SLOTS}
-    rows = decoded(i).withColumns(coarse).select("topic", "seq", *S.SLOTS)
-    return validation.frozen(lay_out(rows, TOPIC, ["seq"])).rows().select("topic", "seq", "frozen")
+    sent = i.messages()
+    rows = validation.decode(sent).withColumns(coarse).select("topic", "seq", *S.SLOTS)
+    return validation.frozen(lay_out(rows, TOPIC, ["seq"], counted=sent)).rows().select("topic", "seq", "frozen")
 
 
 def clean_present(i: Inputs) -> DataFrame:

@@ -30,7 +30,7 @@ def frame(i: Inputs) -> DataFrame:
         "wind_speed_ms": F.sqrt("wind_power_kw") * 1.5,
         "cloud_cover": F.least(F.col("battery_power_kw"), F.lit(100.0)),
     }
-    return align.features(whole.withColumns(weather))
+    return align.features(whole.on(whole.df.withColumns(weather))).rows()
 
 
 _FILLED = """coalesce(last_value({c} IGNORE NULLS) OVER b, first_value({c} IGNORE NULLS) OVER f, 0) AS {c}"""
@@ -78,13 +78,12 @@ def feature_vectors(i: Inputs) -> DataFrame:
 
 
 def _trained(i: Inputs, target: str) -> DataFrame:
-    rows = frame(i).persist()
-    model = forecasting.fit(rows, target, ROUNDS, TREES)
+    rows = frame(i)
+    model = forecasting.fit_all(rows, [target], ROUNDS, TREES)[target]
     spec = forecasting.TARGETS[target]
-    scored = model.transform(rows).select(
+    return model.transform(rows).select(
         "site_id", "time", F.col(spec.actual).alias("actual"), F.col(f"{target}_hat").alias("predicted")
     )
-    return scored
 
 
 @query("forecast_gbt")
@@ -159,8 +158,8 @@ def horizon_grid(i: Inputs) -> DataFrame:
 
 @query("forecast_24h")
 def forecast_24h(i: Inputs) -> DataFrame:
-    rows = frame(i).persist()
-    models = {t: forecasting.fit(rows, t, ROUNDS, TREES) for t in forecasting.TARGETS}
+    rows = frame(i)
+    models = forecasting.fit_all(rows, forecasting.TARGETS, ROUNDS, TREES)
     coming = forecasting.horizon(rows.groupBy("site_id").agg(F.max("time").alias("time"))).drop("step")
     # The coming day's weather repeats the hour's mean over the site's past.
     past = rows.groupBy("site_id", F.hour("time").alias("_h")).agg(*[F.avg(c).alias(c) for c in align.WEATHER_COLUMNS])

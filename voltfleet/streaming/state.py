@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from voltfleet import schemas as S
+from voltfleet.functions.once import with_columns_once
 from voltfleet.operators import validation
 from voltfleet.operators.imputation import mean_of
 from voltfleet.session import ship_package
@@ -37,22 +37,23 @@ def _is_frozen(topic: str, history: list[deque]) -> bool:
     return False
 
 
-def _advance(pdf: pd.DataFrame, history: list[deque]) -> pd.DataFrame:
-    """Run the rows of one series through its history."""
-    width = len(S.TOPICS[pdf["topic"].iat[0]].numeric)
-    values = pdf[list(S.SLOTS)].to_numpy(dtype=float, copy=True)
-    accepted, frozen = np.zeros(len(pdf), bool), np.zeros(len(pdf), bool)
-    topic = pdf["topic"].iat[0]
-    for i, ok in enumerate(pdf["_ok"].tolist()):
-        gaps = np.flatnonzero(np.isnan(values[i, :width]))
-        if not ok or (len(gaps) and not history[0]):
-            continue
-        for slot in gaps:
-            values[i, slot] = mean_of(list(history[slot])[-S.IMPUTE_WINDOW :])
-        for slot in range(width):
-            history[slot].append(float(values[i, slot]))
-        accepted[i], frozen[i] = True, _is_frozen(topic, history[:width])
-    return pdf.assign(**dict(zip(S.SLOTS, values.T)), accepted=accepted, frozen=frozen).drop(columns="_ok")
+def _advance(rows: pd.DataFrame, topic: str, history: list[deque]) -> tuple[list, list, list]:
+    """Run the rows of one series through its history: values, accepted, frozen."""
+    width = len(S.TOPICS[topic].numeric)
+    results, accepted, frozen = [], [], []
+    for sent, ok in zip(rows["values"].tolist(), rows["ok"].tolist()):
+        values = [float(v) for v in sent[:width]]
+        gaps = [slot for slot, v in enumerate(values) if v != v]
+        good = ok and not (gaps and not history[0])
+        if good:
+            for slot in gaps:
+                values[slot] = mean_of(list(history[slot])[-S.IMPUTE_WINDOW :])
+            for slot, v in enumerate(values):
+                history[slot].append(v)
+        results.append(values)
+        accepted.append(good)
+        frozen.append(good and _is_frozen(topic, history[:width]))
+    return results, accepted, frozen
 
 
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -63,10 +64,13 @@ def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
         rows = rows.sort_values("seq", kind="stable")
     stored = state.get if state.exists else [[]] * _WIDTH
     history = [deque(values, maxlen=S.FREEZE_WINDOW) for values in stored]
-    known = key[-1] in S.TOPICS
-    result = _advance(rows, history) if known else rows.assign(accepted=False, frozen=False).drop(columns="_ok")
+    if key[-1] in S.TOPICS:
+        values, accepted, frozen = _advance(rows, key[-1], history)
+    else:
+        values, accepted, frozen = rows["values"].tolist(), False, False
     state.update(tuple(list(h) for h in history))
-    yield result
+    out = {name: rows[name].to_numpy() for name in rows.columns if name not in ("values", "ok")}
+    yield pd.DataFrame(out | {"values": values, "accepted": accepted, "frozen": frozen})
 
 
 def judged(messages: DataFrame, keys=("site_id", "topic")) -> DataFrame:
@@ -78,14 +82,45 @@ def judged(messages: DataFrame, keys=("site_id", "topic")) -> DataFrame:
     """
     ship_package(messages.sparkSession)
     decoded = validation.fill_defaults(validation.decode(messages))
-    rows = validation.reject_reasons(decoded).withColumn("_ok", validation.present_ok())
-    rows = rows.withColumn("breakdown", F.to_json("breakdown")).withColumn("reasons", F.array_join("reasons", "; "))
-    rows = rows.drop("bad_fields")
+    rows = validation.reject_reasons(decoded).drop("bad_fields")
+    rows = rows.withColumn("reasons", F.array_join("reasons", "; "))
+    # Each column costs time per series, so what the state does not need crosses to Python as one text.
+    fixed = [*dict.fromkeys([*keys, "topic", "seq"])]
+    rest = [f for f in rows.schema.fields if f.name not in (*fixed, *S.SLOTS)]
+    nan = F.lit(float("nan"))
+    slim = rows.select(
+        *fixed,
+        F.array(*[F.coalesce(v, nan) for v in S.SLOTS]).alias("values"),
+        (F.col("reasons") == "").alias("ok"),
+        F.to_json(F.struct(*[_as_text(f) for f in rest]), {"ignoreNullFields": "true"}).alias("rest"),
+    )
     out = T.StructType(
-        [f for f in rows.schema.fields if f.name != "_ok"]
-        + [T.StructField("accepted", T.BooleanType()), T.StructField("frozen", T.BooleanType())]
+        [slim.schema[c] for c in (*fixed, "rest")]
+        + [
+            T.StructField("values", T.ArrayType(T.DoubleType())),
+            T.StructField("accepted", T.BooleanType()),
+            T.StructField("frozen", T.BooleanType()),
+        ]
     )
-    stepped = rows.groupBy(*keys).applyInPandasWithState(_step, out, STATE, "append", GroupStateTimeout.NoTimeout)
-    flagged = stepped.withColumn(validation.FLAG, validation.outlier() | F.col("frozen"))
-    nested = F.from_json("breakdown", "map<string, struct<active_power_kw: double>>")
-    return flagged.withColumn("breakdown", nested).drop("frozen", "flag_in")
+    stepped = slim.groupBy(*keys).applyInPandasWithState(_step, out, STATE, "append", GroupStateTimeout.NoTimeout)
+    carried = T.StructType([_text_field(f) for f in rest])
+    unpacked = with_columns_once(stepped, {"rest": F.from_json("rest", carried)})
+    slots = {v: F.nanvl(F.get("values", i), F.lit(None).cast("double")) for i, v in enumerate(S.SLOTS)}
+    back = {f.name: _from_text(f) for f in rest}
+    flat = unpacked.withColumns(slots | back).drop("rest", "values")
+    return flat.withColumn(validation.FLAG, validation.outlier() | F.col("frozen")).drop("frozen", "flag_in")
+
+
+def _as_text(field: T.StructField):
+    column = F.col(field.name)
+    return (F.unix_micros(column) if isinstance(field.dataType, T.TimestampType) else column).alias(field.name)
+
+
+def _text_field(field: T.StructField) -> T.StructField:
+    micros = isinstance(field.dataType, T.TimestampType)
+    return T.StructField(field.name, T.LongType() if micros else field.dataType)
+
+
+def _from_text(field: T.StructField):
+    column = F.col(f"rest.{field.name}")
+    return F.timestamp_micros(column) if isinstance(field.dataType, T.TimestampType) else column
