@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from voltfleet import schemas as S
 from voltfleet.functions import flows
 from voltfleet.functions.timeparts import minute_label
+from voltfleet.operators.aggregates import recent
 from voltfleet.session import ship_package
 
 MAX_HOURS = 48
@@ -134,10 +135,15 @@ def _solve_batches(batches: Iterator[pd.DataFrame], keys: list[str], battery: Ba
                 yield part[keys].assign(path=list(path), cost=cost)[solved]
 
 
+def _bounded(forecast: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row more than a run may have is enough to refuse it; the rest is never collected."""
+    return recent(forecast, keys, ["time"], MAX_HOURS + 1)
+
+
 def _solved(forecast: DataFrame, starts: DataFrame, keys, battery: Battery, refine: bool) -> DataFrame:
     ship_package(forecast.sparkSession)
     hour = F.struct("time", (F.col("demand") - F.col("solar") - F.col("wind")).alias("net_load"), "price")
-    runs = forecast.groupBy(*keys).agg(F.array_sort(F.collect_list(hour)).alias("hours"))
+    runs = _bounded(forecast, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(hour)).alias("hours"))
     too_long = F.raise_error(F.lit(f"a forecast run holds more than {MAX_HOURS} hours"))
     runs = runs.withColumn("hours", F.when(F.size("hours") > MAX_HOURS, too_long).otherwise(F.col("hours")))
     start_keys = [k for k in keys if k in starts.columns]
@@ -173,7 +179,7 @@ def schedule(
     start_keys = [k for k in keys if k in starts.columns]
     first = F.coalesce("start_kwh", F.lit(S.BATTERY_KWH / 2))
     levels = solved.join(starts, start_keys, "left").select(*keys, F.concat(F.array(first), "path").alias("level"))
-    hours = forecast.groupBy(*keys).agg(
+    hours = _bounded(forecast, keys).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("time", "demand", "solar", "wind", "price"))).alias("hours")
     )
     rows = levels.join(hours, list(keys)).select(*keys, "level", F.posexplode("hours").alias("i", "h"))

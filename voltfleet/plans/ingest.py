@@ -11,7 +11,7 @@ from voltfleet.operators.aggregates import keep_first
 from voltfleet.operators.series import lay_out
 from voltfleet.plans.inputs import BUILDING_SHARES, JUDGED_SQL, MESSAGES_SQL, T_SQL, Inputs
 from voltfleet.plans.registry import query
-from voltfleet.session import scratch_path
+from voltfleet.session import scratch_path, spread
 from voltfleet.sources import export, lake, messages, weather
 
 M = f"WITH {T_SQL}, {MESSAGES_SQL}"
@@ -226,7 +226,7 @@ _TICK = {
 
 def ticks(i: Inputs) -> DataFrame:
     """Every event as a wide record of all five topics."""
-    return i.t().select(
+    return spread(i.t()).select(
         "site_id",
         "seq",
         "time",
@@ -308,9 +308,9 @@ def lake_align(i: Inputs) -> DataFrame:
       k / 3.6e0 AS wind_speed_ms, k * 1.0e0 AS cloud_cover, power_kw + power_kw AS irradiance_wm2 FROM t""",
 )
 def arrays_zip_explode(i: Inputs) -> DataFrame:
-    """A feed of parallel arrays per site and day, read back as rows."""
+    """A feed of parallel arrays per site, at most a thousand readings each, read back as rows."""
     t = i.t().withColumn("k", F.col("k").cast("double"))
-    packed = t.groupBy("site_id", F.to_date("time")).agg(
+    packed = t.groupBy("site_id", F.floor(F.col("seq") / 1000)).agg(
         F.array_sort(F.collect_list(F.struct("time", "seq", "power_kw", "k"))).alias("r")
     )
     stamps = F.transform("r", lambda x: F.date_format(x["time"], "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
