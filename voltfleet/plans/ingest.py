@@ -16,7 +16,7 @@ from voltfleet.sources import export, lake, messages, weather
 
 M = f"WITH {T_SQL}, {MESSAGES_SQL}"
 J = f"{M}, {JUDGED_SQL}"
-#: The reference rule: one series per topic.
+#: One series per topic, over all sites: each holds a fifth of the messages.
 TOPIC = ["topic"]
 
 ACCEPTED_SQL = """
