@@ -1,9 +1,14 @@
 """Queries of the operators over the given tables, and the SQL of those that SQL can express."""
 
-from voltfleet.llm import packing, token_counts
+from voltfleet.llm import fingerprints, mixing, packing, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op6_fingerprints": fingerprints.op6_fingerprints,
+    "op9_mixing": mixing.op9_mixing,
     "op10_packing": packing.op10_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_fingerprints": fingerprints.ORACLE,
+    "op9_mixing": mixing.ORACLE,
+}
