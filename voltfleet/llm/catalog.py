@@ -1,11 +1,12 @@
 """Queries of the operators over the given tables, and the SQL of those that SQL can express."""
 
-from voltfleet.llm import fingerprints, jaccard, mixing, packing, token_counts, url_filters
+from voltfleet.llm import fingerprints, jaccard, mixing, packing, suffix_dedup, token_counts, url_filters
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op3_url_filters": url_filters.op3_url_filters,
     "op4_ngram_jaccard_join": jaccard.op4_ngram_jaccard_join,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op9_mixing": mixing.op9_mixing,
     "op10_packing": packing.op10_packing,
