@@ -1,9 +1,10 @@
 """Queries of the operators over the given tables, and the SQL of those that SQL can express."""
 
-from voltfleet.llm import fingerprints, jaccard, mixing, packing, suffix_dedup, token_counts, url_filters
+from voltfleet.llm import fingerprints, jaccard, language_id, mixing, packing, suffix_dedup, token_counts, url_filters
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_language_id": language_id.op2_language_id,
     "op3_url_filters": url_filters.op3_url_filters,
     "op4_ngram_jaccard_join": jaccard.op4_ngram_jaccard_join,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
@@ -14,6 +15,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op3_url_filters": url_filters.ORACLE,
     "op4_ngram_jaccard_join": jaccard.ORACLE,
+    "op5_suffix_dedup": suffix_dedup.ORACLE,
     "op6_fingerprints": fingerprints.ORACLE,
     "op9_mixing": mixing.ORACLE,
 }

@@ -508,3 +508,21 @@ def decoded(kept: Column) -> Column:
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = deduplicated(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+ORACLE = """
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+starts AS (SELECT doc_id, n, h, unnest(range(0, n, 400)) AS base FROM texts),
+blocks AS (SELECT doc_id, n, base, h[2 * base + 1 : 2 * base + 1000] AS h FROM starts),
+places AS (SELECT doc_id, n, base, h, unnest(range(least(400, n - base))) AS j FROM blocks),
+strings AS (SELECT doc_id, n, base + j AS i, h[2 * j + 1 : 2 * j + 2] AS x,
+                   CASE WHEN base + j + 100 <= n THEN md5(h[2 * j + 1 : 2 * j + 200]) END AS k FROM places),
+marked AS (SELECT *, CASE WHEN k IS NOT NULL THEN row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1 ELSE false END AS again FROM strings),
+covered AS (SELECT *, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM marked),
+turns AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM covered),
+sums AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans,
+         coalesce(string_agg(x, '' ORDER BY i) FILTER (NOT gone), '') AS rest FROM turns GROUP BY doc_id)
+SELECT t.doc_id, CAST(t.n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(rest, ''))) AS kept_sha256 FROM texts t LEFT JOIN sums s ON s.doc_id = t.doc_id
+"""
