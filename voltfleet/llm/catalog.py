@@ -1,6 +1,6 @@
 """Queries of the operators over the given tables, and the SQL of those that SQL can express."""
 
-from voltfleet.llm import fingerprints, jaccard, language_id, mixing, packing, suffix_dedup, token_counts, url_filters
+from voltfleet.llm import fingerprints, jaccard, language_id, mixing, packing, quality_rules, suffix_dedup, token_counts, toxicity, url_filters
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -9,6 +9,8 @@ QUERIES = {
     "op4_ngram_jaccard_join": jaccard.op4_ngram_jaccard_join,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_fingerprints": fingerprints.op6_fingerprints,
+    "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_mixing": mixing.op9_mixing,
     "op10_packing": packing.op10_packing,
 }
