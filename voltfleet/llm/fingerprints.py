@@ -48,9 +48,7 @@ def as_text(sketch: Column) -> Column:
 
 
 def from_text(text: Column) -> Column:
-    n = (F.length(text) / DIGITS).cast("int")
-    empty = F.array().cast("array<string>")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.substring(text, i * DIGITS + 1, DIGITS))).otherwise(empty)
+    return F.regexp_extract_all(text, F.lit(f".{{{DIGITS}}}"), 0)
 
 
 def merge(a: Column, b: Column, k: int = K) -> Column:
@@ -60,8 +58,16 @@ def merge(a: Column, b: Column, k: int = K) -> Column:
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
     """Shared part of the merged sketch: an estimate of intersection over union."""
-    shared = F.size(F.array_intersect(merge(a, b, k), F.array_intersect(a, b)))
-    return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(shared.cast("double") / F.greatest(F.size(merge(a, b, k)), F.lit(1)))
+
+    def of(x: Column) -> Column:
+        union, both = x["union"], x["both"]
+        size = F.least(F.size(union), F.lit(k))
+        shared = F.size(F.filter(both, lambda h: h <= F.element_at(union, size)))
+        return F.when(F.size(union) > 0, shared.cast("double") / size).otherwise(1.0)
+
+    # One-element transform: the merged and the common hashes are computed once and named.
+    merged = F.struct(F.array_sort(F.array_union(a, b)).alias("union"), F.array_intersect(a, b).alias("both"))
+    return F.element_at(F.transform(F.array(merged), of), 1)
 
 
 def distinct_count(sketch: Column, k: int = K) -> Column:
@@ -122,16 +128,21 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower(F.hex("sketch")).alias("fingerprint"),
         F.lower(F.hex("next_sketch")).alias("next_fingerprint"),
     )
-    sketched = text.select("*", as_text(fingerprint(F.col("edited"))).alias("edited_fingerprint"))
-    own = from_text(F.col("fingerprint"))
+    # Behind a generator the sketches are computed once, however often they are used.
+    sketches = F.struct(
+        from_text(F.col("fingerprint")).alias("own"),
+        from_text(F.col("next_fingerprint")).alias("following"),
+        fingerprint(F.col("edited")).alias("changed"),
+    )
+    sketched = text.select("*", F.inline(F.array(sketches)))
     return sketched.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         "fingerprint",
-        "edited_fingerprint",
-        resemblance(own, from_text(F.col("edited_fingerprint"))).alias("near_edited"),
-        resemblance(own, from_text(F.col("next_fingerprint"))).alias("near_next"),
+        as_text(F.col("changed")).alias("edited_fingerprint"),
+        resemblance(F.col("own"), F.col("changed")).alias("near_edited"),
+        resemblance(F.col("own"), F.col("following")).alias("near_next"),
     )
 
 
