@@ -289,8 +289,8 @@ def cross_pairs(tiles: DataFrame, nodes: DataFrame, groups: DataFrame, shuffles:
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def linked(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n, node) of all documents, and for each node its own least id, and its group's."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     described = common.written(describe(docs), "described")
@@ -310,12 +310,47 @@ def linked(docs: DataFrame) -> DataFrame:
         more = common.written(exact(docs, crossed), "links")
         groups = components(links.union(more))
     named = nodes.join(groups, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
-    least_id = named.groupBy(F.col("component").alias("c")).agg(F.min("low").alias("component_id"))
-    named = named.join(least_id, F.col("component") == F.col("c")).select(F.col("node").alias("own"), "component_id")
+    least_id = named.groupBy(F.col("component").alias("c")).agg(F.min("low").alias("component_id"), F.min(F.struct("low", "node")).alias("head"))
+    named = named.join(least_id, F.col("component") == F.col("c"))
+    return rows, named.select(F.col("node").alias("own"), "component_id", (F.col("head.node") == F.col("node")).alias("heads"))
+
+
+def linked(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document."""
+    rows, named = _grouped(docs)
     out = rows.join(named, F.col("node") == F.col("own"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One document of each group, that with the least id; documents without shingles stay. All columns are kept.
+
+    Only ids and sets are shuffled to find the groups; the documents themselves then meet their verdict by a key of id and
+    text, and of rows that agree in both, one stays.
+    """
+    rows, named = _grouped(docs)
+    heads = rows.join(named.filter("heads"), F.col("node") == F.col("own"))
+    # A node's least id; texts that differ in white space or case can share a node and even an id.
+    chosen = heads.groupBy("node").agg(F.min("doc_id").alias("jac_id"))
+    keyed = node_keys(docs)
+    named_rows = keyed.join(chosen, F.col("jac_node") == F.col("node"), "left")
+    first = named_rows.filter((F.col("jac_node").isNull()) | (F.col("node").isNotNull() & F.col("doc_id").eqNullSafe(F.col("jac_id"))))
+    single = first.filter("jac_node is not null").dropDuplicates(["jac_node"])
+    return first.filter("jac_node is null").unionByName(single).select(docs.columns)
+
+
+def node_keys(docs: DataFrame) -> DataFrame:
+    """Add ``jac_node``, the name of each document's shingle set; null for none."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.batches(rows):
+            sets = text_shingles(batch.column("text").to_pylist())
+            yield batch.append_column("jac_node", pa.array([_node(s) if len(s) else None for s in sets], pa.int64()))
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{ddl}, jac_node bigint")
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(common.table(spark, sf_dir, "documents"))
 

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltfleet.llm import bpe, common
@@ -476,12 +476,12 @@ def _keep(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums.append(hashlib.sha256(rest).hexdigest())
             kept.append(rest)
         new = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sums), pa.array(kept, pa.binary())]
-        yield pa.record_batch([*batch.columns[:3], *new], [*batch.schema.names[:3], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        yield pa.record_batch([*batch.columns[:4], *new], [*batch.schema.names[:4], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, carried: list[str] | None = None) -> DataFrame:
     """A row per document: d and row (its id, null as the least number, and the hash of its text), doc_id, n_bytes, n_removed,
-    n_spans, kept_sha256 and kept (the remaining bytes)."""
+    n_spans, kept_sha256, kept (the remaining bytes) and, as fields of ``more``, columns that are only carried along."""
     spark = docs.sparkSession
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     texts = docs.select("doc_id", d.alias("d"), F.xxhash64("text").alias("row"), common.text_or_empty().alias("text"))
@@ -492,17 +492,32 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     placed = texts.join(_by_key(marks), ["d", "row"]).select("d", "row", "text", "parts")
     around = placed.mapInArrow(_surroundings(shuffles), "to int, rows binary, texts binary").repartition(shuffles, "to")
     gone = around.mapInArrow(_removed, "d bigint, row bigint, part binary")
-    both = texts.join(_by_key(gone), ["d", "row"], "left").select("doc_id", "d", "row", "text", "parts")
-    return both.mapInArrow(_keep, "doc_id bigint, d bigint, row bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    more = F.struct(*[F.col(c) for c in carried]) if carried else F.lit(None).cast("boolean")
+    whole = docs.select("doc_id", d.alias("d"), F.xxhash64("text").alias("row"), common.text_or_empty().alias("text"), more.alias("more"))
+    both = whole.join(_by_key(gone), ["d", "row"], "left").select("doc_id", "d", "row", "more", "text", "parts")
+    kind = both.schema["more"].dataType.simpleString()
+    return both.mapInArrow(
+        _keep, f"doc_id bigint, d bigint, row bigint, more {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
+    )
 
 
 def _by_key(parts: DataFrame) -> DataFrame:
     return parts.groupBy("d", "row").agg(F.collect_list("part").alias("parts"))
 
 
-def decoded(kept: Column) -> Column:
-    """Remaining bytes as text; a character cut in two loses its rest."""
-    return F.decode(kept, "UTF-8")
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The documents with what is left of their texts; all columns stay. A character that a cut would split goes whole."""
+    carried = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = deduplicated(docs, carried)
+
+    def decode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            texts = pa.array([k.decode("utf-8", "ignore") for k in batch.column("kept").to_pylist()], pa.string())
+            yield batch.set_column(batch.schema.get_field_index("kept"), "kept", texts)
+
+    named = out.select("doc_id", "kept", *[F.col(f"more.{c}").alias(c) for c in carried])
+    ddl = ", ".join(f"`{f.name}` {'string' if f.name == 'kept' else f.dataType.simpleString()}" for f in named.schema.fields)
+    return named.mapInArrow(decode, ddl).withColumnRenamed("kept", "text").select(docs.columns)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
