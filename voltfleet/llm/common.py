@@ -48,9 +48,9 @@ def lower_ascii(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower()
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays of one length as one compressed value; :func:`unpack` needs their types."""
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
 def unpack(value: bytes, *kinds: str) -> list[np.ndarray]:

@@ -312,7 +312,7 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = nodes.join(groups, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
     least_id = named.groupBy(F.col("component").alias("c")).agg(F.min("low").alias("component_id"), F.min(F.struct("low", "node")).alias("head"))
     named = named.join(least_id, F.col("component") == F.col("c"))
-    return rows, named.select(F.col("node").alias("own"), "component_id", (F.col("head.node") == F.col("node")).alias("heads"))
+    return rows, named.select(F.col("node").alias("own"), "low", "component_id", (F.col("head.node") == F.col("node")).alias("heads"))
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -328,15 +328,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Only ids and sets are shuffled to find the groups; the documents themselves then meet their verdict by a key of id and
     text, and of rows that agree in both, one stays.
     """
-    rows, named = _grouped(docs)
-    heads = rows.join(named.filter("heads"), F.col("node") == F.col("own"))
-    # A node's least id; texts that differ in white space or case can share a node and even an id.
-    chosen = heads.groupBy("node").agg(F.min("doc_id").alias("jac_id"))
-    keyed = node_keys(docs)
-    named_rows = keyed.join(chosen, F.col("jac_node") == F.col("node"), "left")
-    first = named_rows.filter((F.col("jac_node").isNull()) | (F.col("node").isNotNull() & F.col("doc_id").eqNullSafe(F.col("jac_id"))))
-    single = first.filter("jac_node is not null").dropDuplicates(["jac_node"])
-    return first.filter("jac_node is null").unionByName(single).select(docs.columns)
+    _, named = _grouped(docs)
+    chosen = named.filter("heads").select(F.col("own").alias("jac_own"), F.col("low").alias("jac_low"))
+    found = node_keys(docs).join(chosen, F.col("jac_node") == F.col("jac_own"), "left")
+    # Texts that differ in white space or case share a set and may share an id too.
+    first = found.filter(F.col("jac_own").isNotNull() & F.col("doc_id").eqNullSafe(F.col("jac_low"))).dropDuplicates(["jac_node"])
+    return found.filter("jac_node is null").unionByName(first).select(docs.columns)
 
 
 def node_keys(docs: DataFrame) -> DataFrame:

@@ -37,6 +37,8 @@ CHUNK = 16 << 20
 FREQUENT = 32
 #: Anchors to a task, on average; bytes of one suffix array.
 ANCHORS, SHARD = 1_000_000, 4 << 20
+#: Stands for a null id, before all others.
+LEAST_ID = -(2**63)
 #: Bits of a place in the values whose minimum is sought.
 PLACE = 21
 
@@ -237,7 +239,7 @@ def _surroundings(shuffles: int):
             for p in used:
                 o = order[cuts[p] : cuts[p + 1]]
                 blobs.append(common.pack(key[o], seen[o], d[o], row[o], start[o], np.where(first[o], many[o], many[o] | SHARED)))
-                plain.append(common.pack(data[_ranges(begin[o], wide[o])]))
+                plain.append(common.pack(data[_ranges(begin[o], wide[o])], level=7))
             yield pa.record_batch([pa.array(used, pa.int32()), pa.array(blobs, pa.binary()), pa.array(plain, pa.binary())], ["to", "rows", "texts"])
 
     return run
@@ -476,29 +478,30 @@ def _keep(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums.append(hashlib.sha256(rest).hexdigest())
             kept.append(rest)
         new = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sums), pa.array(kept, pa.binary())]
-        yield pa.record_batch([*batch.columns[:4], *new], [*batch.schema.names[:4], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        yield pa.record_batch([*batch.columns[:3], *new], [*batch.schema.names[:3], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 def deduplicated(docs: DataFrame, carried: list[str] | None = None) -> DataFrame:
     """A row per document: d and row (its id, null as the least number, and the hash of its text), doc_id, n_bytes, n_removed,
     n_spans, kept_sha256, kept (the remaining bytes) and, as fields of ``more``, columns that are only carried along."""
     spark = docs.sparkSession
-    d = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    texts = docs.select("doc_id", d.alias("d"), F.xxhash64("text").alias("row"), common.text_or_empty().alias("text"))
+    d = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID))
+    more = F.struct(*[F.col(c) for c in carried]) if carried else F.lit(None).cast("boolean")
+    # Both joins below read the same columns, so texts are shuffled once.
+    texts = docs.select(d.alias("d"), F.xxhash64("text").alias("row"), common.text_or_empty().alias("text"), more.alias("more"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shuffles = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 35 // ANCHORS))
     found = texts.select("d", "row", "text").mapInArrow(_find_anchors(shuffles), "to int, rows binary")
     marks = found.repartition(shuffles, "to").mapInArrow(_repeated, "d bigint, row bigint, part binary")
-    placed = texts.join(_by_key(marks), ["d", "row"]).select("d", "row", "text", "parts")
+    placed = texts.join(_by_key(marks), ["d", "row"]).select("d", "row", "more", "text", "parts")
     around = placed.mapInArrow(_surroundings(shuffles), "to int, rows binary, texts binary").repartition(shuffles, "to")
     gone = around.mapInArrow(_removed, "d bigint, row bigint, part binary")
-    more = F.struct(*[F.col(c) for c in carried]) if carried else F.lit(None).cast("boolean")
-    whole = docs.select("doc_id", d.alias("d"), F.xxhash64("text").alias("row"), common.text_or_empty().alias("text"), more.alias("more"))
-    both = whole.join(_by_key(gone), ["d", "row"], "left").select("doc_id", "d", "row", "more", "text", "parts")
+    both = texts.join(_by_key(gone), ["d", "row"], "left").select("d", "row", "more", "text", "parts")
     kind = both.schema["more"].dataType.simpleString()
-    return both.mapInArrow(
-        _keep, f"doc_id bigint, d bigint, row bigint, more {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
+    kept = both.mapInArrow(
+        _keep, f"d bigint, row bigint, more {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
     )
+    return kept.withColumn("doc_id", F.when(F.col("d") != LEAST_ID, F.col("d")))
 
 
 def _by_key(parts: DataFrame) -> DataFrame:
