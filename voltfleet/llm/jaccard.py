@@ -6,9 +6,10 @@ shingles over all documents. Tiles are banded by set size. In a tile a 2048-bit
 from above: every bit that only one of two sets has stands for an element that the other lacks. What passes is counted
 exactly on sorted hash arrays.
 
-Links are looked for in two steps. First every node of a tile is held against the tile's first node; the links found make
-groups. Then, in tiles that still hold nodes of different groups, every pair from different groups is judged. So a tile of
-many near copies costs as many comparisons as it has nodes, and no link between two groups is missed.
+Links are looked for in two steps. First every node of a tile is held against those few that its signature is nearest to; the
+links found make groups. Then, in tiles that still hold nodes of different groups, every pair from different groups is
+judged. In both, a pair whose nodes other links have joined already is skipped. So a tile of many near copies costs about as
+many exact checks as it has nodes, and no link between two groups is missed.
 
 Null and empty texts and those without words have no shingles and link with nothing; fewer than five words are one shingle.
 Equal texts always link. A null doc_id is a document too; a group's id is its least id that is not null.
@@ -35,6 +36,8 @@ BITS = 2048
 CELLS, PARTS = 1 << 20, 16
 #: Prefix shingles sorted together.
 TILE_ROWS = 1_000_000
+#: Nearest nodes of a tile that a node is held against first; nodes of one cell of the exact check.
+NEAR, CELL_NODES = 4, 4_000
 #: Bits of the filter that keeps texts of no use from the exact check.
 FILTER_BITS = 1 << 24
 
@@ -102,8 +105,8 @@ def prefix_size(n: int) -> int:
 
 
 def tile_rows(docs: DataFrame, level: np.ndarray, shuffles: int) -> DataFrame:
-    """Rows (key, node, n, leader) of the shingles that several nodes have in their prefix; ``leader``: the first such node of
-    the key's size band."""
+    """Rows (key, node, n, leader) of tiles, the sets of nodes that share a shingle of their prefixes; ``leader``: the first node
+    of the tile's size band."""
     shared = docs.sparkSession.sparkContext.broadcast(level)
 
     def emit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,8 +149,16 @@ def tile_rows(docs: DataFrame, level: np.ndarray, shuffles: int) -> DataFrame:
             run = np.cumsum(first) - 1
             several = np.bincount(run)[run] > 1
             key, node, n, run = key[several], node[several], n[several], run[several]
-            # Bands of a run, from its smallest set on: a band ends where a set is too large for the band's first one.
+            # A run is named by its members, and runs of equal members are one tile.
             first = np.append(True, run[1:] != run[:-1]) if len(run) else np.zeros(0, bool)
+            if len(run):
+                names = mix(np.add.reduceat(mix(node.view(np.uint64) ^ n), np.flatnonzero(first)))
+                once = np.zeros(len(names), bool)
+                once[np.unique(names, return_index=True)[1]] = True
+                number = np.cumsum(first) - 1
+                key, keep = names[number], once[number]
+                key, node, n, run, first = key[keep], node[keep], n[keep], run[keep], first[keep]
+            # Bands of a run, from its smallest set on: a band ends where a set is too large for the band's first one.
             leader = np.zeros(len(run), np.int64)
             starts = np.flatnonzero(first)
             ends = np.append(starts[1:], len(run))
@@ -165,16 +176,19 @@ def tile_rows(docs: DataFrame, level: np.ndarray, shuffles: int) -> DataFrame:
             )
 
     dealt = docs.select("text").mapInArrow(emit, "to int, rows binary").repartition(shuffles, "to")
-    return dealt.mapInArrow(group, "key bigint, node bigint, n bigint, leader bigint")
+    return dealt.mapInArrow(group, "key bigint, node bigint, n bigint, leader bigint").dropDuplicates(["key", "node"])
 
 
 def _popcount(bits: np.ndarray) -> np.ndarray:
     return np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
 
 
-def _may_link(n_a: np.ndarray, n_b: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether the bound on the overlap leaves room for a link; a and b: signatures as rows of 64-bit words."""
-    most = np.minimum(n_a - _popcount(a & ~b), n_b - _popcount(b & ~a))
+def _most_shared(n_a: np.ndarray, n_b: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Upper bound of the overlap; a and b: signatures as rows of 64-bit words."""
+    return np.minimum(n_a - _popcount(a & ~b), n_b - _popcount(b & ~a))
+
+
+def _may_link(n_a: np.ndarray, n_b: np.ndarray, most: np.ndarray) -> np.ndarray:
     return LINK[1] * most >= LINK[0] * (n_a + n_b - most)
 
 
@@ -182,23 +196,8 @@ def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
 
-def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of nodes those whose sizes and signatures allow a link."""
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.batches(rows):
-            if batch.num_rows:
-                n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-                keep = _may_link(n_a, n_b, _signatures(batch.column("s_a")), _signatures(batch.column("s_b")))
-                yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"{LINK[1]} * least(n_a, n_b) >= {LINK[0]} * greatest(n_a, n_b)")
-    return sized.mapInArrow(run, "a bigint, b bigint")
-
-
-def exact(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of nodes those that link, by intersecting their sorted shingle arrays."""
+def _wanted(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and sorted shingle array of the given nodes, and of a few others."""
 
     def mark(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(FILTER_BITS // 8, np.uint8)
@@ -207,9 +206,8 @@ def exact(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
         yield pa.record_batch([pa.array([common.pack(bits)], pa.binary())], ["bits"])
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).repartition(8)
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in wanted.mapInArrow(mark, "bits binary").toLocalIterator():  # eight maps of fixed size
+    for row in nodes.select("node").repartition(8).mapInArrow(mark, "bits binary").toLocalIterator():  # eight maps of fixed size
         bits |= common.unpack(bytes(row.bits), "u1")[0]
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
@@ -227,65 +225,116 @@ def exact(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                     sets.append(found.tobytes())
             yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "found"])
 
-    def judge(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.batches(rows):
-            keep = []
-            for a, b in zip(batch.column("f_a"), batch.column("f_b"), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int((large[at] == small).sum())
-                keep.append(LINK[1] * both >= LINK[0] * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    found = docs.select("text").mapInArrow(arrays, "node bigint, found binary").dropDuplicates(["node"])
-    side = lambda x: found.select(F.col("node").alias(x), F.col("found").alias(f"f_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(judge, "a bigint, b bigint")
-
-
-def cross_pairs(tiles: DataFrame, nodes: DataFrame, groups: DataFrame, shuffles: int) -> DataFrame:
-    """Pairs of nodes of one tile and different groups whose sizes and signatures allow a link."""
-    step = float(np.log(LINK[1] / LINK[0]))
-    grouped = tiles.join(groups, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    mixed = grouped.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    open_ = grouped.join(mixed.select("key"), "key", "left_semi").join(nodes.select("node", "signature"), "node")
-    band = F.floor(F.log("n") / step)
-    # A set goes to the tile of its band and, as the smaller side, to that of the next.
-    tiled = open_.select("*", F.explode(F.array(F.struct(band.alias("band"), F.lit(False).alias("low")), F.struct((band + 1).alias("band"), F.lit(True).alias("low")))).alias("t"))
-    tiled = tiled.select(F.xxhash64("key", "t.band").alias("tile"), "t.low", "node", "n", "component", "signature")
-
-    def pairs_of(low: np.ndarray, node: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: np.ndarray) -> Iterator[np.ndarray]:
-        upper = np.flatnonzero(~low)
-        for at, i in enumerate(upper.tolist()):
-            others = np.concatenate([upper[at + 1 :], np.flatnonzero(low)])
-            others = others[comp[others] != comp[i]]
-            others = others[LINK[1] * np.minimum(n[others], n[i]) >= LINK[0] * np.maximum(n[others], n[i])]
-            for cut in range(0, len(others), 8192):
-                part = others[cut : cut + 8192]
-                part = part[_may_link(n[part], n[i], bits[part], bits[i][None, :])]
-                yield np.stack([np.minimum(node[part], node[i]), np.maximum(node[part], node[i])])
+    return docs.select("text").mapInArrow(arrays, "node bigint, found binary").dropDuplicates(["node"])
+
+
+def _overlap(x: np.ndarray, y: np.ndarray) -> int:
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    return int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+
+
+def exact(docs: DataFrame, pairs: DataFrame, homes: DataFrame, shuffles: int) -> DataFrame:
+    """Links among pairs (a, b) of nodes, by intersecting sorted shingle arrays; those that its other links imply are left out.
+
+    Pairs meet in cells, by the first leader of either node, so that a node's array goes to few cells, and to each once. A
+    cell of many nodes is split by the first node of its pairs.
+    """
+    home = lambda x: homes.select(F.col("node").alias(x), F.col("home").alias(f"home_{x}"))
+    celled = pairs.join(home("a"), "a").join(home("b"), "b").select("a", "b", F.least("home_a", "home_b").alias("cell"))
+    sizes = celled.groupBy("cell").agg(F.approx_count_distinct("a").alias("many"))
+    part = F.pmod(F.xxhash64("a"), F.ceil(F.col("many") / CELL_NODES))
+    celled = common.written(celled.join(sizes, "cell").select(F.xxhash64("cell", part).alias("cell"), "a", "b"), "pairs")
+    members = celled.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct()
+    sent = members.join(_wanted(docs, members.select("node").distinct()), "node")
+    rows = sent.select("cell", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "found")
+    rows = rows.unionByName(celled.select("cell", "a", "b", F.lit(None).cast("binary").alias("found")))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, sets, group = None, {}, {}
+
+        def root(x: int) -> int:
+            while group.get(x, x) != x:
+                group[x] = x = group.get(group[x], group[x])
+            return x
+
+        for batch in common.batches(batches):
+            out = []
+            for c, a, b, found in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if c != cell:
+                    cell, sets, group = c, {}, {}
+                if b is None:
+                    sets[a] = np.frombuffer(found, np.uint64)
+                elif (i := root(a)) != (j := root(b)):
+                    both, size = _overlap(sets[a], sets[b]), len(sets[a]) + len(sets[b])
+                    if LINK[1] * both >= LINK[0] * (size - both):
+                        group[i] = j
+                        out.append((a, b))
+            yield pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    # Arrays of a cell come before its pairs.
+    dealt = rows.repartition(shuffles, "cell").sortWithinPartitions("cell", F.col("b").asc_nulls_first())
+    return dealt.mapInArrow(judge, "a bigint, b bigint")
+
+
+def _in_tile(node: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: np.ndarray, near: int | None) -> Iterator[np.ndarray]:
+    """Pairs of a tile's nodes, ordered by size, of different groups whose sizes and signatures allow a link; with ``near`` only
+    so many of each node, those with the highest bounds."""
+    until = np.searchsorted(n, n * LINK[1] // LINK[0], side="right")
+    for i in range(len(node) - 1):
+        others = np.arange(i + 1, until[i])
+        others = others[comp[others] != comp[i]]
+        best, bounds = [], []
+        for cut in range(0, len(others), 8192):
+            part = others[cut : cut + 8192]
+            most = _most_shared(n[part], n[i], bits[part], bits[i][None, :])
+            fits = _may_link(n[part], n[i], most)
+            best.append(part[fits])
+            bounds.append((most / (n[part] + n[i] - most))[fits])
+        part = np.concatenate(best) if best else others[:0]
+        if near is not None and len(part) > near:
+            part = part[np.argpartition(-np.concatenate(bounds), near)[:near]]
+        if len(part):
+            yield np.stack([np.minimum(node[part], node[i]), np.maximum(node[part], node[i])])
+
+
+def tile_pairs(tiles: DataFrame, nodes: DataFrame, groups: DataFrame | None, shuffles: int, near: int | None = None) -> DataFrame:
+    """Pairs of nodes that share a tile and no group, and whose sizes and signatures allow a link."""
+    if groups is None:
+        open_ = tiles.select("key", "node", "n", F.col("node").alias("component"))
+    else:
+        grouped = tiles.join(groups, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+        mixed = grouped.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+        open_ = grouped.join(mixed.select("key"), "key", "left_semi")
+    tiled = open_.join(nodes.select("node", "signature"), "node").select("key", "node", "n", "component", "signature")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush(parts: list[tuple[np.ndarray, ...]], last: bool):
-            tile, low, node, n, comp, bits = (np.concatenate(x) for x in zip(*parts, strict=True))
-            cuts = np.append(np.flatnonzero(np.append(True, tile[1:] != tile[:-1])), len(tile))
+            key, node, n, comp, bits = (np.concatenate(x) for x in zip(*parts, strict=True))
+            cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
             until = len(cuts) - 1 if last else len(cuts) - 2
-            found = [p for a, b in zip(cuts[:until], cuts[1:], strict=False) if b - a > 1 for p in pairs_of(low[a:b], node[a:b], n[a:b], comp[a:b], bits[a:b])]
-            rest = [] if last else [tuple(x[cuts[-2] :] for x in (tile, low, node, n, comp, bits))]
-            out = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+            size = np.diff(cuts)[:until]
+            two = cuts[:until][size == 2]
+            a, b = two, two + 1
+            two = two[(comp[a] != comp[b]) & _may_link(n[a], n[b], _most_shared(n[a], n[b], bits[a], bits[b]))]
+            found = [np.stack([np.minimum(node[two], node[two + 1]), np.maximum(node[two], node[two + 1])])]
+            for k in np.flatnonzero(size > 2).tolist():
+                tile = slice(cuts[k], cuts[k + 1])
+                found.extend(_in_tile(node[tile], n[tile], comp[tile], bits[tile], near))
+            rest = [] if last else [tuple(x[cuts[-2] :] for x in (key, node, n, comp, bits))]
+            out = np.unique(np.concatenate(found, axis=1), axis=1)
             return pa.record_batch([pa.array(out[0]), pa.array(out[1])], ["a", "b"]), rest
 
         for batch in rows:
             if batch.num_rows:
-                cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("tile", "low", "node", "n", "component")]
+                cols = [batch.column(c).to_numpy() for c in ("key", "node", "n", "component")]
                 out, held = flush([*held, (*cols, _signatures(batch.column("signature")))], False)
                 yield out
         if held:
             yield flush(held, True)[0]
 
-    dealt = tiled.repartition(shuffles, "tile").sortWithinPartitions("tile")
+    dealt = tiled.repartition(shuffles, "key").sortWithinPartitions("key", "n", "node")
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -301,14 +350,13 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shuffles = max(least, -(-total // 5 // TILE_ROWS))
     tiles = common.written(tile_rows(docs, level, shuffles), "tiles")
     nodes = common.written(rows.filter("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("signature").alias("signature"), F.min("doc_id").alias("low")), "nodes")
-    stars = tiles.filter("leader <> node").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-    stars = common.written(bounded(stars, nodes), "stars")
-    links = common.written(exact(docs, stars), "links")
+    homes = common.written(tiles.groupBy("node").agg(F.min("leader").alias("home")), "homes")
+    close = tile_pairs(tiles, nodes, None, shuffles, NEAR)
+    links = common.written(exact(docs, close, homes, shuffles), "links")
     groups = components(links)
-    crossed = common.written(cross_pairs(tiles, nodes, groups, shuffles).join(stars, ["a", "b"], "left_anti"), "crossed")
+    crossed = common.written(tile_pairs(tiles, nodes, groups, shuffles), "crossed")
     if not crossed.isEmpty():
-        more = common.written(exact(docs, crossed), "links")
-        groups = components(links.union(more))
+        groups = components(links.union(exact(docs, crossed, homes, shuffles)))
     named = nodes.join(groups, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
     least_id = named.groupBy(F.col("component").alias("c")).agg(F.min("low").alias("component_id"), F.min(F.struct("low", "node")).alias("head"))
     named = named.join(least_id, F.col("component") == F.col("c"))
