@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +33,11 @@ LENGTH = 100
 PIECE = 32
 PIECES = LENGTH - PIECE + 1
 #: Text looked at together when anchors and surroundings are gathered.
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 #: Times an anchor may stand in a chunk before its places are spread.
 FREQUENT = 32
 #: Anchors to a task, on average; bytes of one suffix array.
-ANCHORS, SHARD = 1_000_000, 4 << 20
+ANCHORS, SHARD = 1_000_000, 2 << 20
 #: Stands for a null id, before all others.
 LEAST_ID = -(2**63)
 #: Bits of a place in the values whose minimum is sought.
@@ -177,35 +178,49 @@ def _gather(rows: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
         yield held.popitem()[1]
 
 
-def _by_document(d: np.ndarray, row: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-    """A row for each document, with its entries in one value."""
-    order = np.lexsort((row, d))
-    d, row = d[order], row[order]
-    cuts = np.append(np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (row[1:] != row[:-1]))), len(d)) if len(d) else np.zeros(1, np.int64)
-    columns = tuple(np.ascontiguousarray(c[order]) for c in columns)
-    blobs = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-    return pa.record_batch([pa.array(d[cuts[:-1]]), pa.array(row[cuts[:-1]]), pa.array(blobs, pa.binary())], ["d", "row", "part"])
+def _to_documents(shuffles: int, d: np.ndarray, row: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    to = mix(d.view(np.uint64) ^ mix(row.view(np.uint64))) % np.uint64(shuffles)
+    return _routed(to.astype(np.int64), shuffles, d, row, *columns)
 
 
-def _repeated(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for blobs in _gather(rows):
-        key, d, row, start, mark = (np.concatenate(x) for x in zip(*(common.unpack(b, *ROW) for b in blobs), strict=True))
-        order = np.argsort(key, kind="stable")
-        run = np.cumsum(np.append(True, key[order][1:] != key[order][:-1])) - 1
-        several = (np.bincount(run) > 1) | (np.bincount(run, mark[order] & SHARED) > 0)
-        keep = order[several[run]]
-        yield _by_document(d[keep], row[keep], key[keep], start[keep], mark[keep] & ~SHARED)
+def _by_document(*kinds: str):
+    """A row for each document, with its entries in one value; a document's entries all come to one task."""
 
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blobs in _gather(rows):
+            d, row, *columns = (np.concatenate(x) for x in zip(*(common.unpack(b, "i8", "i8", *kinds) for b in blobs), strict=True))
+            order = np.lexsort((row, d))
+            d, row = d[order], row[order]
+            columns = [np.ascontiguousarray(c[order]) for c in columns]
+            cuts = np.append(np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (row[1:] != row[:-1]))), len(d))
+            parts = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            yield pa.record_batch([pa.array(d[cuts[:-1]]), pa.array(row[cuts[:-1]]), pa.array(parts, pa.binary())], ["d", "row", "part"])
+
+    return run
+
+
+def _repeated(shuffles: int):
+    """Of the anchors those that stand more than once, on their way to their documents."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blobs in _gather(rows):
+            key, d, row, start, mark = (np.concatenate(x) for x in zip(*(common.unpack(b, *ROW) for b in blobs), strict=True))
+            order = np.argsort(key, kind="stable")
+            number = np.cumsum(np.append(True, key[order][1:] != key[order][:-1])) - 1
+            several = (np.bincount(number) > 1) | (np.bincount(number, mark[order] & SHARED) > 0)
+            keep = order[several[number]]
+            yield _to_documents(shuffles, d[keep], row[keep], key[keep], start[keep], mark[keep] & ~SHARED)
+
+    return run
 
-def _entries(parts: list[bytes], *kinds: str) -> list[np.ndarray]:
-    wide = sum(np.dtype(k).itemsize for k in kinds)
-    out: list[list[np.ndarray]] = [[] for _ in kinds]
-    for part in parts:
-        n, at = len(part) // wide, 0
-        for k, kind in enumerate(kinds):
-            out[k].append(np.frombuffer(part, kind, n, at))
-            at += n * np.dtype(kind).itemsize
-    return [np.concatenate(x) for x in out]
+
+def _entries(part: bytes, *kinds: str) -> list[np.ndarray]:
+    """Columns of one document's entries."""
+    n, at, out = len(part) // sum(np.dtype(k).itemsize for k in kinds), 0, []
+    for kind in kinds:
+        out.append(np.frombuffer(part, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return out
 
 
 PLACED = ("u8", "u8", "i8", "i8", "i4", "u1")
@@ -217,7 +232,7 @@ def _surroundings(shuffles: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _chunks(rows):
             texts = _bytes(batch)
-            found = [_entries(p, "u8", "i4", "u1") for p in batch.column("parts").to_pylist()]
+            found = [_entries(p, "u8", "i4", "u1") for p in batch.column("part").to_pylist()]
             which = np.repeat(np.arange(len(texts)), [len(f[0]) for f in found])
             key, start, many = (np.concatenate(x) for x in zip(*found, strict=True))
             base = np.cumsum([0] + [len(t) for t in texts])
@@ -418,8 +433,8 @@ def _repeats(data: np.ndarray, size: np.ndarray, key: np.ndarray, d: np.ndarray,
             at = to
 
 
-def _removed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs (first string, number) to remove from each document, from the surroundings of a shard."""
+def _removed(shuffles: int, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs (first string, number) to remove, from the surroundings of a shard, on their way to their documents."""
     held: dict[int, list[tuple[bytes, bytes]]] = {}
     for batch in rows:
         for to, blob, plain in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
@@ -446,14 +461,14 @@ def _removed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for gd, gr, gs in _repeats(data[_ranges(begin[o], size[o])], size[o], key[o], d[o], row[o], start[o].astype(np.int64)):
             gone.append((gd, gr, gs, np.ones(len(gd), np.int64)))
         gd, gr, gs, gm = (np.concatenate(x) for x in zip(*gone, strict=True))
-        yield _by_document(gd, gr, gs.astype(np.int32), gm.astype(np.uint8))
+        yield _to_documents(shuffles, gd, gr, gs.astype(np.int32), gm.astype(np.uint8))
 
 
-def _spans(parts: list[bytes] | None, length: int) -> list[tuple[int, int]]:
+def _spans(part: bytes | None, length: int) -> list[tuple[int, int]]:
     """Maximal removed byte ranges."""
-    if not parts:
+    if not part:
         return []
-    start, many = _entries(parts, "i4", "u1")
+    start, many = _entries(part, "i4", "u1")
     edge = np.zeros(length + 1, np.int32)
     np.add.at(edge, start, 1)
     np.add.at(edge, start.astype(np.int64) + many + LENGTH - 1, -1)
@@ -465,8 +480,8 @@ def _spans(parts: list[bytes] | None, length: int) -> list[tuple[int, int]]:
 def _keep(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in common.batches(rows):
         n, removed, spans, sums, kept = [], [], [], [], []
-        for text, parts in zip(_bytes(batch), batch.column("parts").to_pylist(), strict=True):
-            cut = _spans(parts, len(text))
+        for text, part in zip(_bytes(batch), batch.column("part").to_pylist(), strict=True):
+            cut = _spans(part, len(text))
             left, at = [], 0
             for a, b in cut:
                 left.append(text[at:a])
@@ -491,12 +506,15 @@ def deduplicated(docs: DataFrame, carried: list[str] | None = None) -> DataFrame
     texts = docs.select(d.alias("d"), F.xxhash64("text").alias("row"), common.text_or_empty().alias("text"), more.alias("more"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shuffles = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 35 // ANCHORS))
-    found = texts.select("d", "row", "text").mapInArrow(_find_anchors(shuffles), "to int, rows binary")
-    marks = found.repartition(shuffles, "to").mapInArrow(_repeated, "d bigint, row bigint, part binary")
-    placed = texts.join(_by_key(marks), ["d", "row"]).select("d", "row", "more", "text", "parts")
-    around = placed.mapInArrow(_surroundings(shuffles), "to int, rows binary, texts binary").repartition(shuffles, "to")
-    gone = around.mapInArrow(_removed, "d bigint, row bigint, part binary")
-    both = texts.join(_by_key(gone), ["d", "row"], "left").select("d", "row", "more", "text", "parts")
+    routed, by_document = "to int, rows binary", "d bigint, row bigint, part binary"
+    found = texts.select("d", "row", "text").mapInArrow(_find_anchors(shuffles), routed)
+    marks = found.repartition(shuffles, "to").mapInArrow(_repeated(shuffles), routed)
+    marks = marks.repartition(shuffles, "to").mapInArrow(_by_document("u8", "i4", "u1"), by_document)
+    placed = texts.join(marks, ["d", "row"]).select("d", "row", "more", "text", "part")
+    around = placed.mapInArrow(_surroundings(shuffles), f"{routed}, texts binary").repartition(shuffles, "to")
+    gone = around.mapInArrow(partial(_removed, shuffles), routed)
+    gone = gone.repartition(shuffles, "to").mapInArrow(_by_document("i4", "u1"), by_document)
+    both = texts.join(gone, ["d", "row"], "left").select("d", "row", "more", "text", "part")
     kind = both.schema["more"].dataType.simpleString()
     kept = both.mapInArrow(
         _keep, f"d bigint, row bigint, more {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
@@ -504,10 +522,6 @@ def deduplicated(docs: DataFrame, carried: list[str] | None = None) -> DataFrame
     return kept.withColumn("doc_id", F.when(F.col("d") != LEAST_ID, F.col("d")))
 
 
-def _by_key(parts: DataFrame) -> DataFrame:
-    return parts.groupBy("d", "row").agg(F.collect_list("part").alias("parts"))
-
-
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with what is left of their texts; all columns stay. A character that a cut would split goes whole."""
     carried = [c for c in docs.columns if c not in ("doc_id", "text")]
