@@ -91,7 +91,7 @@ def test_signature_bound_is_never_too_low():
         pool = rng.integers(0, 2**63, 900).astype(np.uint64)
         a, b = np.unique(pool[: rng.integers(1, 800)]), np.unique(pool[rng.integers(0, 300) :])
         both = len(np.intersect1d(a, b))
-        bits = [np.frombuffer(jaccard._signature(x), np.uint64)[None, :] for x in (a, b)]
+        bits = jaccard._stacked([jaccard._signature(x) for x in (a, b)])[:, None, :]
         if 100 * both >= 80 * (len(a) + len(b) - both):
             n_a, n_b = np.array([len(a)]), np.array([len(b)])
             assert jaccard._may_link(n_a, n_b, jaccard._most_shared(n_a, n_b, *bits))[0]

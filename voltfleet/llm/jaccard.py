@@ -2,7 +2,7 @@
 
 Equal sets are one node. A node enters the tiles of its rarest shingles: two sets of similarity ``s`` share one of the first
 ``n - ceil(s n) + 1`` shingles of each in any common order, and the order puts frequent shingles last, by a count of hashed
-shingles over all documents. Tiles are banded by set size. In a tile a 2048-bit signature of each set bounds the overlap
+shingles over all documents. Tiles are banded by set size. In a tile a hashed bitmap of each set bounds the overlap
 from above: every bit that only one of two sets has stands for an element that the other lacks. What passes is counted
 exactly on sorted hash arrays.
 
@@ -30,8 +30,8 @@ from voltfleet.llm.shingles import mix, text_shingles
 
 #: Similarity at which two documents link: 80 of 100.
 LINK = (80, 100)
-#: Bits of a signature.
-BITS = 2048
+#: Bits of a signature: four for each shingle, rounded up to a power of two, within these limits.
+BITS, MOST_BITS = 2048, 1 << 18
 #: Cells of the hashed count of shingles, and the parts in which it is added up.
 CELLS, PARTS = 1 << 20, 16
 #: Prefix shingles sorted together.
@@ -48,11 +48,25 @@ def _node(found: np.ndarray) -> int:
 
 
 def _signature(found: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(found & np.uint64(BITS - 1)).astype(np.int64)] = 1
+    wide = min(MOST_BITS, max(BITS, 1 << (4 * len(found) - 1).bit_length()))
+    bits = np.zeros(wide, np.uint8)
+    bits[(found & np.uint64(wide - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
 
 
+def _stacked(signatures: list[bytes]) -> np.ndarray:
+    """Signatures as rows of 64-bit words, the longer ones folded to the length of the shortest."""
+    size = min(map(len, signatures))
+    out = np.zeros((len(signatures), size // 8), np.uint64)
+    by_size: dict[int, list[int]] = {}
+    for k, x in enumerate(signatures):
+        by_size.setdefault(len(x), []).append(k)
+    for wide, where in by_size.items():
+        words = np.frombuffer(b"".join([signatures[k] for k in where]), np.uint64)
+        out[where] = np.bitwise_or.reduce(words.reshape(len(where), wide // size, size // 8), axis=1)
+    return out
+
+
 def _cell(found: np.ndarray) -> np.ndarray:
     return ((found >> np.uint64(24)) & np.uint64(CELLS - 1)).astype(np.int64)
 
@@ -149,28 +163,23 @@ def tile_rows(docs: DataFrame, level: np.ndarray, shuffles: int) -> DataFrame:
             run = np.cumsum(first) - 1
             several = np.bincount(run)[run] > 1
             key, node, n, run = key[several], node[several], n[several], run[several]
-            # A run is named by its members, and runs of equal members are one tile.
-            first = np.append(True, run[1:] != run[:-1]) if len(run) else np.zeros(0, bool)
-            if len(run):
+            # Sets link only if their sizes are close: where the next size of a run is too large, a new band begins.
+            apart = np.append(True, (run[1:] != run[:-1]) | (n[:-1].astype(np.int64) * LINK[1] < n[1:].astype(np.int64) * LINK[0]))
+            band = np.cumsum(apart[: len(run)]) - 1
+            several = np.bincount(band)[band] > 1 if len(band) else np.zeros(0, bool)
+            node, n, band = node[several], n[several], band[several]
+            if len(node):
+                # A tile is a band's members; bands of equal members are one tile.
+                first = np.append(True, band[1:] != band[:-1])
                 names = mix(np.add.reduceat(mix(node.view(np.uint64) ^ n), np.flatnonzero(first)))
                 once = np.zeros(len(names), bool)
                 once[np.unique(names, return_index=True)[1]] = True
                 number = np.cumsum(first) - 1
-                key, keep = names[number], once[number]
-                key, node, n, run, first = key[keep], node[keep], n[keep], run[keep], first[keep]
-            # Bands of a run, from its smallest set on: a band ends where a set is too large for the band's first one.
-            leader = np.zeros(len(run), np.int64)
-            starts = np.flatnonzero(first)
-            ends = np.append(starts[1:], len(run))
-            while len(starts):
-                limit = n[starts].astype(np.int64) * LINK[1] // LINK[0]
-                width = ends - starts
-                place = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(starts, width)
-                inside = n[place] <= np.repeat(limit, width)
-                leader[place[inside]] = np.repeat(node[starts], width)[inside]
-                starts = starts + np.add.reduceat(inside, np.cumsum(width) - width)
-                go_on = starts < ends
-                starts, ends = starts[go_on], ends[go_on]
+                keep = once[number]
+                key, node, n, first = names[number][keep], node[keep], n[keep], first[keep]
+                leader = node[np.flatnonzero(first)[np.cumsum(first) - 1]]
+            else:
+                key, leader = np.zeros(0, np.uint64), node
             yield pa.record_batch(
                 [pa.array(key.view(np.int64)), pa.array(node), pa.array(n.astype(np.int64)), pa.array(leader)], ["key", "node", "n", "leader"]
             )
@@ -192,10 +201,6 @@ def _may_link(n_a: np.ndarray, n_b: np.ndarray, most: np.ndarray) -> np.ndarray:
     return LINK[1] * most >= LINK[0] * (n_a + n_b - most)
 
 
-def _signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
-
-
 def _wanted(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node and sorted shingle array of the given nodes, and of a few others."""
 
@@ -280,12 +285,13 @@ def _in_tile(node: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: np.ndarray
     """Pairs of a tile's nodes, ordered by size, of different groups whose sizes and signatures allow a link; with ``near`` only
     so many of each node, those with the highest bounds."""
     until = np.searchsorted(n, n * LINK[1] // LINK[0], side="right")
+    step = max(1, (1 << 21) // bits.shape[1])
     for i in range(len(node) - 1):
         others = np.arange(i + 1, until[i])
         others = others[comp[others] != comp[i]]
         best, bounds = [], []
-        for cut in range(0, len(others), 8192):
-            part = others[cut : cut + 8192]
+        for cut in range(0, len(others), step):
+            part = others[cut : cut + step]
             most = _most_shared(n[part], n[i], bits[part], bits[i][None, :])
             fits = _may_link(n[part], n[i], most)
             best.append(part[fits])
@@ -311,17 +317,23 @@ def tile_pairs(tiles: DataFrame, nodes: DataFrame, groups: DataFrame | None, shu
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush(parts: list[tuple[np.ndarray, ...]], last: bool):
-            key, node, n, comp, bits = (np.concatenate(x) for x in zip(*parts, strict=True))
+            key, node, n, comp = (np.concatenate([p[k] for p in parts]) for k in range(4))
+            bits = [x for p in parts for x in p[4]]
             cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
             until = len(cuts) - 1 if last else len(cuts) - 2
             size = np.diff(cuts)[:until]
             two = cuts[:until][size == 2]
-            a, b = two, two + 1
-            two = two[(comp[a] != comp[b]) & _may_link(n[a], n[b], _most_shared(n[a], n[b], bits[a], bits[b]))]
-            found = [np.stack([np.minimum(node[two], node[two + 1]), np.maximum(node[two], node[two + 1])])]
+            two = two[comp[two] != comp[two + 1]]
+            wide = np.array([min(len(bits[k]), len(bits[k + 1])) for k in two.tolist()])
+            found = [np.zeros((2, 0), np.int64)]
+            for w in np.unique(wide):
+                a = two[wide == w]
+                rows_ = _stacked([bits[k + j] for j in (0, 1) for k in a.tolist()])
+                a = a[_may_link(n[a], n[a + 1], _most_shared(n[a], n[a + 1], rows_[: len(a)], rows_[len(a) :]))]
+                found.append(np.stack([np.minimum(node[a], node[a + 1]), np.maximum(node[a], node[a + 1])]))
             for k in np.flatnonzero(size > 2).tolist():
                 tile = slice(cuts[k], cuts[k + 1])
-                found.extend(_in_tile(node[tile], n[tile], comp[tile], bits[tile], near))
+                found.extend(_in_tile(node[tile], n[tile], comp[tile], _stacked(bits[tile]), near))
             rest = [] if last else [tuple(x[cuts[-2] :] for x in (key, node, n, comp, bits))]
             out = np.unique(np.concatenate(found, axis=1), axis=1)
             return pa.record_batch([pa.array(out[0]), pa.array(out[1])], ["a", "b"]), rest
@@ -329,7 +341,7 @@ def tile_pairs(tiles: DataFrame, nodes: DataFrame, groups: DataFrame | None, shu
         for batch in rows:
             if batch.num_rows:
                 cols = [batch.column(c).to_numpy() for c in ("key", "node", "n", "component")]
-                out, held = flush([*held, (*cols, _signatures(batch.column("signature")))], False)
+                out, held = flush([*held, (*cols, batch.column("signature").to_pylist())], False)
                 yield out
         if held:
             yield flush(held, True)[0]
