@@ -61,12 +61,11 @@ def test_start_that_cannot_be_brought_in_range_has_no_rows(spark):
     assert {r.site_id for r in dispatch.schedule(two, starts, RUN).select("site_id").collect()} == {2}
 
 
-def test_too_long_run_is_refused(spark):
-    long = day(spark).unionByName(day(spark).withColumn("time", F.expr("time + INTERVAL 1 DAY"))).unionByName(
-        day(spark).withColumn("time", F.expr("time + INTERVAL 2 DAYS"))
-    )
-    with pytest.raises(Exception, match="more than 48 hours"):
-        dispatch.schedule(long, begin(spark), RUN).collect()
+def test_a_run_of_sixty_hours_is_scheduled(spark):
+    days = [day(spark).withColumn("time", F.expr(f"time + INTERVAL {k} DAYS")) for k in range(3)]
+    hours = days[0].unionByName(days[1]).unionByName(days[2]).orderBy("time").limit(60)
+    rows = dispatch.schedule(hours, begin(spark), RUN).orderBy("time").collect()
+    assert len(rows) == 60 and all(200.0 <= r.battery_soc_kwh <= 1800.0 for r in rows)
 
 
 def test_grid_path_against_exhaustive_search():

@@ -96,6 +96,16 @@ def test_insert_ignore_twice(spark, tmp_path):
     assert stored.columns[-1] == "date" and "battery_soc_pct" in stored.columns
 
 
+def test_a_key_without_time_is_refused(spark, tmp_path):
+    root = str(tmp_path)
+    tables.create_folders(spark, root)
+    batch = hours(spark).select("site_id", "time", "seq", "asset_id", "power_kw").withColumn("status", F.lit("operational"))
+    torn = batch.withColumn("time", F.when(F.col("seq") > 3, F.col("time")))
+    with pytest.raises(ValueError, match="without a time"):
+        tables.insert_ignore(torn, root, "telemetry_power")
+    assert tables.read(spark, root, "telemetry_power").count() == 0
+
+
 def test_tables_in_the_catalog_and_assets_once(spark, tmp_path):
     root = str(tmp_path)
     for _ in range(2):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import deque
 from datetime import datetime, timedelta
 
@@ -182,3 +183,12 @@ def test_asof_and_nearest_against_brute_force(spark, limit):
             assert near[n] == want[1]
         else:
             assert near[n] is None
+
+
+def test_one_long_series_is_filled_backwards_in_linear_time(spark):
+    n = 1_000_000
+    df = spark.range(n).select(F.lit(1).alias("site_id"), F.col("id").alias("seq"), F.when(F.col("id") == n - 1, 5.0).alias("x"))
+    begun = time.perf_counter()
+    s = series.backward_fill(series.Series(df, ("site_id",), ("seq",)), {"b": "x"})
+    assert s.rows().filter("b = 5.0").count() == n
+    assert time.perf_counter() - begun < 60

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from voltfleet.functions import flows, physics
 from voltfleet.functions.timeparts import cyclic, is_stale
-from voltfleet.operators import aggregates, ordered, series
+from voltfleet.operators import aggregates, align, ordered, series
 
 HORIZON = 24
 MIN_ROWS = 10
@@ -190,12 +190,18 @@ def recursive_forecast(
 def forecast(
     frame: DataFrame, weather: DataFrame, models: dict[str, Model], keys=("site_id",), consistent_roll: bool = False
 ) -> DataFrame:
-    """24 hours of demand, solar, wind and price per site. ``weather`` holds the coming hours per site."""
+    """24 hours of demand, solar, wind and price per site. ``weather`` holds the coming hours per site.
+
+    An hour that ``weather`` lacks takes the nearest one of its site; a site without any takes the typical day.
+    """
     state = latest_state(frame, keys)
     chained = recursive_forecast(state, models, keys, consistent_roll=consistent_roll)
     clock = {n: e for n, e in cyclic(F.col("time")).items() if n in ("hour_sin", "hour_cos")}
-    hours = chained.join(weather, [*keys, "time"], "left")
-    hours = hours.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in weather.columns if c not in (*keys, "time")})
+    hours = align.with_weather(chained, weather, keys)
+    feed = {c: F.col(c) for c in weather.columns if c not in (*keys, "time")}
+    known = F.coalesce(*[c.cast("double") for c in feed.values()]).isNotNull()
+    typical = physics.gap_filled_weather(F.col("time"), known, **feed)
+    hours = hours.withColumns({c: F.coalesce(feed[c], typical[c].cast("double"), F.lit(0.0)) for c in feed})
     hours = hours.withColumns(clock).withColumns(
         {
             "wind_speed_cubed": physics.cubed(F.col("wind_speed_ms")),

@@ -53,8 +53,10 @@ class Series:
     def running(self) -> WindowSpec:
         return self.window().rowsBetween(Window.unboundedPreceding, 0)
 
-    def remaining(self) -> WindowSpec:
-        return self.window().rowsBetween(0, Window.unboundedFollowing)
+    def backwards(self) -> WindowSpec:
+        """From the row on, in falling order: such a frame only ever grows, so it is folded once."""
+        falling = [F.col(c).desc() for c in self.order]
+        return Window.partitionBy(*self.group).orderBy(*falling).rowsBetween(Window.unboundedPreceding, 0)
 
     def on(self, df: DataFrame) -> Series:
         """The same layout over a frame derived row by row from ``self.df``."""
@@ -170,7 +172,7 @@ def forward_fill(s: Series, columns: Mapping[str, str]) -> Series:
 
 def backward_fill(s: Series, columns: Mapping[str, str]) -> Series:
     """``out``: the first non-null value of ``source`` from the row on."""
-    fills = {out: F.first(source, ignorenulls=True).over(s.remaining()) for out, source in columns.items()}
+    fills = {out: F.last(source, ignorenulls=True).over(s.backwards()) for out, source in columns.items()}
     if not s.split:
         return s.on(s.df.withColumns(fills))
     order = F.struct(*s.order)

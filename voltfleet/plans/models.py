@@ -10,10 +10,6 @@ from voltfleet.plans.inputs import FORECAST_SQL, POWER_SQL, PREDICTIONS_SQL, T_S
 from voltfleet.plans.registry import query
 from voltfleet.plans.reports import _PIVOT
 
-#: Boosting rounds of the registered queries; the library default is 100.
-ROUNDS = 10
-TREES = 20
-
 
 def frame(i: Inputs) -> DataFrame:
     """Hourly rows per site: aligned, filled, with weather and features.
@@ -79,7 +75,7 @@ def feature_vectors(i: Inputs) -> DataFrame:
 
 def _trained(i: Inputs, target: str) -> DataFrame:
     rows = frame(i)
-    model = forecasting.fit_all(rows, [target], ROUNDS, TREES)[target]
+    model = forecasting.fit_all(rows, [target])[target]
     spec = forecasting.TARGETS[target]
     return model.transform(rows).select(
         "site_id", "time", F.col(spec.actual).alias("actual"), F.col(f"{target}_hat").alias("predicted")
@@ -142,7 +138,7 @@ def regression_metrics(i: Inputs) -> DataFrame:
 
 @query("train_eval")
 def train_eval(i: Inputs) -> DataFrame:
-    _, metrics = forecasting.train_all(frame(i), boosting_rounds=ROUNDS, trees=TREES)
+    _, metrics = forecasting.train_all(frame(i))
     return metrics
 
 
@@ -159,7 +155,7 @@ def horizon_grid(i: Inputs) -> DataFrame:
 @query("forecast_24h")
 def forecast_24h(i: Inputs) -> DataFrame:
     rows = frame(i)
-    models = forecasting.fit_all(rows, forecasting.TARGETS, ROUNDS, TREES)
+    models = forecasting.fit_all(rows, forecasting.TARGETS)
     coming = forecasting.horizon(rows.groupBy("site_id").agg(F.max("time").alias("time"))).drop("step")
     # The coming day's weather repeats the hour's mean over the site's past.
     past = rows.groupBy("site_id", F.hour("time").alias("_h")).agg(*[F.avg(c).alias(c) for c in align.WEATHER_COLUMNS])

@@ -53,7 +53,11 @@ def stream_validate(i: Inputs) -> DataFrame:
     return i.spark.read.parquet(out).withColumns(kept)
 
 
-@query("stream_to_lake", f"WITH {T_SQL} SELECT site_id, topic, seq, time, power_kw, strftime(time, '%H') AS hour FROM t")
+@query(
+    "stream_to_lake",
+    f"""WITH {T_SQL} SELECT site_id, topic, seq, time, power_kw, strftime(time, '%H') AS hour FROM (SELECT *,
+      row_number() OVER (PARTITION BY site_id, topic, date_trunc('second', time) ORDER BY seq DESC) AS r FROM t) WHERE r = 1""",
+)
 def stream_to_lake(i: Inputs) -> DataFrame:
     root = scratch_path(i.spark, "lake")
     records = event_stream(i).select("site_id", "topic", "seq", "time", "power_kw")
@@ -100,10 +104,13 @@ def stream_dedupe(i: Inputs) -> DataFrame:
     WHERE asset_id = 'grid_market' AND k < 95 GROUP BY 1, 2""",
 )
 def dlq_replay(i: Inputs) -> DataFrame:
-    """Failed market messages, written as dead letters, some torn, and replayed as a stream."""
+    """Failed market messages, written as dead letters, some torn, and replayed as a stream.
+
+    Site and order come back from the envelope, not from the payload.
+    """
     folder = scratch_path(i.spark, "letters")
     stamp = F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("time")
-    payload = F.to_json(F.struct("site_id", "seq", stamp, (F.col("power_kw") / 10).alias("price")))
+    payload = F.to_json(F.struct(stamp, (F.col("power_kw") / 10).alias("price")))
     failed = i.t().filter("asset_id = 'grid_market'").withColumn("payload", payload)
     letters = messages.dead_letters(
         failed.withColumn("topic", F.lit("telemetry.market")), F.lit("broker away"), i.now, keep=["k"]
@@ -111,8 +118,7 @@ def dlq_replay(i: Inputs) -> DataFrame:
     torn = F.when(F.col("k") < 95, F.col("value")).otherwise(F.concat(F.lit("{bad"), "value"))
     messages.append_lines(letters.select(torn.alias("value")), folder)
     good, _ = messages.parse_envelopes(messages.stream_lines(i.spark, folder))
-    schema = "site_id bigint, seq bigint, time string, price double"
-    rows = good.select(F.from_json("payload", schema).alias("p")).select("p.*")
+    rows = good.select("site_id", "seq", F.from_json("payload", "time string, price double").alias("p")).select("site_id", "seq", "p.*")
     rows = rows.withColumn("time", parse_iso(F.col("time")))
     out = scratch_path(i.spark, "replayed")
     writer = rows.writeStream.format("parquet").option("path", out)

@@ -74,6 +74,8 @@ DEAD_LETTER = T.StructType(
         T.StructField("topic", T.StringType()),
         T.StructField("error", T.StringType()),
         T.StructField("payload", T.StringType()),
+        T.StructField("site_id", T.LongType()),
+        T.StructField("seq", T.LongType()),
     ]
 )
 

@@ -21,22 +21,34 @@ def with_partitions(records: DataFrame) -> DataFrame:
     return records.withColumns(date_parts(F.col("time")))
 
 
-def write(records: DataFrame, root: str, mode: str = "append", depth: int = len(PARTITIONS), rows_per_file=5_000_000):
+def write(
+    records: DataFrame, root: str, mode: str = "append", depth: int = len(PARTITIONS), rows_per_file=5_000_000, batch: int | None = None
+):
     """Write records under ``root``. ``depth`` 4 stops at the day, for topics with little data per hour.
 
     Rebalancing by the partition columns gives each folder few files, and lets
-    AQE split the folder of a busy hour over several tasks.
+    AQE split the folder of a busy hour over several tasks. The records of a numbered ``batch`` get folders of their own
+    below these, which a second run of the batch replaces.
     """
     parts = PARTITIONS[:depth]
     rows = with_partitions(last_per_second(records))
     rows = rows.hint("rebalance", *parts).sortWithinPartitions(*parts, "site_id", "time")
+    if batch is not None:
+        rows, parts, mode = rows.withColumn("batch", F.lit(batch)), (*parts, "batch"), "overwrite"
     writer = rows.write.mode(mode).option("maxRecordsPerFile", rows_per_file)
+    if batch is not None:
+        writer = writer.option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(*parts).parquet(f"{root}/raw")
 
 
-def read(spark: SparkSession, root: str, schema: str | None = None) -> DataFrame:
+def _stored(spark: SparkSession, root: str, schema: str | None) -> DataFrame:
     reader = spark.read.schema(schema) if schema else spark.read
-    return reader.parquet(f"{root}/raw")
+    return reader.parquet(f"{root}/raw").drop("batch")
+
+
+def read(spark: SparkSession, root: str, schema: str | None = None) -> DataFrame:
+    """Records of the lake; of several writes of one site, topic and second the record that arrived last counts."""
+    return last_per_second(_stored(spark, root, schema))
 
 
 def days_between(start: Column, end: Column) -> Column:
@@ -47,4 +59,5 @@ def days_between(start: Column, end: Column) -> Column:
 
 def read_range(spark: SparkSession, root: str, start: Column, end: Column, schema: str | None = None) -> DataFrame:
     """Records with ``start <= time <= end``; folders outside the range are not opened."""
-    return read(spark, root, schema).filter(days_between(start, end) & F.col("time").between(start, end))
+    days = _stored(spark, root, schema).filter(days_between(start, end))
+    return last_per_second(days).filter(F.col("time").between(start, end))

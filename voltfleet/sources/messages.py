@@ -10,21 +10,24 @@ from voltfleet.functions.once import with_columns_once
 from voltfleet.operators.validation import topic_key
 
 _CORRUPT = "_corrupt"
+#: What names a message's sender and its place in the order of arrival.
+ORIGIN = ("site_id", "seq")
 
 
 def parse_envelopes(lines: DataFrame, line: str = "value") -> tuple[DataFrame, DataFrame]:
-    """Split JSON lines ``{timestamp, topic, error, payload}`` into readable envelopes and bad lines.
+    """Split JSON lines ``{timestamp, topic, error, payload, site_id, seq}`` into readable envelopes and bad lines.
 
-    Works for batch and streaming input. The payload stays text until the topic is known.
+    Site and order come from the envelope unless the input has columns of these names. Works for batch and streaming input. The payload stays text until the topic is known.
     """
-    schema = f"timestamp string, topic string, error string, payload string, {_CORRUPT} string"
+    schema = f"timestamp string, topic string, error string, payload string, site_id bigint, seq bigint, {_CORRUPT} string"
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
     parsed = with_columns_once(lines, {"_m": F.from_json(line, schema, options)})
     bad = F.col(f"_m.{_CORRUPT}").isNotNull() | F.col("_m.topic").isNull() | F.col("_m.payload").isNull()
     bad = F.coalesce(bad, F.lit(True))
     rest = [c for c in lines.columns if c != line]
+    origin = [F.col(f"_m.{c}").alias(c) for c in ORIGIN if c not in rest]
     good = parsed.filter(~bad).select(
-        *rest, topic_key(F.col("_m.topic")).alias("topic"), F.col("_m.payload").alias("payload")
+        *rest, *origin, topic_key(F.col("_m.topic")).alias("topic"), F.col("_m.payload").alias("payload")
     )
     return good, parsed.filter(bad).drop("_m")
 
@@ -61,12 +64,13 @@ def stream_topics(spark: SparkSession, servers: str, topics: str, max_offsets: i
 
 
 def dead_letters(rows: DataFrame, error: Column, at: Column, topic: str = "topic", payload: str = "payload", keep=()):
-    """Rows as dead-letter envelopes, one JSON line each."""
+    """Rows as dead-letter envelopes, one JSON line each, with the site and the order of arrival where the rows have them."""
     envelope = F.struct(
         F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
         F.col(topic).alias("topic"),
         error.alias("error"),
         F.col(payload).alias("payload"),
+        *[F.col(c).cast("bigint").alias(c) for c in ORIGIN if c in rows.columns],
     )
     return rows.select(*keep, F.to_json(envelope).alias("value"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from voltfleet import schemas as S
 from voltfleet.operators.aggregates import keep_first
 from voltfleet.operators.tables import site_assets
+from voltfleet.session import path_exists
 
 
 def create(spark: SparkSession, root: str, prefix: str = "") -> None:
@@ -19,6 +20,15 @@ def create(spark: SparkSession, root: str, prefix: str = "") -> None:
             f"CREATE TABLE IF NOT EXISTS {prefix}{name} ({columns}{extra}) USING parquet {layout} "
             f"LOCATION '{root}/{name}'"
         )
+    refresh(spark, root, prefix)
+
+
+def refresh(spark: SparkSession, root: str, prefix: str = "") -> None:
+    """Let the catalog see the days that were written to the tables' folders."""
+    for name in S.TABLES:
+        if name != "assets" and path_exists(spark, f"{root}/{name}"):
+            spark.catalog.recoverPartitions(f"{prefix}{name}")
+        spark.catalog.refreshTable(f"{prefix}{name}")
 
 
 def create_folders(spark: SparkSession, root: str) -> None:
@@ -62,16 +72,18 @@ def new_rows(batch: DataFrame, existing: DataFrame, keys, order=("seq",)) -> Dat
 def insert_ignore(batch: DataFrame, root: str, name: str, order=("seq",)) -> None:
     """Append the new keys of ``batch`` to a table. Running it again adds nothing.
 
-    Only the days that the batch spans are read from the table.
+    Only the days that the batch touches are read from the table. A row whose key has no time is an error.
     """
     spark = batch.sparkSession
     columns, keys = S.TABLES[name]
     stamp = next(k for k in ("created_at", "updated_at", "time") if k in keys)
     dated = batch.withColumn("date", F.to_date(stamp))
-    first, last = dated.agg(F.min("date"), F.max("date")).first()
-    if first is None:
+    days = [row.date for row in dated.select("date").distinct().collect()]  # the days of one batch
+    if None in days:
+        raise ValueError(f"{name}: a key without a time; keep such rows with the dead letters")
+    if not days:
         return
-    existing = read(spark, root, name).filter(F.col("date").between(F.lit(first), F.lit(last)))
+    existing = read(spark, root, name).filter(F.col("date").isin(days))
     wanted = [f.name for f in spark.createDataFrame([], columns).schema]
     fresh = with_declared_columns(new_rows(dated, existing, list(keys), order), name)
     fresh = fresh.select(*wanted, "date").hint("rebalance", "date")

@@ -61,8 +61,7 @@ def ingest(raw: DataFrame, root: str, checkpoint: str, once: bool = True) -> Str
         rows = batch.persist()
         try:
             clean = rows.filter("accepted").drop("accepted", "reasons", "payload")
-            # One folder per batch, overwritten when the batch is run again.
-            lake.write(clean, f"{root}/lake/batch={batch_id}", mode="overwrite", depth=4)
+            lake.write(clean, f"{root}/lake", depth=4, batch=batch_id)
             tables.insert_ignore(shape.price_rows(clean), root, "electricity_prices")
             tables.insert_ignore(shape.power_rows(clean), root, "telemetry_power")
             failed = messages.dead_letters(rows.filter("NOT accepted"), F.col("reasons"), F.current_timestamp())
