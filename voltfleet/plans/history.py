@@ -18,7 +18,7 @@ SITE_ASSET = ["site_id", "asset_id"]
 
 
 def _series(i: Inputs, keys, *columns: str):
-    return lay_out(i.t().selectExpr("site_id", "asset_id", "seq", *columns), keys, ["seq"])
+    return lay_out(i.t().selectExpr("site_id", "asset_id", "seq", *columns), keys, ["seq"], i.series_rows)
 
 
 _LAGS = f"""{W}, n AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY site_id, asset_id) AS n,
@@ -55,6 +55,7 @@ _GAPPY = "CASE WHEN k >= 30 THEN power_kw END AS x"
     "ffill",
     f"""{W} SELECT asset_id, seq, last_value(CASE WHEN k >= 30 THEN power_kw END IGNORE NULLS) OVER (
       PARTITION BY asset_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled FROM t""",
+    split=True,
 )
 def ffill(i: Inputs) -> DataFrame:
     return forward_fill(_series(i, ["asset_id"], _GAPPY), {"filled": "x"}).rows().select("asset_id", "seq", "filled")
@@ -78,6 +79,7 @@ def fill_chain(i: Inputs) -> DataFrame:
     g AS (SELECT *, CASE WHEN rn % 5 > 0 THEN power_kw END AS x FROM n)
     SELECT asset_id, seq, coalesce(x, round(avg(x) OVER (PARTITION BY asset_id ORDER BY seq
       ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 3)) AS imputed FROM g""",
+    split=True,
 )
 def impute_isolated(i: Inputs) -> DataFrame:
     """Every fifth reading of an asset is lost."""
@@ -109,7 +111,7 @@ f AS (
 def accepted_series(i: Inputs, keys):
     sent = i.messages()
     rows = fill_defaults(decode(sent)).drop("payload")
-    judged = accept(lay_out(rows, keys, ["seq"], counted=sent))
+    judged = accept(lay_out(rows, keys, ["seq"], i.series_rows, counted=sent))
     return judged.on(judged.df.filter("accepted").drop("reasons", "bad_fields", "accepted"))
 
 
@@ -139,11 +141,12 @@ def chrono_split(i: Inputs) -> DataFrame:
       UNION ALL
       SELECT n.site_id, n.seq, n.rn, 0.95e0 * r.v + 0.05e0 * n.x FROM r JOIN n ON n.site_id = r.site_id AND n.rn = r.rn + 1)
     SELECT site_id, seq, round(v, 9) AS wear FROM r""",
+    split=True,
 )
 def ewma(i: Inputs) -> DataFrame:
     """Wear index of the turbine from wind speed."""
     t = i.t().select("site_id", "seq", physics.vibration_target(F.sqrt("power_kw") * 1.5).alias("x"))
-    out = ordered.smoothed(lay_out(t, ["site_id"], ["seq"]), "x", "wear").rows()
+    out = ordered.smoothed(lay_out(t, ["site_id"], ["seq"], i.series_rows), "x", "wear").rows()
     return out.select("site_id", "seq", F.round("wear", 9).alias("wear"))
 
 
@@ -158,8 +161,9 @@ def ewma(i: Inputs) -> DataFrame:
       UNION ALL
       SELECT n.site_id, n.seq, n.rn, least(1800, greatest(200, r.v + n.d)) FROM r JOIN n ON n.site_id = r.site_id AND n.rn = r.rn + 1)
     SELECT site_id, seq, round(v, 6) AS level_kwh FROM r""",
+    split=True,
 )
 def soc_replay(i: Inputs) -> DataFrame:
     t = i.t().select("site_id", "seq", ordered.energy_delta((F.col("power_kw") - 40) * 4).alias("delta"))
-    out = ordered.storage_level(lay_out(t, ["site_id"], ["seq"]), "delta", "level_kwh").rows()
+    out = ordered.storage_level(lay_out(t, ["site_id"], ["seq"], i.series_rows), "delta", "level_kwh").rows()
     return out.select("site_id", "seq", F.round("level_kwh", 6).alias("level_kwh"))

@@ -151,6 +151,8 @@ j AS (
 class Inputs:
     spark: SparkSession
     sf_dir: str
+    #: Longest series left whole; null: the session's setting.
+    series_rows: int | None = None
 
     def __post_init__(self) -> None:
         self.spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -22,16 +22,28 @@ def _plain_times(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in stamps}) if stamps else df
 
 
-def query(name: str, sql: str | None = None):
-    """Register ``build(inputs)``; ``sql`` is its DuckDB equivalent."""
+#: Series longer than this are cut by the queries that show that layout.
+SPLIT_ROWS = 60
+
+
+def query(name: str, sql: str | None = None, split: bool = False):
+    """Register ``build(inputs)``; ``sql`` is its DuckDB equivalent.
+
+    ``split`` adds a second query of the same rows in which long series are cut into chunks.
+    """
 
     def register(build: Callable[[Inputs], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return _plain_times(build(Inputs(spark, sf_dir)))
 
-        QUERIES[name] = run
-        if sql is not None:
-            ORACLES[name] = sql
+        def run_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return _plain_times(build(Inputs(spark, sf_dir, series_rows=SPLIT_ROWS)))
+
+        for key, made in ((name, run), (f"{name}_split", run_split if split else None)):
+            if made is not None:
+                QUERIES[key] = made
+                if sql is not None:
+                    ORACLES[key] = sql
         return build
 
     return register
