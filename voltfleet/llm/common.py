@@ -27,7 +27,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write a work table to the shared folder and read it back: every later use sees the same rows, and no lineage is left."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.work_path = path
+    return out
+
+
+def done_with(*tables: DataFrame) -> None:
+    """Delete work tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.work_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_or_empty(col: str | Column = "text") -> Column:

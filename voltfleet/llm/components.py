@@ -25,13 +25,16 @@ def _small(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``component`` (its least node) of all linked nodes but the least ones; ``links`` has long columns a and b.
 
-    Each round is written to the shared folder; the number of rounds grows with the logarithm of the longest path.
+    Each round is written to the shared folder, and the one before it deleted; the number of rounds grows with the logarithm of the longest path.
     """
     now = common.written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     mark = None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == mark or not state[0]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        mark = state
+            out = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            out.work_path = now.work_path
+            return out
+        mark, before = state, now
         now = common.written(_small(_large(now)), "links")
+        common.done_with(before)

@@ -278,7 +278,9 @@ def exact(docs: DataFrame, pairs: DataFrame, homes: DataFrame, shuffles: int) ->
 
     # Arrays of a cell come before its pairs.
     dealt = rows.repartition(shuffles, "cell").sortWithinPartitions("cell", F.col("b").asc_nulls_first())
-    return dealt.mapInArrow(judge, "a bigint, b bigint")
+    links = common.written(dealt.mapInArrow(judge, "a bigint, b bigint"), "links")
+    common.done_with(celled)
+    return links
 
 
 def _in_tile(node: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: np.ndarray, near: int | None) -> Iterator[np.ndarray]:
@@ -364,15 +366,21 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = common.written(rows.filter("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("signature").alias("signature"), F.min("doc_id").alias("low")), "nodes")
     homes = common.written(tiles.groupBy("node").agg(F.min("leader").alias("home")), "homes")
     close = tile_pairs(tiles, nodes, None, shuffles, NEAR)
-    links = common.written(exact(docs, close, homes, shuffles), "links")
+    links = exact(docs, close, homes, shuffles)
     groups = components(links)
     crossed = common.written(tile_pairs(tiles, nodes, groups, shuffles), "crossed")
     if not crossed.isEmpty():
-        groups = components(links.union(exact(docs, crossed, homes, shuffles)))
+        more = exact(docs, crossed, homes, shuffles)
+        common.done_with(groups)
+        groups = components(links.union(more))
+        common.done_with(more)
     named = nodes.join(groups, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
     least_id = named.groupBy(F.col("component").alias("c")).agg(F.min("low").alias("component_id"), F.min(F.struct("low", "node")).alias("head"))
     named = named.join(least_id, F.col("component") == F.col("c"))
-    return rows, named.select(F.col("node").alias("own"), "low", "component_id", (F.col("head.node") == F.col("node")).alias("heads"))
+    named = named.select(F.col("node").alias("own"), "low", "component_id", (F.col("head.node") == F.col("node")).alias("heads"))
+    named = common.written(named, "named")
+    common.done_with(tiles, nodes, homes, links, crossed, groups)
+    return rows, named
 
 
 def linked(docs: DataFrame) -> DataFrame:
