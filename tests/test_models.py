@@ -167,6 +167,11 @@ def test_train_save_load_forecast(spark, frame, tmp_path):
     dark = wide.filter((F.hour("time") < 6) | (F.hour("time") > 18))
     assert dark.count() > 0 and dark.agg(F.max("solar")).first()[0] == 0.0
 
+    # Site 1 has no feed for the coming hours, site 2 none at all: the nearest hour and the typical day stand in.
+    thin = weather(spark).filter(F.col("site_id") == 1).filter((F.hour("time") == 11) & (F.dayofmonth("time") == START.day))
+    bright = forecasting.forecast(frame, thin, loaded).filter((F.hour("time") >= 11) & (F.hour("time") <= 12))
+    assert all(r.solar > 0 for r in bright.collect()) and bright.select("site_id").distinct().count() == 2
+
     # Two runs for the same hours stay apart; readers take the newer one.
     root = str(tmp_path / "tables")
     tables.create_folders(spark, root)
