@@ -36,8 +36,8 @@ BITS, MOST_BITS = 2048, 1 << 18
 CELLS, PARTS = 1 << 20, 16
 #: Prefix shingles sorted together.
 TILE_ROWS = 1_000_000
-#: Nearest nodes of a tile that a node is held against first; nodes of one cell of the exact check.
-NEAR, CELL_NODES = 4, 4_000
+#: Nearest nodes of a tile that a node is held against first; shingles of one cell of the exact check.
+NEAR, CELL_SHINGLES = 4, 12_000_000
 #: Bits of the filter that keeps texts of no use from the exact check.
 FILTER_BITS = 1 << 24
 
@@ -241,13 +241,15 @@ def _overlap(x: np.ndarray, y: np.ndarray) -> int:
 def exact(docs: DataFrame, pairs: DataFrame, homes: DataFrame, shuffles: int) -> DataFrame:
     """Links among pairs (a, b) of nodes, by intersecting sorted shingle arrays; those that its other links imply are left out.
 
-    Pairs meet in cells, by the first leader of either node, so that a node's array goes to few cells, and to each once. A
-    cell of many nodes is split by the first node of its pairs.
+    Pairs meet in cells, by the first home of either node and the band of the smaller size. So a node's array goes to few
+    cells, its own band and the one below, and to each once. A cell of many shingles is split by the first node of its pairs.
     """
-    home = lambda x: homes.select(F.col("node").alias(x), F.col("home").alias(f"home_{x}"))
-    celled = pairs.join(home("a"), "a").join(home("b"), "b").select("a", "b", F.least("home_a", "home_b").alias("cell"))
-    sizes = celled.groupBy("cell").agg(F.approx_count_distinct("a").alias("many"))
-    part = F.pmod(F.xxhash64("a"), F.ceil(F.col("many") / CELL_NODES))
+    side = lambda x: homes.select(F.col("node").alias(x), F.col("home").alias(f"home_{x}"), F.col("n").alias(f"n_{x}"))
+    band = F.floor(F.log(F.least("n_a", "n_b")) / float(np.log(LINK[1] / LINK[0])))
+    celled = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("cell", F.xxhash64(F.least("home_a", "home_b"), band))
+    sides = F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("n_a").alias("n")), F.struct(F.col("b").alias("node"), F.col("n_b").alias("n"))))
+    sizes = celled.select("cell", sides).distinct().groupBy("cell").agg(F.sum("n").alias("held"))
+    part = F.pmod(F.xxhash64("a"), F.ceil(F.col("held") / CELL_SHINGLES))
     celled = common.written(celled.join(sizes, "cell").select(F.xxhash64("cell", part).alias("cell"), "a", "b"), "pairs")
     members = celled.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct()
     sent = members.join(_wanted(docs, members.select("node").distinct()), "node")
@@ -364,14 +366,17 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shuffles = max(least, -(-total // 5 // TILE_ROWS))
     tiles = common.written(tile_rows(docs, level, shuffles), "tiles")
     nodes = common.written(rows.filter("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("signature").alias("signature"), F.min("doc_id").alias("low")), "nodes")
-    homes = common.written(tiles.groupBy("node").agg(F.min("leader").alias("home")), "homes")
+    homes = common.written(tiles.groupBy("node").agg(F.min("leader").alias("home"), F.first("n").alias("n")), "homes")
     close = tile_pairs(tiles, nodes, None, shuffles, NEAR)
     links = exact(docs, close, homes, shuffles)
     groups = components(links)
     crossed = common.written(tile_pairs(tiles, nodes, groups, shuffles), "crossed")
     if not crossed.isEmpty():
-        more = exact(docs, crossed, homes, shuffles)
-        common.done_with(groups)
+        # Here nodes of several families meet; a cell is all that its pairs connect.
+        families = components(crossed)
+        joined = homes.join(families, "node", "left").select("node", F.coalesce("component", "node").alias("home"), "n")
+        more = exact(docs, crossed, joined, shuffles)
+        common.done_with(groups, families)
         groups = components(links.union(more))
         common.done_with(more)
     named = nodes.join(groups, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
