@@ -25,13 +25,13 @@ def run(messages_df, keys=("site_id", "topic"), limit=None):
     return clean.rows().orderBy("seq").collect(), rejected.collect()
 
 
-SOLAR = {"temperature_c": 25.5, "irradiance_wm2": 800.0, "solar_power_kw": 60.5, "weather_source": "real_api"}
+SOLAR = {"temperature_c": 31.25, "irradiance_wm2": 642.0, "solar_power_kw": 48.75, "weather_source": "real_api"}
 BATTERY = {
-    "battery_power_kw": 100.0,
-    "battery_soc": 50.0,
-    "battery_soh": 99.0,
-    "battery_cell_temp": 25.0,
-    "battery_voltage": 395.0,
+    "battery_power_kw": -35.5,
+    "battery_soc": 63.0,
+    "battery_soh": 96.5,
+    "battery_cell_temp": 33.0,
+    "battery_voltage": 388.0,
     "anomaly_flag": False,
 }
 MARKET = {"electricity_buy_price_inr": 10.0, "electricity_sell_price_inr": 7.0, "grid_frequency_hz": 50.0}
@@ -39,13 +39,13 @@ MARKET = {"electricity_buy_price_inr": 10.0, "electricity_sell_price_inr": 7.0,
 
 def test_bounds(spark):
     clean, rejected = run(send(spark, SOLAR, SOLAR | {"temperature_c": 75.0}))
-    assert [r.seq for r in clean] == [0] and clean[0].v0 == 25.5 and clean[0].v2 == 60.5
+    assert [r.seq for r in clean] == [0] and clean[0].v0 == 31.25 and clean[0].v2 == 48.75
     assert [r.reasons for r in rejected] == [["temperature_c: out of range"]]
 
 
 def test_bounds_are_inclusive_and_text_is_coerced(spark):
     clean, _ = run(send(spark, SOLAR | {"temperature_c": "60.0"}, SOLAR | {"temperature_c": -10}, SOLAR | {"x": 1}))
-    assert [r.v0 for r in clean] == [60.0, -10.0, 25.5]
+    assert [r.v0 for r in clean] == [60.0, -10.0, 31.25]
 
 
 def test_unreadable_and_missing(spark):
@@ -83,7 +83,7 @@ def test_imputation(spark):
 def test_gap_before_any_complete_message_is_rejected(spark):
     gap = {k: v for k, v in SOLAR.items() if k != "irradiance_wm2"}
     clean, rejected = run(send(spark, gap, SOLAR, gap))
-    assert [r.seq for r in clean] == [1, 2] and clean[1].v1 == 800.0
+    assert [r.seq for r in clean] == [1, 2] and clean[1].v1 == 642.0
     assert [r.seq for r in rejected] == [0]
 
 
@@ -103,19 +103,19 @@ def test_numeric_fields_leave_out_the_flag():
 
 def test_topic_mapping(spark):
     meters = {
-        "demand_active_kw": 800.0,
-        "demand_reactive_kvar": 300.0,
-        "aggregate_power_factor": 0.93,
-        "breakdown": {"Academic_1": {"active_power_kw": 120.0}, "Lab_1": {"active_power_kw": 200.0}},
+        "demand_active_kw": 912.5,
+        "demand_reactive_kvar": 255.0,
+        "aggregate_power_factor": 0.96,
+        "breakdown": {"Library_2": {"active_power_kw": 141.5}, "Hall_4": {"active_power_kw": 76.25}},
     }
-    market = MARKET | {"electricity_buy_price_inr": 10.5, "electricity_sell_price_inr": 7.2, "grid_frequency_hz": 50.02}
-    sent = send(spark, market, topic="market").union(send(spark, SOLAR | {"solar_power_kw": 60.0}))
+    market = MARKET | {"electricity_buy_price_inr": 8.35, "electricity_sell_price_inr": 5.9, "grid_frequency_hz": 49.97}
+    sent = send(spark, market, topic="market").union(send(spark, SOLAR | {"solar_power_kw": 71.5}))
     sent = sent.union(send(spark, meters, topic="meters"))
     clean, _ = imputation.clean(lay_out(validation.decode(sent), ["site_id", "topic"], ["seq"]))
     prices = tables.price_rows(clean.rows()).collect()
-    assert [(p.buy_price_inr, p.sell_price_inr, p.grid_frequency) for p in prices] == [(10.5, 7.2, 50.02)]
+    assert [(p.buy_price_inr, p.sell_price_inr, p.grid_frequency) for p in prices] == [(8.35, 5.9, 49.97)]
     power = {r.asset_id: r.power_kw for r in tables.power_rows(clean.rows()).collect()}
-    assert power == {"solar_pv": 60.0, "campus_aggregate": 800.0, "Academic_1": 120.0, "Lab_1": 200.0}
+    assert power == {"solar_pv": 71.5, "campus_aggregate": 912.5, "Library_2": 141.5, "Hall_4": 76.25}
 
 
 def test_status_rules(spark):
@@ -214,7 +214,7 @@ def test_dead_letter_round_trip(spark, tmp_path):
     messages.append_lines(letters, str(tmp_path / "dlq"))
     messages.append_lines(letters, str(tmp_path / "dlq"))
     back = messages.read_dead_letters(spark, str(tmp_path / "dlq")).collect()
-    assert len(back) == 2 and back[0].error == "down" and json.loads(back[0].payload)["solar_power_kw"] == 60.5
+    assert len(back) == 2 and back[0].error == "down" and json.loads(back[0].payload)["solar_power_kw"] == 48.75
     good, bad = messages.parse_envelopes(messages.read_lines(spark, str(tmp_path / "dlq")))
     assert good.count() == 2 and bad.count() == 0
 

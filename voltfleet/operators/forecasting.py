@@ -8,12 +8,13 @@ from dataclasses import dataclass
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltfleet.functions import flows, physics
 from voltfleet.functions.timeparts import cyclic, is_stale
 from voltfleet.operators import aggregates, align, ordered, series
+from voltfleet.session import path_exists
 
 HORIZON = 24
 MIN_ROWS = 10
@@ -118,14 +119,8 @@ def save_models(models: dict[str, Model], root: str) -> None:
 
 def load_models(root: str, targets=tuple(TARGETS)) -> dict[str, Model]:
     """The saved models; targets that were never saved are left out."""
-    models = {}
-    for target in targets:
-        try:
-            models[target] = PipelineModel.load(f"{root}/{target}")
-        except Exception as error:  # noqa: BLE001
-            if "does not exist" not in str(error) and "Input path" not in str(error):
-                raise
-    return models
+    spark = SparkSession.active()
+    return {t: PipelineModel.load(f"{root}/{t}") for t in targets if path_exists(spark, f"{root}/{t}")}
 
 
 def horizon(latest_times: DataFrame, time: str = "time", hours: int = HORIZON) -> DataFrame:
