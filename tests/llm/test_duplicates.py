@@ -168,7 +168,7 @@ def test_shards_of_one_anchor_merge(monkeypatch, shard):
     d = np.arange(len(texts))[::-1].copy()
     zero = np.zeros(len(texts), np.int64)
     got = set()
-    for gd, _, gs in suffix_dedup._repeats(np.concatenate(texts), size, zero.astype(np.uint64), d, zero, zero):
+    for gd, _, gs in suffix_dedup._repeats(np.concatenate(texts), np.cumsum(size) - size, size, zero.astype(np.uint64), d, zero, zero):
         got |= set(zip(gd.tolist(), gs.tolist(), strict=True))
     first: dict[bytes, tuple] = {}
     every = [(int(k), s, t[s : s + 100].tobytes()) for k, t in zip(d, texts, strict=True) for s in range(len(t) - 99)]

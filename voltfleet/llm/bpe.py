@@ -208,7 +208,7 @@ def powers(inverse: bool) -> np.ndarray:
 
 
 #: Bytes hashed at once; texts beyond it are cut at white space, or encoded by the library if they have none.
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 

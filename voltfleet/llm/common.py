@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,9 +76,17 @@ def unpack(value: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def release() -> None:
+    """Give freed memory back to the system, for the tasks that share the machine; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def batches(rows: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into pieces of about ``most_bytes``, one row at least, so that memory does not follow the batch size."""
     for batch in rows:
         step = max(1, batch.num_rows * most_bytes // max(1, batch.nbytes))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+    release()

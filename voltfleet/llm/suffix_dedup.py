@@ -33,15 +33,15 @@ LENGTH = 100
 PIECE = 32
 PIECES = LENGTH - PIECE + 1
 #: Text looked at together when anchors and surroundings are gathered.
-CHUNK = 8 << 20
+CHUNK = 6 << 20
 #: Times an anchor may stand in a chunk before its places are spread.
 FREQUENT = 32
 #: Anchors to a task, on average; bytes of one suffix array.
-ANCHORS, SHARD = 1_000_000, 2 << 20
+ANCHORS, SHARD = 1_000_000, 1 << 20
 #: Stands for a null id, before all others.
 LEAST_ID = -(2**63)
 #: Bits of a place in the values whose minimum is sought.
-PLACE = 21
+PLACE = 20
 
 
 def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,6 +176,7 @@ def _gather(rows: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
             held.setdefault(to, []).append(blob)
     while held:
         yield held.popitem()[1]
+    common.release()
 
 
 def _to_documents(shuffles: int, d: np.ndarray, row: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
@@ -393,7 +394,7 @@ def _later(a: tuple, b: tuple) -> np.ndarray:
     return out
 
 
-def _repeats(data: np.ndarray, size: np.ndarray, key: np.ndarray, d: np.ndarray, row: np.ndarray, start: np.ndarray) -> Iterator[tuple]:
+def _repeats(data: np.ndarray, begin: np.ndarray, size: np.ndarray, key: np.ndarray, d: np.ndarray, row: np.ndarray, start: np.ndarray) -> Iterator[tuple]:
     """Places (d, row, start) of strings that start earlier elsewhere; surroundings in order of their key."""
     ends = np.cumsum(size)
     edges = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)) if len(key) else np.zeros(1, int)
@@ -409,8 +410,7 @@ def _repeats(data: np.ndarray, size: np.ndarray, key: np.ndarray, d: np.ndarray,
         at = a
         while at < b:
             to = min(b, max(at + 1, int(np.searchsorted(ends, ends[at] - size[at] + SHARD, side="right"))))
-            piece = slice(int(ends[at] - size[at]), int(ends[to - 1]))
-            shard = Shard(data[piece], size[at:to], d[at:to], row[at:to], start[at:to])
+            shard = Shard(data[_ranges(begin[at:to], size[at:to])], size[at:to], d[at:to], row[at:to], start[at:to])
             yield shard.d[shard.removed], shard.row[shard.removed], shard.s[shard.removed]
             if (at, to) != (a, b):  # one anchor, several shards
                 strings = shard.strings()
@@ -458,7 +458,7 @@ def _removed(shuffles: int, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         o = o[first]
         run = np.cumsum(np.append(True, key[o][1:] != key[o][:-1])) - 1 if len(o) else o
         o = o[np.bincount(run)[run] > 1] if len(o) else o
-        for gd, gr, gs in _repeats(data[_ranges(begin[o], size[o])], size[o], key[o], d[o], row[o], start[o].astype(np.int64)):
+        for gd, gr, gs in _repeats(data, begin[o], size[o], key[o], d[o], row[o], start[o].astype(np.int64)):
             gone.append((gd, gr, gs, np.ones(len(gd), np.int64)))
         gd, gr, gs, gm = (np.concatenate(x) for x in zip(*gone, strict=True))
         yield _to_documents(shuffles, gd, gr, gs.astype(np.int32), gm.astype(np.uint8))
@@ -525,16 +525,15 @@ def deduplicated(docs: DataFrame, carried: list[str] | None = None) -> DataFrame
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with what is left of their texts; all columns stay. A character that a cut would split goes whole."""
     carried = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = deduplicated(docs, carried)
+    out = deduplicated(docs, carried).select("doc_id", "kept", "more")
 
     def decode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             texts = pa.array([k.decode("utf-8", "ignore") for k in batch.column("kept").to_pylist()], pa.string())
-            yield batch.set_column(batch.schema.get_field_index("kept"), "kept", texts)
+            yield pa.record_batch([batch.column("doc_id"), texts, batch.column("more")], ["doc_id", "text", "more"])
 
-    named = out.select("doc_id", "kept", *[F.col(f"more.{c}").alias(c) for c in carried])
-    ddl = ", ".join(f"`{f.name}` {'string' if f.name == 'kept' else f.dataType.simpleString()}" for f in named.schema.fields)
-    return named.mapInArrow(decode, ddl).withColumnRenamed("kept", "text").select(docs.columns)
+    texts = out.mapInArrow(decode, f"doc_id bigint, text string, more {out.schema['more'].dataType.simpleString()}")
+    return texts.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"more.{c}").alias(c) for c in docs.columns])
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
