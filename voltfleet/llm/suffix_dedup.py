@@ -33,7 +33,7 @@ LENGTH = 100
 PIECE = 32
 PIECES = LENGTH - PIECE + 1
 #: Text looked at together when anchors and surroundings are gathered.
-CHUNK = 6 << 20
+CHUNK = 8 << 20
 #: Times an anchor may stand in a chunk before its places are spread.
 FREQUENT = 32
 #: Anchors to a task, on average; bytes of one suffix array.
