@@ -119,8 +119,8 @@ def prefix_size(n: int) -> int:
 
 
 def tile_rows(docs: DataFrame, level: np.ndarray, shuffles: int) -> DataFrame:
-    """Rows (key, node, n, leader) of tiles, the sets of nodes that share a shingle of their prefixes; ``leader``: the first node
-    of the tile's size band."""
+    """Rows (key, node, n, leader) of tiles, the sets of nodes that share a shingle of their prefixes; ``leader``: the least
+    node of the tile."""
     shared = docs.sparkSession.sparkContext.broadcast(level)
 
     def emit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +177,7 @@ def tile_rows(docs: DataFrame, level: np.ndarray, shuffles: int) -> DataFrame:
                 number = np.cumsum(first) - 1
                 keep = once[number]
                 key, node, n, first = names[number][keep], node[keep], n[keep], first[keep]
-                leader = node[np.flatnonzero(first)[np.cumsum(first) - 1]]
+                leader = np.minimum.reduceat(node, np.flatnonzero(first))[np.cumsum(first) - 1]
             else:
                 key, leader = np.zeros(0, np.uint64), node
             yield pa.record_batch(
@@ -241,7 +241,7 @@ def _overlap(x: np.ndarray, y: np.ndarray) -> int:
 def exact(docs: DataFrame, pairs: DataFrame, homes: DataFrame, shuffles: int) -> DataFrame:
     """Links among pairs (a, b) of nodes, by intersecting sorted shingle arrays; those that its other links imply are left out.
 
-    Pairs meet in cells, by the first home of either node and the band of the smaller size. So a node's array goes to few
+    Pairs meet in cells, by the least home of either node and the band of the smaller size. So a node's array goes to few
     cells, its own band and the one below, and to each once. A cell of many shingles is split by the first node of its pairs.
     """
     side = lambda x: homes.select(F.col("node").alias(x), F.col("home").alias(f"home_{x}"), F.col("n").alias(f"n_{x}"))
