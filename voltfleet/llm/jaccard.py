@@ -119,8 +119,7 @@ def prefix_size(n: int) -> int:
 
 
 def tile_rows(docs: DataFrame, level: np.ndarray, shuffles: int) -> DataFrame:
-    """Rows (key, node, n, leader) of tiles, the sets of nodes that share a shingle of their prefixes; ``leader``: the least
-    node of the tile."""
+    """Rows (key, node, n) of tiles, the sets of nodes that share a shingle of their prefixes and are close in size."""
     shared = docs.sparkSession.sparkContext.broadcast(level)
 
     def emit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,15 +176,12 @@ def tile_rows(docs: DataFrame, level: np.ndarray, shuffles: int) -> DataFrame:
                 number = np.cumsum(first) - 1
                 keep = once[number]
                 key, node, n, first = names[number][keep], node[keep], n[keep], first[keep]
-                leader = np.minimum.reduceat(node, np.flatnonzero(first))[np.cumsum(first) - 1]
             else:
-                key, leader = np.zeros(0, np.uint64), node
-            yield pa.record_batch(
-                [pa.array(key.view(np.int64)), pa.array(node), pa.array(n.astype(np.int64)), pa.array(leader)], ["key", "node", "n", "leader"]
-            )
+                key = np.zeros(0, np.uint64)
+            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(node), pa.array(n.astype(np.int64))], ["key", "node", "n"])
 
     dealt = docs.select("text").mapInArrow(emit, "to int, rows binary").repartition(shuffles, "to")
-    return dealt.mapInArrow(group, "key bigint, node bigint, n bigint, leader bigint").dropDuplicates(["key", "node"])
+    return dealt.mapInArrow(group, "key bigint, node bigint, n bigint").dropDuplicates(["key", "node"])
 
 
 def _popcount(bits: np.ndarray) -> np.ndarray:
@@ -241,8 +237,8 @@ def _overlap(x: np.ndarray, y: np.ndarray) -> int:
 def exact(docs: DataFrame, pairs: DataFrame, homes: DataFrame, shuffles: int) -> DataFrame:
     """Links among pairs (a, b) of nodes, by intersecting sorted shingle arrays; those that its other links imply are left out.
 
-    Pairs meet in cells, by the least home of either node and the band of the smaller size. So a node's array goes to few
-    cells, its own band and the one below, and to each once. A cell of many shingles is split by the first node of its pairs.
+    Pairs meet in cells, by the home of their nodes and the band of the smaller size. So a node's array goes to few cells, its
+    own band and the one below, and to each once. A cell of many shingles is split by the first node of its pairs.
     """
     side = lambda x: homes.select(F.col("node").alias(x), F.col("home").alias(f"home_{x}"), F.col("n").alias(f"n_{x}"))
     band = F.floor(F.log(F.least("n_a", "n_b")) / float(np.log(LINK[1] / LINK[0])))
@@ -366,17 +362,19 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shuffles = max(least, -(-total // 5 // TILE_ROWS))
     tiles = common.written(tile_rows(docs, level, shuffles), "tiles")
     nodes = common.written(rows.filter("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("signature").alias("signature"), F.min("doc_id").alias("low")), "nodes")
-    homes = common.written(tiles.groupBy("node").agg(F.min("leader").alias("home"), F.first("n").alias("n")), "homes")
-    close = tile_pairs(tiles, nodes, None, shuffles, NEAR)
-    links = exact(docs, close, homes, shuffles)
+    sizes = common.written(tiles.groupBy("node").agg(F.first("n").alias("n")), "sizes")
+
+    def homes(pairs: DataFrame) -> DataFrame:
+        """A cell is all that its pairs connect."""
+        return sizes.join(components(pairs), "node", "left").select("node", F.coalesce("component", "node").alias("home"), "n")
+
+    close = common.written(tile_pairs(tiles, nodes, None, shuffles, NEAR), "close")
+    links = exact(docs, close, homes(close), shuffles)
     groups = components(links)
     crossed = common.written(tile_pairs(tiles, nodes, groups, shuffles), "crossed")
     if not crossed.isEmpty():
-        # Here nodes of several families meet; a cell is all that its pairs connect.
-        families = components(crossed)
-        joined = homes.join(families, "node", "left").select("node", F.coalesce("component", "node").alias("home"), "n")
-        more = exact(docs, crossed, joined, shuffles)
-        common.done_with(groups, families)
+        more = exact(docs, crossed, homes(crossed), shuffles)
+        common.done_with(groups)
         groups = components(links.union(more))
         common.done_with(more)
     named = nodes.join(groups, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
@@ -384,7 +382,7 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = named.join(least_id, F.col("component") == F.col("c"))
     named = named.select(F.col("node").alias("own"), "low", "component_id", (F.col("head.node") == F.col("node")).alias("heads"))
     named = common.written(named, "named")
-    common.done_with(tiles, nodes, homes, links, crossed, groups)
+    common.done_with(tiles, nodes, sizes, close, links, crossed, groups)
     return rows, named
 
 
