@@ -142,6 +142,17 @@ def test_op5_matches_brute_force(spark, odd_dir, empty_dir):
     assert suffix_dedup.op5_suffix_dedup(spark, empty_dir).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_repeated_rows_are_one_document(spark, parts):
+    """Rows of one id and text repeat nothing by themselves; of documents that share a text the later one loses it."""
+    docs = [(113, prose(72, 70)), (7, "x" * 300), (200, prose(72, 70)), (8, None), (9, prose(74, 90)), (None, prose(75, 80))]
+    df = spark.createDataFrame(docs * 40, "doc_id bigint, text string").repartition(parts)
+    got = suffix_dedup.deduplicated(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert len(got) == 40 * len(docs)
+    assert {tuple(r) for r in got} == {(d, *rest) for d, rest in brute_removed(docs).items()}
+    assert {r.n_removed for r in got if r.doc_id == 113} == {0}
+
+
 def test_op5_matches_sql(spark):
     got = suffix_dedup.op5_suffix_dedup(spark, SMALL)
     assert spark_rows(got) == sql_rows(SMALL, suffix_dedup.ORACLE, got.columns)

@@ -143,6 +143,15 @@ def _spread(n: int) -> np.ndarray:
     return np.arange(n, dtype=np.uint64) * np.uint64(bpe.BASE) >> np.uint64(20)
 
 
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """Whether an entry differs from the one before it."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = False
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
 ROW = ("u8", "i8", "i8", "i4", "u1")
 SHARED = np.uint8(128)
 
@@ -185,12 +194,16 @@ def _to_documents(shuffles: int, d: np.ndarray, row: np.ndarray, *columns: np.nd
 
 
 def _by_document(*kinds: str):
-    """A row for each document, with its entries in one value; a document's entries all come to one task."""
+    """A row for each document, with its distinct entries in one value; a document's entries all come to one task.
+
+    Rows that repeat bring the same entries again.
+    """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blobs in _gather(rows):
             d, row, *columns = (np.concatenate(x) for x in zip(*(common.unpack(b, "i8", "i8", *kinds) for b in blobs), strict=True))
-            order = np.lexsort((row, d))
+            order = np.lexsort((*columns, row, d))
+            order = order[_new(*(x[order] for x in (d, row, *columns)))]
             d, row = d[order], row[order]
             columns = [np.ascontiguousarray(c[order]) for c in columns]
             cuts = np.append(np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (row[1:] != row[:-1]))), len(d))
@@ -243,6 +256,8 @@ def _surroundings(shuffles: int):
             seen = _hash(data, begin, size)
             d, row = _column(batch, "d")[which], _column(batch, "row")[which]
             order = np.lexsort((start, row, d, seen, key))
+            # A place that comes again is that of a repeated row, not a later one.
+            order = order[_new(*(x[order] for x in (key, seen, d, row, start)))]
             key, seen, d, row, start, many, begin, size = (x[order] for x in (key, seen, d, row, start, many, begin, size))
             first = np.append(True, (key[1:] != key[:-1]) | (seen[1:] != seen[:-1])) if len(key) else np.zeros(0, bool)
             to = key % np.uint64(shuffles)
