@@ -191,6 +191,26 @@ def test_pairs_of_terms_are_learned():
     assert toxicity.fit([(np.zeros(0, np.uint64), 0)]) is None
 
 
+def test_pairs_among_many_terms_are_learned():
+    """Tens of thousands of terms; toxic are a slur and a pair of words that each stand as often in toxic texts as in others."""
+    rng = np.random.default_rng(9)
+    docs = []
+    for _ in range(6000):
+        a, b = rng.random() < 0.3, rng.random() < 0.3
+        slur = not (a or b) and rng.random() < 0.43
+        words = [f"w{k}" for k in (40_000 * rng.random(30) ** 1.5).astype(int)]
+        docs.append((" ".join([*words, *["these"] * a, *["people"] * b, *["slur"] * slur]), int(a and b or slur), a + 2 * b + 4 * slur))
+    terms = [np.unique(toxicity.texts_terms([t])[1]) for t, _, _ in docs]
+    assert len(np.unique(np.concatenate(terms[:4000]))) > 20_000
+    kind = np.array([k for _, _, k in docs])
+    label = np.array([y for _, y, _ in docs])
+    assert all(abs(label[(kind & w) > 0].mean() - label.mean()) < 0.06 for w in (1, 2))
+    machine = toxicity.fit([(t, y) for t, (_, y, _) in zip(terms[:4000], docs[:4000], strict=True)])
+    flagged = toxicity.scores(machine, [t for t, _, _ in docs[4000:]]) >= toxicity.LIMIT
+    rates = {k: flagged[kind[4000:] == k].mean() for k in (0, 1, 2, 3, 4)}
+    assert rates[3] > 0.8 and rates[4] > 0.9 and max(rates[0], rates[1], rates[2]) < 0.05, rates
+
+
 def test_op8_odd_rows(spark, odd_dir, empty_dir):
     got = toxicity.op8_toxicity(spark, odd_dir).collect()
     assert len(got) == len(rows())

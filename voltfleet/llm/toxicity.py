@@ -1,9 +1,13 @@
 """Toxicity of whole texts, by a factorization machine over hashed terms.
 
-A term is a run of letters and digits, A-Z lower-cased, hashed to ``HASH_BITS`` bits; a text has a term or not. The machine
-adds a weight per term and, for each pair of terms in a text, the product of their factors, so it learns that two terms
-together mean more than each alone. It is fitted in numpy on at most ``SAMPLE`` labelled documents, those with the least
-hashes of their ids, over the ``TERMS`` terms whose presence differs most between the labels.
+A term is a run of letters and digits, A-Z lower-cased, hashed to one of ``SLOTS`` slots; a text has a slot or not. The
+machine adds a weight per slot and, for each pair of slots in a text, the product of their factors, so it learns that two
+terms together mean more than each alone. It is fitted in numpy on at most
+``SAMPLE`` labelled documents, those with the least hashes of their ids, and in two steps: over the ``FIRST`` slots whose
+presence differs most between the labels, all documents at once, and from there over every slot of the documents, in small
+batches. The second step has to explain what the first could not, so it finds pairs of terms that say nothing alone. No term
+is left out: one seen in few documents speaks more softly, by count / (count + ``DOUBT``), and penalties hold every slot to
+what the first step gave it, zero for most. A term that no labelled document has says nothing.
 
 A null or empty text has no terms and gets the score of the bias. A document with several labels counts as toxic if one of
 them says so; null labels teach nothing. With no labels of one kind to learn from, every score is 0. Repeated rows are
@@ -23,11 +27,18 @@ from pyspark.sql import functions as F
 from voltfleet.llm import bpe, common
 from voltfleet.llm.shingles import texts_words
 
-SAMPLE, TERMS, LEAST_DOCS = 20_000, 768, 5
-HASH_BITS = 32
+SAMPLE = 20_000
+HASH_BITS = 19
+SLOTS = 1 << HASH_BITS
+#: Each step takes ``BATCH`` documents.
+FIRST, LEAST_DOCS = 768, 5
 FACTORS, STEPS, RATE = 6, 220, 0.08
-#: Penalties on weights and on factors, for the sum over documents.
+#: Penalties of the first step on weights and on factors, for the sum over documents.
 DECAY = (2e-4, 2e-3)
+#: The second step: batches, documents in each, rate and penalties.
+BATCHES, BATCH, PACE = 400, 128, 0.05
+HOLD = (10.0, 3.0)
+DOUBT = 20
 LIMIT = 0.7
 _KEPT = {b: b for b in range(128, 256)} | {b: ord(chr(b).lower()) for b in range(128) if chr(b).isalnum()}
 TRANSLATE = bytes(_KEPT.get(b, 32) for b in range(256))
@@ -35,14 +46,13 @@ TRANSLATE = bytes(_KEPT.get(b, 32) for b in range(256))
 
 @dataclass
 class Machine:
-    terms: np.ndarray  # hashes in order
     bias: float
-    weight: np.ndarray
-    factor: np.ndarray  # terms, FACTORS
+    weight: np.ndarray  # by slot
+    factor: np.ndarray  # slots, FACTORS
 
 
 def texts_terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the text and hash of every term in it."""
+    """Number of the text and slot of every term in it."""
     words = texts_words([(t or "").encode("utf-8", "replace").translate(TRANSLATE) for t in texts])
     which = np.repeat(np.arange(len(words)), [len(w) for w in words])
     flat = np.concatenate(words) if words else np.zeros(0, np.uint64)
@@ -68,32 +78,27 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(examples: list[tuple[np.ndarray, int]]) -> Machine | None:
-    """Train on (distinct term hashes of a document, label); None if a label is missing. The same examples give the same machine."""
-    label = np.array([y for _, y in examples], float)
-    if not 0 < label.sum() < len(label):
-        return None
-    doc = np.repeat(np.arange(len(examples)), [len(t) for t, _ in examples])
-    flat = np.concatenate([t for t, _ in examples])
+def _first(flat: np.ndarray, doc: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, Machine]:
+    """Slots that differ most between the labels, and a machine over them alone."""
     terms, term, count = np.unique(flat, return_inverse=True, return_counts=True)
     toxic = np.bincount(term, label[doc], len(terms))
     share = label.mean()
     lift = (toxic - count * share) ** 2 / (count * share * (1 - share))
     lift[count < LEAST_DOCS] = -1
-    chosen = np.sort(np.argsort(-lift, kind="stable")[:TERMS])
+    chosen = np.sort(np.argsort(-lift, kind="stable")[:FIRST])
     chosen = chosen[lift[chosen] >= 0]
     number = np.full(len(terms), -1)
     number[chosen] = np.arange(len(chosen))
     keep = number[term] >= 0
     doc, term = doc[keep], number[term[keep]]
     rng = np.random.default_rng(11)
-    m = Machine(terms[chosen], float(np.log(share / (1 - share))), np.zeros(len(chosen)), rng.normal(0, 0.05, (len(chosen), FACTORS)))
+    m = Machine(float(np.log(share / (1 - share))), np.zeros(len(chosen)), rng.normal(0, 0.05, (len(chosen), FACTORS)))
     state = [np.zeros(1), np.zeros_like(m.weight), np.zeros_like(m.factor)]
     speed = [np.zeros_like(s) for s in state]
     by_term = np.argsort(term, kind="stable")
     edge = np.searchsorted(term[by_term], np.arange(len(chosen) + 1))
     for step in range(1, STEPS + 1):
-        raw, factors = raw_scores(m, doc, term, len(examples))
+        raw, factors = raw_scores(m, doc, term, len(label))
         wrong = (_logistic(raw) - label) / len(label)
         row = wrong[doc]
         each = np.concatenate([row[:, None], row[:, None] * (factors[doc] - m.factor[term])], axis=1)[by_term]
@@ -106,7 +111,48 @@ def fit(examples: list[tuple[np.ndarray, int]]) -> Machine | None:
             square += 0.01 * (g * g - square)
             x -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
         m.bias = float(values[0][0])
-    return m
+    return terms[chosen], m
+
+
+def fit(examples: list[tuple[np.ndarray, int]]) -> Machine | None:
+    """Train on (distinct slots of a document, label); None if a label is missing. The same examples give the same machine."""
+    label = np.array([y for _, y in examples], float)
+    if not 0 < label.sum() < len(label):
+        return None
+    size = np.array([len(t) for t, _ in examples])
+    begin = np.cumsum(size) - size
+    flat = np.concatenate([t for t, _ in examples]).astype(np.int32)
+    chosen, early = _first(flat, np.repeat(np.arange(len(examples)), size), label)
+    count = np.bincount(flat, minlength=SLOTS)
+    trust = (count / (count + DOUBT)).astype(np.float32)
+    rng = np.random.default_rng(11)
+    bias, table = early.bias, np.zeros((SLOTS, 1 + FACTORS), np.float32)
+    # The weight and the factors of a slot in one row, before they are softened.
+    table[chosen] = np.column_stack([early.weight, early.factor]) / trust[chosen, None]
+    start = table.copy()
+    others = np.setdiff1d(np.flatnonzero(count), chosen)
+    table[others, 1:] = rng.normal(0, 0.01, (len(others), FACTORS))
+    speed = np.ones_like(table)
+    hold = np.array([HOLD[0]] + [HOLD[1]] * FACTORS)
+    left = np.zeros(0, int)
+    for _ in range(BATCHES):
+        if not len(left):
+            left = rng.permutation(len(examples))
+        some, left = left[:BATCH], left[BATCH:]
+        doc = np.repeat(np.arange(len(some)), size[some])
+        ends = np.cumsum(size[some])
+        slots, at = np.unique(flat[np.repeat(begin[some] - (ends - size[some]), size[some]) + np.arange(len(doc))], return_inverse=True)
+        soft, own = trust[slots, None], table[slots]
+        m = Machine(bias, own[:, 0] * soft[:, 0], own[:, 1:] * soft)
+        raw, factors = raw_scores(m, doc, at, len(some))
+        row = (_logistic(raw) - label[some])[doc]
+        around = row[:, None] * (factors[doc] - m.factor[at])
+        grad = np.stack([np.bincount(at, x, len(slots)) for x in (row, *around.T)], axis=1) * soft
+        grad += hold * (own - start[slots]) * (np.bincount(at, minlength=len(slots)) / count[slots])[:, None]
+        speed[slots] += grad * grad
+        table[slots] -= PACE * grad / np.sqrt(speed[slots])
+    table *= trust[:, None]
+    return Machine(bias, table[:, 0].copy(), table[:, 1:].copy())
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Machine | None:
@@ -124,17 +170,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine | None:
 
     found = rows.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id bigint, toxic int, terms binary").dropDuplicates(["doc_id"]).collect()
     found.sort(key=lambda r: r.doc_id)
-    return fit([(np.frombuffer(r.terms, np.uint32).astype(np.uint64), int(r.toxic)) for r in found])
+    return fit([(np.frombuffer(r.terms, np.uint32), int(r.toxic)) for r in found])
 
 
 def scores(m: Machine | None, texts: list[str | None]) -> np.ndarray:
     if m is None:
         return np.zeros(len(texts))
     doc, term = texts_terms(texts)
-    at = np.minimum(np.searchsorted(m.terms, term), len(m.terms) - 1)
-    hit = m.terms[at] == term if len(m.terms) else np.zeros(len(term), bool)
-    pair = np.unique(doc[hit] * np.int64(TERMS) + at[hit])
-    return _logistic(raw_scores(m, pair // TERMS, pair % TERMS, len(texts))[0])
+    pair = np.unique(doc * np.int64(SLOTS) + term.astype(np.int64))
+    return _logistic(raw_scores(m, pair // SLOTS, pair % SLOTS, len(texts))[0])
 
 
 def with_toxicity(docs: DataFrame, m: Machine | None) -> DataFrame:
