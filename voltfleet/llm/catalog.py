@@ -1,6 +1,20 @@
 """Queries of the operators over the given tables, and the SQL of those that SQL can express."""
 
-from voltfleet.llm import fingerprints, jaccard, language_id, mixing, packing, quality_rules, suffix_dedup, token_counts, toxicity, url_filters
+from voltfleet.llm import (
+    fingerprints,
+    infilling,
+    jaccard,
+    language_id,
+    maxscore,
+    mixing,
+    packing,
+    prefix_trie,
+    quality_rules,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+    url_filters,
+)
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -13,6 +27,9 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_mixing": mixing.op9_mixing,
     "op10_packing": packing.op10_packing,
+    "op11_exact_top_k": maxscore.op11_exact_top_k,
+    "op12_fill_in_middle": infilling.op12_fill_in_middle,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 ORACLES: dict[str, str] = {
     "op3_url_filters": url_filters.ORACLE,
@@ -20,4 +37,7 @@ ORACLES: dict[str, str] = {
     "op5_suffix_dedup": suffix_dedup.ORACLE,
     "op6_fingerprints": fingerprints.ORACLE,
     "op9_mixing": mixing.ORACLE,
+    "op11_exact_top_k": maxscore.ORACLE,
+    "op12_fill_in_middle": infilling.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
