@@ -22,7 +22,7 @@ NONE = np.int32(2**30)
 BREAK = b"\xff\xff\xff\xff"
 #: Letters, digits and signs whose case, class and composed form no Unicode version changes; U+0130 grows in lower case.
 SAFE = r"\x21-\x7e\xa1-įı-ɏ\n"
-#: Words one worker remembers before it starts again: a bound on memory, not on words.
+#: Words one worker remembers before it forgets the older half: a bound on memory, not on words.
 MEMO = 2_000_000
 #: Words of more characters are left to the library.
 LONGEST = 48
@@ -124,11 +124,48 @@ class Pieces:
         right = np.array([vocab[b] for _, b in merges], np.int64)
         self.merged = np.array([vocab[a + b] for a, b in merges], np.int32)
         self.rank = Table(pair_key(left, right), np.arange(len(merges), dtype=np.int32))
+        #: The merge that makes each token, -1 for none, and the two tokens that it joins.
+        size = max(vocab.values()) + 1
+        self.born = np.full(size, -1, np.int32)
+        self.left_part, self.right_part = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for part, side in ((self.left_part, left), (self.right_part, right)):
+            part[self.merged] = side
+        self.born[self.merged] = np.arange(len(merges), dtype=np.int32)
+        if len(set(self.merged.tolist())) < len(merges) or (np.maximum(self.born[left], self.born[right]) >= np.arange(len(merges))).any():
+            raise ValueError("a token with two merges, or one that is used before it is made")
+        self.whole = np.ones(size, bool)
+        self.whole[self.merged] = self.apart(left, right, np.arange(len(merges), dtype=np.int32))
+        for a, b, c in zip(left.tolist(), right.tolist(), self.merged.tolist(), strict=True):
+            self.whole[c] &= self.whole[a] and self.whole[b]
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         found = self.rank.get(pair_key(left.ravel(), right.ravel())).reshape(left.shape)
         return np.where(found < 0, NONE, found)
 
+    def apart(self, left: np.ndarray, right: np.ndarray, until: np.ndarray | None = None) -> np.ndarray:
+        """Whether no merge (before rank ``until``, if given) joins parts of both tokens of a pair while each is put together.
+
+        Merges run in the order of their ranks, so the parts that met at the edge are found by taking the merges of both
+        tokens back, the latest first. Parts x and y were joined if the rank of their merge comes before the one that took x
+        into its own token, and not after the one that took y: of equal pairs the leftmost is merged first.
+        """
+        out = np.ones(len(left), bool)
+        open_ = np.arange(len(left))
+        x, y = left.astype(np.int64), right.astype(np.int64)
+        end_x = np.full(len(left), NONE, np.int32) if until is None else until.astype(np.int32)
+        end_y = end_x.copy() if until is None else end_x - 1
+        while len(open_):
+            rank = self._ranks(x, y)
+            met = (rank < end_x) & (rank <= end_y) & (rank < NONE)
+            out[open_[met]] = False
+            born_x, born_y = self.born[x], self.born[y]
+            go = ~met & ((born_x >= 0) | (born_y >= 0))
+            open_, x, y, end_x, end_y, born_x, born_y = (v[go] for v in (open_, x, y, end_x, end_y, born_x, born_y))
+            back = born_x > born_y
+            end_x, x = np.where(back, born_x, end_x), np.where(back, self.right_part[x], x)
+            end_y, y = np.where(back, end_y, born_y), np.where(back, y, self.left_part[y])
+        return out
+
     def merge(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merge rows of one length, lowest rank first, leftmost first; returns the ids, left-aligned, and their numbers."""
         ids = ids.copy()
@@ -194,27 +231,68 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-#: Odd, so that it has an inverse modulo 2**64.
+#: An odd number with well mixed bits.
 BASE = 0x9E3779B97F4A7C15
 
 
 @cache
 def powers(inverse: bool) -> np.ndarray:
-    """Powers of the hash base, or of its inverse, for each place in a block of text."""
+    """Powers of the base, or of its inverse, for each place in a block; for hashes of short ranges of bytes."""
     base = pow(BASE, -1, 1 << 64) if inverse else BASE
     out = np.full(BLOCK, base, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
+def mix(h: np.ndarray) -> np.ndarray:
+    """Spread 64-bit values over all bits."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 #: Bytes hashed at once; texts beyond it are cut at white space, or encoded by the library if they have none.
 BLOCK = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+class Found:
+    """The white-space words of a block: where they start and end, and their bytes as lanes of eight, the last filled up with 0."""
+
+    def __init__(self, data: bytes):
+        raw = np.frombuffer(data, np.uint8)
+        gap = np.ones(len(raw) + 2, bool)
+        gap[1:-1] = SPACE[raw]
+        edge = np.flatnonzero(gap[1:] != gap[:-1])
+        self.starts, self.ends = edge[::2], edge[1::2]
+        size = self.ends - self.starts
+        #: Lanes of each word, and its first one.
+        self.wide = (size + 7) >> 3
+        self.first = np.cumsum(self.wide) - self.wide
+        self.place = np.arange(int(self.wide.sum())) - np.repeat(self.first, self.wide)
+        at = np.repeat(self.starts, self.wide) + 8 * self.place
+        padded = np.frombuffer(data + bytes(8), np.uint8)
+        lanes = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))[at]
+        spare = 8 * np.minimum(np.repeat(self.ends, self.wide) - at, 8)
+        self.lanes = lanes & (np.uint64(2**64 - 1) >> (np.uint64(64) - spare.astype(np.uint64)))
+        self.size = size
+
+    def hashes(self) -> np.ndarray:
+        """A hash of each word: every lane is mixed with its place, by a factor of its own, before lanes are added."""
+        if not len(self.starts):
+            return np.zeros(0, np.uint64)
+        key = mix((self.place.astype(np.uint64) + np.uint64(1)) * np.uint64(BASE))
+        sums = np.add.reduceat(mix(self.lanes ^ key) * (key | np.uint64(1)), self.first)
+        return mix(sums + self.size.astype(np.uint64) * np.uint64(BASE))
+
+
 class Words:
-    """Values of the white-space words of texts, here their ids, each made once per worker and found again by a 64-bit hash."""
+    """Values of the white-space words of texts, here their ids, each made once per worker.
+
+    A word is looked up by a 64-bit hash, and its bytes are compared with those of the word found. Where they differ, the
+    hash is hashed on until it finds the word or a free key, so two words never share a value.
+    """
 
     def __init__(self, path: str):
         self.engine: Pieces = pieces(path)
@@ -222,8 +300,21 @@ class Words:
 
     def forget(self) -> None:
         self.table = Table(np.zeros(0, np.uint64), np.zeros(0, np.int32))
-        #: Values of the known words in a row, and where each word's begin.
+        #: Keys of the known words; their values in a row, and where each word's begin; the same for their lanes.
+        self.keys = np.zeros(1 << 14, np.uint64)
         self.pool, self.starts = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+        self.lanes, self.lane_starts = np.zeros(1 << 15, np.uint64), np.zeros(1 << 14, np.int64)
+
+    def forget_older(self) -> None:
+        """Keep the newer half of the known words."""
+        have, cut = self.table.size, self.table.size // 2
+        self.keys[: have - cut] = self.keys[cut:have]
+        for pool, starts in ((self.pool, self.starts), (self.lanes, self.lane_starts)):
+            begin, end = int(starts[cut]), int(starts[have])
+            pool[: end - begin] = pool[begin:end].copy()
+            starts[: have - cut + 1] = starts[cut : have + 1] - begin
+        self.table = Table(self.keys[: have - cut], np.arange(have - cut, dtype=np.int32))
+        self.table.size = have - cut
 
     def learn(self, new: list[str]) -> list[bytes]:
         """Values of words: for each, 32-bit numbers as bytes."""
@@ -244,42 +335,49 @@ class Words:
             known.update(zip(part, self.engine.by_library(part), strict=True))
         return [known[w] for w in new]
 
-    def _append(self, hashes: np.ndarray, made: list[bytes]) -> None:
-        have = self.table.size
-        if have + len(made) + 1 > len(self.starts):
-            self.starts = np.append(self.starts, np.zeros(max(len(self.starts), len(made) + 1), np.int64))
-        ends = np.cumsum([len(m) // 4 for m in made]) + self.starts[have]
-        if ends[-1] > len(self.pool):
-            self.pool = np.append(self.pool, np.zeros(max(len(self.pool), int(ends[-1])), np.uint32))
-        self.pool[self.starts[have] : ends[-1]] = np.frombuffer(b"".join(made), "<u4")
-        self.starts[have + 1 : have + 1 + len(made)] = ends
-        self.table.add(hashes, np.arange(have, have + len(made), dtype=np.int32))
+    def _append(self, hashes: np.ndarray, made: list[bytes], words: Found, which: np.ndarray) -> None:
+        have, to = self.table.size, self.table.size + len(made)
+        if to + 1 > len(self.starts):
+            more = max(len(self.starts), len(made) + 1)
+            self.keys, self.starts, self.lane_starts = (np.append(x, np.zeros(more, x.dtype)) for x in (self.keys, self.starts, self.lane_starts))
+        wide = words.wide[which]
+        lanes = words.lanes[np.repeat(words.first[which] - (np.cumsum(wide) - wide), wide) + np.arange(int(wide.sum()))]
+        self.pool = _row(self.pool, self.starts, have, np.array([len(m) // 4 for m in made]), np.frombuffer(b"".join(made), "<u4"))
+        self.lanes = _row(self.lanes, self.lane_starts, have, wide, lanes)
+        self.keys[have:to] = hashes
+        self.table.add(hashes, np.arange(have, to, dtype=np.int32))
+
+    def _same(self, words: Found, which: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether words ``which`` of a block have the bytes of the known words ``at``."""
+        begin, wide = self.lane_starts[at], words.wide[which]
+        same = self.lane_starts[at + 1] - begin == wide
+        some = np.flatnonzero(same)
+        wide, own = wide[some], words.first[which[some]]
+        step = np.arange(int(wide.sum())) - np.repeat(np.cumsum(wide) - wide, wide)
+        equal = words.lanes[np.repeat(own, wide) + step] == self.lanes[np.repeat(begin[some], wide) + step]
+        if len(some):
+            same[some] = np.logical_and.reduceat(equal, np.cumsum(wide) - wide)
+        return same
 
     def find(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         """For each word of a block its number among the known words, and the byte where it starts."""
-        raw = np.frombuffer(data, np.uint8)
-        gap = np.ones(len(raw) + 2, bool)
-        gap[1:-1] = SPACE[raw]
-        edge = np.flatnonzero(gap[1:] != gap[:-1])
-        starts, ends = edge[::2], edge[1::2]
-        if not len(starts):
-            return starts, starts
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(False)[: len(raw)], out=sums[1:])
-        hashes = (sums[ends] - sums[starts]) * powers(True)[starts]
-        hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        hashes[hashes == 0] = 1
-        at = self.table.get(hashes)
-        if len(missing := np.flatnonzero(at < 0)):
-            fresh, first = np.unique(hashes[missing], return_index=True)
-            if self.table.size + len(fresh) > MEMO:
-                self.forget()
-                fresh, first = np.unique(hashes, return_index=True)
-                missing = np.arange(len(hashes))
-            which = missing[first]
-            texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)]
-            self._append(fresh, self.learn(texts))
-            at = self.table.get(hashes)
+        words = Found(data)
+        starts, ends = words.starts, words.ends
+        hashes = np.maximum(words.hashes(), np.uint64(1))
+        if self.table.size + len(starts) > MEMO:
+            self.forget_older()
+        at = np.zeros(len(starts), np.int64)
+        open_ = np.arange(len(starts))
+        while len(open_):
+            at[open_] = self.table.get(hashes[open_])
+            if len(missing := open_[at[open_] < 0]):
+                fresh, first = np.unique(hashes[missing], return_index=True)
+                which = missing[first]
+                texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)]
+                self._append(fresh, self.learn(texts), words, which)
+                at[missing] = self.table.get(hashes[missing])
+            open_ = open_[~self._same(words, open_, at[open_])]
+            hashes[open_] = np.maximum(mix(hashes[open_] + np.uint64(BASE)), np.uint64(1))
         return at, starts
 
     def block(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -290,6 +388,16 @@ class Words:
         return self.pool[shift + np.arange(len(shift))], starts, count
 
 
+def _row(pool: np.ndarray, starts: np.ndarray, have: int, sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Put values behind the first ``have`` runs of a pool; a pool that is too short is copied to a longer one."""
+    ends = np.cumsum(sizes) + starts[have]
+    if ends[-1] > len(pool):
+        pool = np.append(pool, np.zeros(max(len(pool), int(ends[-1])), pool.dtype))
+    pool[starts[have] : ends[-1]] = values
+    starts[have + 1 : have + 1 + len(sizes)] = ends
+    return pool
+
+
 @cache
 def words(path: str) -> Words:
     return Words(path)

@@ -5,30 +5,15 @@ from __future__ import annotations
 import numpy as np
 
 from voltfleet.llm import bpe, common
+from voltfleet.llm.bpe import mix
 
 STEP = np.uint64(0x9FB21C651E98DF25)
 
 
-def mix(h: np.ndarray) -> np.ndarray:
-    """Spread 64-bit values over all bits."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each white-space word of a block and the byte where it starts."""
-    raw = np.frombuffer(data, np.uint8)
-    gap = np.ones(len(raw) + 2, bool)
-    gap[1:-1] = bpe.SPACE[raw]
-    edge = np.flatnonzero(gap[1:] != gap[:-1])
-    starts, ends = edge[::2], edge[1::2]
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    up, down = bpe.powers(False), bpe.powers(True)
-    if len(raw) > len(up):  # one word of more than a block
-        up, down = (np.multiply.accumulate(np.append(np.uint64(1), np.full(len(raw), p[1], np.uint64))) for p in (up, down))
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts]), starts
+    found = bpe.Found(data)
+    return found.hashes(), found.starts
 
 
 def texts_words(texts: list[bytes]) -> list[np.ndarray]:

@@ -63,20 +63,8 @@ class Prefixes:
         return out
 
     def _judge(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(left), bool)
-        by_length: dict[int, list[int]] = {}
-        rows = []
-        for k, (a, b) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
-            (first, _), (second, ends) = self.engine.spelled[a], self.engine.spelled[b]
-            rows.append((first + second, ends))
-            by_length.setdefault(len(first) + len(second), []).append(k)
-        for where in by_length.values():
-            ids = self.engine.first[np.frombuffer(b"".join(rows[k][0] for k in where), np.uint8).reshape(len(where), -1)]
-            final = np.array([rows[k][1] for k in where])
-            ids[final, -1] = self.engine.final[[rows[k][0][-1] for k, end in zip(where, final, strict=True) if end]]
-            ids, count = self.engine.merge(ids)
-            out[where] = (count == 2) & (ids[:, 0] == left[where]) & (ids[:, 1] == right[where])
-        return out
+        whole = self.engine.whole
+        return whole[left] & whole[right] & self.engine.apart(left, right)
 
     def table(self, raw: np.ndarray) -> np.ndarray:
         """``raw``: a row of bytes per piece. Tokens of the first 1, 2, ... bytes of each piece, taken as whole pieces."""
