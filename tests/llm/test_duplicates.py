@@ -68,6 +68,35 @@ def test_many_near_copies_and_frequent_passages(spark):
     assert spark_rows(jaccard.linked(df)) == brute_groups(docs)
 
 
+def test_large_tiles_are_worked_on_in_blocks(spark, monkeypatch):
+    """Families at the edge of the link threshold, in tiles cut to blocks of a few nodes and cells of a few shingles."""
+    for name, value in (("BLOCK", 4), ("CELL_SHINGLES", 300), ("NEAR", 1), ("NEAR_TILES", 1)):
+        monkeypatch.setattr(jaccard, name, value)
+    docs = []
+    for k in range(40):
+        text = prose(77, 60).split()
+        for j in range(k % 3):
+            text[7 + 17 * j] = f"other{k}x{j}"
+        docs.append((k, " ".join(text)))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    assert spark_rows(jaccard.linked(df)) == brute_groups(docs)
+
+
+def thue_morse(size, a="a", b="b"):
+    while len(a) < size:
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("size", [1024, 2048, 4096])
+def test_words_whose_polynomial_hashes_agree_stay_apart(spark, size):
+    x, y = thue_morse(size)
+    docs = [(1, f"{x} one two three four"), (2, f"{y} one two three four"), (3, f"{x} one two three four five"), (4, f"{y} one two three four")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(2)
+    assert spark_rows(jaccard.linked(df)) == brute_groups(docs)
+    assert len(set(shingles.word_hashes(f"{x} {y} {x}".encode())[0].tolist())) == 2
+
+
 def test_frequent_shingles_come_last_and_no_link_is_lost(spark):
     docs = [(k, prose(3000 + k % 7, 90) + f" tail{k}") for k in range(30)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)

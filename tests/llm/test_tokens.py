@@ -32,6 +32,47 @@ def test_any_prefix_matches_the_library(text):
     assert token_counts.prefix_counts(PATH, text).tolist() == want
 
 
+def test_words_whose_polynomial_hashes_agree_have_their_own_ids():
+    texts = []
+    for size in (1024, 2048, 4096):
+        x, y = "a", "b"
+        while len(x) < size:
+            x, y = x + y, y + x
+        texts += [x, y, f"{y} {x}"]
+    assert [g.tolist() for g in bpe.encode_texts(PATH, texts)] == library(texts)
+    assert token_counts.totals(PATH, texts).tolist() == [len(x) for x in library(texts)]
+
+
+def test_words_with_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(bpe.Found, "hashes", lambda self: self.size.astype(np.uint64) % np.uint64(3))
+    texts = ["the cat sat on a mat with that rat and the other dog", "another dog sat on the other mat"] * 3
+    known = bpe.Words(PATH)
+    got = [known.block(t.encode())[0].tolist() for t in texts]
+    assert got == library(texts)
+
+
+def test_older_words_are_forgotten_and_learned_again(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 60)
+    known = bpe.Words(PATH)
+    for k in range(40):
+        text = " ".join(f"word{(k * 7 + j) % 90} and thing{j}" for j in range(12))
+        assert known.block(text.encode())[0].tolist() == library([text])[0]
+        assert known.table.size <= 100
+
+
+def test_token_pairs_are_judged_as_by_encoding():
+    engine = bpe.pieces(PATH)
+    rng = np.random.default_rng(2)
+    inner = [i for i, (s, end) in engine.spelled.items() if s and not end]
+    left, right = rng.choice(inner, 3000), rng.choice([i for i, (s, _) in engine.spelled.items() if s], 3000)
+    for a, b, apart in zip(left.tolist(), right.tolist(), engine.apart(left, right), strict=True):
+        (first, _), (second, end) = engine.spelled[a], engine.spelled[b]
+        ids = np.array([[*engine.first[np.frombuffer(first + second, np.uint8)]]])
+        ids[0, -1] = engine.final[second[-1]] if end else ids[0, -1]
+        ids, count = engine.merge(ids.astype(np.int32))
+        assert apart == (count[0] == 2 and ids[0, :2].tolist() == [a, b])
+
+
 def test_texts_of_more_than_a_block(monkeypatch):
     monkeypatch.setattr(bpe, "BLOCK", 64)
     bpe.powers.cache_clear()

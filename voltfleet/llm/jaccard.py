@@ -6,10 +6,11 @@ shingles over all documents. Tiles are banded by set size. In a tile a hashed bi
 from above: every bit that only one of two sets has stands for an element that the other lacks. What passes is counted
 exactly on sorted hash arrays.
 
-Links are looked for in two steps. First every node of a tile is held against those few that its signature is nearest to; the
-links found make groups. Then, in tiles that still hold nodes of different groups, every pair from different groups is
-judged. In both, a pair whose nodes other links have joined already is skipped. So a tile of many near copies costs about as
-many exact checks as it has nodes, and no link between two groups is missed.
+Links are looked for in two steps. First, in a few of its tiles and in blocks of large ones, every node is held against those
+few that its signature is nearest to; the links found make groups. Then, in all tiles that still hold nodes of different
+groups, every pair from different groups is judged; a large tile is worked on by pairs of blocks. In both, a pair whose nodes
+other links have joined already is skipped. So a tile of many near copies costs about as many exact checks as it has nodes,
+no link between two groups is missed, and no task holds a large tile.
 
 Null and empty texts and those without words have no shingles and link with nothing; fewer than five words are one shingle.
 Equal texts always link. A null doc_id is a document too; a group's id is its least id that is not null.
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voltfleet.llm import common
@@ -36,10 +37,12 @@ BITS, MOST_BITS = 2048, 1 << 18
 CELLS, PARTS = 1 << 20, 16
 #: Prefix shingles sorted together.
 TILE_ROWS = 1_000_000
-#: Nearest nodes of a tile that a node is held against first; shingles of one cell of the exact check.
-NEAR, CELL_SHINGLES = 4, 12_000_000
-#: Bits of the filter that keeps texts of no use from the exact check.
-FILTER_BITS = 1 << 24
+#: Nearest nodes of a tile that a node is held against first, and the tiles of a node where that is done.
+NEAR, NEAR_TILES = 4, 4
+#: Shingles of one cell of the exact check; nodes of one block of a large tile.
+CELL_SHINGLES, BLOCK = 500_000, 1024
+#: Bits a node of the filter that keeps texts of no use from the exact check, and the most bits of that filter.
+NODE_BITS, MOST_FILTER_BITS = 8, 1 << 27
 
 
 def _node(found: np.ndarray) -> int:
@@ -200,15 +203,18 @@ def _may_link(n_a: np.ndarray, n_b: np.ndarray, most: np.ndarray) -> np.ndarray:
 def _wanted(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node and sorted shingle array of the given nodes, and of a few others."""
 
+    wanted = nodes.count() * NODE_BITS
+    size = min(MOST_FILTER_BITS, max(1 << 20, 1 << wanted.bit_length()))
+
     def mark(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        bits = np.zeros(size // 8, np.uint8)
         for batch in rows:
-            at = mix(batch.column(0).to_numpy().view(np.uint64)) & np.uint64(FILTER_BITS - 1)
+            at = mix(batch.column(0).to_numpy().view(np.uint64)) & np.uint64(size - 1)
             np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
         yield pa.record_batch([pa.array([common.pack(bits)], pa.binary())], ["bits"])
 
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in nodes.select("node").repartition(8).mapInArrow(mark, "bits binary").toLocalIterator():  # eight maps of fixed size
+    bits = np.zeros(size // 8, np.uint8)
+    for row in nodes.select("node").repartition(8).mapInArrow(mark, "bits binary").toLocalIterator():  # eight maps of bounded size
         bits |= common.unpack(bytes(row.bits), "u1")[0]
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
@@ -219,7 +225,7 @@ def _wanted(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             for found in text_shingles(batch.column("text").to_pylist()):
                 if not len(found) or (node := _node(found)) in seen:
                     continue
-                at = int(mix(np.array([node], np.int64).view(np.uint64))[0] & np.uint64(FILTER_BITS - 1))
+                at = int(mix(np.array([node], np.int64).view(np.uint64))[0] & np.uint64(size - 1))
                 if shared.value[at >> 3] >> (at & 7) & 1:
                     seen.add(node)
                     nodes.append(node)
@@ -281,14 +287,14 @@ def exact(docs: DataFrame, pairs: DataFrame, homes: DataFrame, shuffles: int) ->
     return links
 
 
-def _in_tile(node: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: np.ndarray, near: int | None) -> Iterator[np.ndarray]:
+def _in_tile(node: np.ndarray, n: np.ndarray, comp: np.ndarray, block: np.ndarray, bits: np.ndarray, near: int | None) -> Iterator[np.ndarray]:
     """Pairs of a tile's nodes, ordered by size, of different groups whose sizes and signatures allow a link; with ``near`` only
-    so many of each node, those with the highest bounds."""
+    so many of each node, those with the highest bounds. Nodes of one numbered block do not meet."""
     until = np.searchsorted(n, n * LINK[1] // LINK[0], side="right")
     step = max(1, (1 << 21) // bits.shape[1])
     for i in range(len(node) - 1):
         others = np.arange(i + 1, until[i])
-        others = others[comp[others] != comp[i]]
+        others = others[(comp[others] != comp[i]) & ((block[others] != block[i]) | (block[i] < 0))]
         best, bounds = [], []
         for cut in range(0, len(others), step):
             part = others[cut : cut + step]
@@ -303,27 +309,48 @@ def _in_tile(node: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: np.ndarray
             yield np.stack([np.minimum(node[part], node[i]), np.maximum(node[part], node[i])])
 
 
+def _near_tiles(tiles: DataFrame) -> DataFrame:
+    """A few tiles of each node, the same ones for nodes that share all, and of large tiles a block: for a first look only."""
+    first = Window.partitionBy("node").orderBy("key")
+    few = tiles.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= NEAR_TILES).drop("_rank")
+    sizes = few.groupBy("key").agg(F.count("*").alias("_size")).filter(F.col("_size") > BLOCK)
+    block = F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("_size") / BLOCK))
+    key = F.when(F.col("_size").isNull(), F.col("key")).otherwise(F.xxhash64("key", block))
+    return few.join(sizes, "key", "left").select(key.alias("key"), "node", "n", F.col("node").alias("component"), F.lit(None).cast("int").alias("block"))
+
+
+def _mixed_tiles(tiles: DataFrame, groups: DataFrame) -> DataFrame:
+    """Tiles that hold nodes of different groups. The nodes of a large one are dealt to blocks; every two blocks make a tile, in
+    which nodes of one block meet only those of the other, and each block is a tile by itself."""
+    grouped = tiles.join(groups, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    found = grouped.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("_size")).filter("low <> high")
+    open_ = grouped.join(found.select("key", "_size"), "key")
+    blocks = F.ceil(F.col("_size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    to = F.explode(F.when(blocks > 1, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(-1))))
+    dealt = open_.withColumn("_own", own).withColumn("_to", to)
+    low, high = F.least("_own", "_to"), F.greatest("_own", "_to")
+    key = F.when(F.col("_to") < 0, F.col("key")).otherwise(F.xxhash64("key", low, high))
+    block = F.when((F.col("_to") >= 0) & (low != high), F.col("_own"))
+    return dealt.select(key.alias("key"), "node", "n", "component", block.alias("block"))
+
+
 def tile_pairs(tiles: DataFrame, nodes: DataFrame, groups: DataFrame | None, shuffles: int, near: int | None = None) -> DataFrame:
-    """Pairs of nodes that share a tile and no group, and whose sizes and signatures allow a link."""
-    if groups is None:
-        open_ = tiles.select("key", "node", "n", F.col("node").alias("component"))
-    else:
-        grouped = tiles.join(groups, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-        mixed = grouped.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-        open_ = grouped.join(mixed.select("key"), "key", "left_semi")
-    tiled = open_.join(nodes.select("node", "signature"), "node").select("key", "node", "n", "component", "signature")
+    """Pairs of nodes that share a tile and no group, and whose sizes and signatures allow a link. Without groups only some."""
+    open_ = _near_tiles(tiles) if groups is None else _mixed_tiles(tiles, groups)
+    tiled = open_.join(nodes.select("node", "signature"), "node").select("key", "node", "n", "component", F.coalesce("block", F.lit(-1)).alias("block"), "signature")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush(parts: list[tuple[np.ndarray, ...]], last: bool):
-            key, node, n, comp = (np.concatenate([p[k] for p in parts]) for k in range(4))
-            bits = [x for p in parts for x in p[4]]
+            key, node, n, comp, block = (np.concatenate([p[k] for p in parts]) for k in range(5))
+            bits = [x for p in parts for x in p[5]]
             cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
             until = len(cuts) - 1 if last else len(cuts) - 2
             size = np.diff(cuts)[:until]
             two = cuts[:until][size == 2]
-            two = two[comp[two] != comp[two + 1]]
+            two = two[(comp[two] != comp[two + 1]) & ((block[two] != block[two + 1]) | (block[two] < 0))]
             wide = np.array([min(len(bits[k]), len(bits[k + 1])) for k in two.tolist()])
             found = [np.zeros((2, 0), np.int64)]
             for w in np.unique(wide):
@@ -333,14 +360,14 @@ def tile_pairs(tiles: DataFrame, nodes: DataFrame, groups: DataFrame | None, shu
                 found.append(np.stack([np.minimum(node[a], node[a + 1]), np.maximum(node[a], node[a + 1])]))
             for k in np.flatnonzero(size > 2).tolist():
                 tile = slice(cuts[k], cuts[k + 1])
-                found.extend(_in_tile(node[tile], n[tile], comp[tile], _stacked(bits[tile]), near))
-            rest = [] if last else [tuple(x[cuts[-2] :] for x in (key, node, n, comp, bits))]
+                found.extend(_in_tile(node[tile], n[tile], comp[tile], block[tile], _stacked(bits[tile]), near))
+            rest = [] if last else [tuple(x[cuts[-2] :] for x in (key, node, n, comp, block, bits))]
             out = np.unique(np.concatenate(found, axis=1), axis=1)
             return pa.record_batch([pa.array(out[0]), pa.array(out[1])], ["a", "b"]), rest
 
         for batch in rows:
             if batch.num_rows:
-                cols = [batch.column(c).to_numpy() for c in ("key", "node", "n", "component")]
+                cols = [batch.column(c).to_numpy() for c in ("key", "node", "n", "component", "block")]
                 out, held = flush([*held, (*cols, batch.column("signature").to_pylist())], False)
                 yield out
         if held:
@@ -364,16 +391,23 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = common.written(rows.filter("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("signature").alias("signature"), F.min("doc_id").alias("low")), "nodes")
     sizes = common.written(tiles.groupBy("node").agg(F.first("n").alias("n")), "sizes")
 
-    def homes(pairs: DataFrame) -> DataFrame:
+    def homes(joined: DataFrame) -> DataFrame:
         """A cell is all that its pairs connect."""
-        return sizes.join(components(pairs), "node", "left").select("node", F.coalesce("component", "node").alias("home"), "n")
+        return sizes.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("home"), "n")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        joined = components(pairs)
+        found = exact(docs, pairs, homes(joined), shuffles)
+        common.done_with(joined, pairs)
+        return found
 
-    close = common.written(tile_pairs(tiles, nodes, None, shuffles, NEAR), "close")
-    links = exact(docs, close, homes(close), shuffles)
+    links = checked(common.written(tile_pairs(tiles, nodes, None, shuffles, NEAR), "close"))
     groups = components(links)
     crossed = common.written(tile_pairs(tiles, nodes, groups, shuffles), "crossed")
-    if not crossed.isEmpty():
-        more = exact(docs, crossed, homes(crossed), shuffles)
+    if crossed.isEmpty():
+        common.done_with(crossed)
+    else:
+        more = checked(crossed)
         common.done_with(groups)
         groups = components(links.union(more))
         common.done_with(more)
@@ -382,7 +416,7 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = named.join(least_id, F.col("component") == F.col("c"))
     named = named.select(F.col("node").alias("own"), "low", "component_id", (F.col("head.node") == F.col("node")).alias("heads"))
     named = common.written(named, "named")
-    common.done_with(tiles, nodes, sizes, close, links, crossed, groups)
+    common.done_with(tiles, nodes, sizes, links, groups)
     return rows, named
 
 
