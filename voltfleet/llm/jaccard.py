@@ -40,7 +40,7 @@ TILE_ROWS = 1_000_000
 #: Nearest nodes of a tile that a node is held against first, and the tiles of a node where that is done.
 NEAR, NEAR_TILES = 4, 4
 #: Shingles of one cell of the exact check; nodes of one block of a large tile.
-CELL_SHINGLES, BLOCK = 500_000, 1024
+CELL_SHINGLES, BLOCK = 4_000_000, 1024
 #: Bits a node of the filter that keeps texts of no use from the exact check, and the most bits of that filter.
 NODE_BITS, MOST_FILTER_BITS = 8, 1 << 27
 
@@ -244,15 +244,18 @@ def exact(docs: DataFrame, pairs: DataFrame, homes: DataFrame, shuffles: int) ->
     """Links among pairs (a, b) of nodes, by intersecting sorted shingle arrays; those that its other links imply are left out.
 
     Pairs meet in cells, by the home of their nodes and the band of the smaller size. So a node's array goes to few cells, its
-    own band and the one below, and to each once. A cell of many shingles is split by the first node of its pairs.
+    own band and the one below, and to each once. The nodes of a cell of many shingles are dealt to blocks, and every two blocks
+    make a cell.
     """
     side = lambda x: homes.select(F.col("node").alias(x), F.col("home").alias(f"home_{x}"), F.col("n").alias(f"n_{x}"))
     band = F.floor(F.log(F.least("n_a", "n_b")) / float(np.log(LINK[1] / LINK[0])))
     celled = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("cell", F.xxhash64(F.least("home_a", "home_b"), band))
     sides = F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("n_a").alias("n")), F.struct(F.col("b").alias("node"), F.col("n_b").alias("n"))))
     sizes = celled.select("cell", sides).distinct().groupBy("cell").agg(F.sum("n").alias("held"))
-    part = F.pmod(F.xxhash64("a"), F.ceil(F.col("held") / CELL_SHINGLES))
-    celled = common.written(celled.join(sizes, "cell").select(F.xxhash64("cell", part).alias("cell"), "a", "b"), "pairs")
+    blocks = F.ceil(F.col("held") / CELL_SHINGLES)
+    part = [F.pmod(F.xxhash64(x), blocks) for x in ("a", "b")]
+    celled = celled.join(sizes, "cell").select(F.xxhash64("cell", F.least(*part), F.greatest(*part)).alias("cell"), "a", "b")
+    celled = common.written(celled, "pairs")
     members = celled.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct()
     sent = members.join(_wanted(docs, members.select("node").distinct()), "node")
     rows = sent.select("cell", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "found")
@@ -287,26 +290,33 @@ def exact(docs: DataFrame, pairs: DataFrame, homes: DataFrame, shuffles: int) ->
     return links
 
 
-def _in_tile(node: np.ndarray, n: np.ndarray, comp: np.ndarray, block: np.ndarray, bits: np.ndarray, near: int | None) -> Iterator[np.ndarray]:
+def _in_tile(node: np.ndarray, n: np.ndarray, comp: np.ndarray, block: np.ndarray, signatures: list[bytes], near: int | None) -> Iterator[np.ndarray]:
     """Pairs of a tile's nodes, ordered by size, of different groups whose sizes and signatures allow a link; with ``near`` only
-    so many of each node, those with the highest bounds. Nodes of one numbered block do not meet."""
+    so many of each node, those with the highest bounds. Nodes of one numbered block do not meet.
+
+    Nodes are worked on by the width of their signatures: only larger nodes' signatures are folded, once at most.
+    """
     until = np.searchsorted(n, n * LINK[1] // LINK[0], side="right")
-    step = max(1, (1 << 21) // bits.shape[1])
-    for i in range(len(node) - 1):
-        others = np.arange(i + 1, until[i])
-        others = others[(comp[others] != comp[i]) & ((block[others] != block[i]) | (block[i] < 0))]
-        best, bounds = [], []
-        for cut in range(0, len(others), step):
-            part = others[cut : cut + step]
-            most = _most_shared(n[part], n[i], bits[part], bits[i][None, :])
-            fits = _may_link(n[part], n[i], most)
-            best.append(part[fits])
-            bounds.append((most / (n[part] + n[i] - most))[fits])
-        part = np.concatenate(best) if best else others[:0]
-        if near is not None and len(part) > near:
-            part = part[np.argpartition(-np.concatenate(bounds), near)[:near]]
-        if len(part):
-            yield np.stack([np.minimum(node[part], node[i]), np.maximum(node[part], node[i])])
+    wide = np.array([len(x) for x in signatures])
+    for low in np.flatnonzero(np.append(True, wide[1:] != wide[:-1])).tolist():
+        same = low + int(np.argmax(np.append(wide[low:] != wide[low], True)))
+        bits = _stacked(signatures[low : until[same - 1]])
+        step = max(1, (1 << 21) // bits.shape[1])
+        for i in range(low, same):
+            others = np.arange(i + 1, until[i])
+            others = others[(comp[others] != comp[i]) & ((block[others] != block[i]) | (block[i] < 0))]
+            best, bounds = [], []
+            for cut in range(0, len(others), step):
+                part = others[cut : cut + step]
+                most = _most_shared(n[part], n[i], bits[part - low], bits[i - low][None, :])
+                fits = _may_link(n[part], n[i], most)
+                best.append(part[fits])
+                bounds.append((most / (n[part] + n[i] - most))[fits])
+            part = np.concatenate(best) if best else others[:0]
+            if near is not None and len(part) > near:
+                part = part[np.argpartition(-np.concatenate(bounds), near)[:near]]
+            if len(part):
+                yield np.stack([np.minimum(node[part], node[i]), np.maximum(node[part], node[i])])
 
 
 def _near_tiles(tiles: DataFrame) -> DataFrame:
@@ -360,7 +370,7 @@ def tile_pairs(tiles: DataFrame, nodes: DataFrame, groups: DataFrame | None, shu
                 found.append(np.stack([np.minimum(node[a], node[a + 1]), np.maximum(node[a], node[a + 1])]))
             for k in np.flatnonzero(size > 2).tolist():
                 tile = slice(cuts[k], cuts[k + 1])
-                found.extend(_in_tile(node[tile], n[tile], comp[tile], block[tile], _stacked(bits[tile]), near))
+                found.extend(_in_tile(node[tile], n[tile], comp[tile], block[tile], bits[tile], near))
             rest = [] if last else [tuple(x[cuts[-2] :] for x in (key, node, n, comp, block, bits))]
             out = np.unique(np.concatenate(found, axis=1), axis=1)
             return pa.record_batch([pa.array(out[0]), pa.array(out[1])], ["a", "b"]), rest
