@@ -20,8 +20,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 SHINGLE = 5
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Bytes of a batch between Spark and its Python workers; both sides hold a few of them.
+ARROW_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
+def prepare(spark: SparkSession) -> None:
+    """Make this package known to the workers, and bound what one batch of long texts takes in memory, for this session."""
     ship_package(spark)
+    spark.conf.set(*ARROW_BATCH)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -112,7 +112,7 @@ def _ddl(df: DataFrame) -> str:
 
 def with_infilling(df: DataFrame, text: str = "text", doc_id: str = "doc_id", seed: int = SEED, rate: int = RATE, suffix_first: int = SUFFIX_FIRST) -> DataFrame:
     """Add fim_units, fim_form, fim_text, fim_prefix_chars and fim_middle_chars to every row."""
-    common.ship_package(df.sparkSession)
+    common.prepare(df.sparkSession)
     df = df.drop("fim_units", "fim_form", "fim_text", "fim_prefix_chars", "fim_middle_chars")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +129,7 @@ def with_infilling(df: DataFrame, text: str = "text", doc_id: str = "doc_id", se
 
 def restored(df: DataFrame, out: str = "fim_restored") -> DataFrame:
     """Add the texts that ``fim_text`` was made of, from it and ``fim_form`` alone."""
-    common.ship_package(df.sparkSession)
+    common.prepare(df.sparkSession)
     df = df.drop(out)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -390,6 +390,7 @@ def tile_pairs(tiles: DataFrame, nodes: DataFrame, groups: DataFrame | None, shu
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n, node) of all documents, and for each node its own least id, and its group's."""
     spark = docs.sparkSession
+    common.prepare(spark)
     docs = docs.select("doc_id", "text")
     described = common.written(describe(docs), "described")
     level = levels(described)

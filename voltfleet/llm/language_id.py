@@ -234,9 +234,12 @@ LEAST_SCORE = 0.4
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """Documents with a language that is clear enough."""
-    columns = docs.columns
-    return with_language(docs, train(docs)).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(columns)
+    """Documents with a language that is clear enough. Where nothing can be learned, those with a letter stay."""
+    common.prepare(docs.sparkSession)
+    columns, net = docs.columns, train(docs)
+    if net is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    return with_language(docs, net).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(columns)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

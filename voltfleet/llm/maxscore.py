@@ -175,7 +175,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, scale: float = 1.0, vec_
     come; groups and stripes are as many as make the copies of both sides even, so both grow with the root of the tasks.
     """
     spark = vectors.sparkSession
-    common.ship_package(spark)
+    common.prepare(spark)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     total, asking = rows.agg(F.count("*"), F.count(F.when(F.col("asks") & F.col("vec_id").isNotNull(), 1))).first()
     tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, -(-total // SHARD) * -(-asking // SHARD)))

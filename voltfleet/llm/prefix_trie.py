@@ -405,7 +405,7 @@ def trie(paths: DataFrame) -> DataFrame:
     Columns: conv_id (smallest member), depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256.
     """
     spark = paths.sparkSession
-    common.ship_package(spark)
+    common.prepare(spark)
     paths = common.written(paths, "paths")
     spans = paths.filter("start > 0").select("conv_id").distinct()
     nothing = [F.lit(0).cast("long").alias(c) for c in ("h0", "l0", "h1", "l1")]

@@ -515,6 +515,7 @@ def deduplicated(docs: DataFrame, carried: list[str] | None = None) -> DataFrame
     """A row per document: d and row (its id, null as the least number, and the hash of its text), doc_id, n_bytes, n_removed,
     n_spans, kept_sha256, kept (the remaining bytes) and, as fields of ``more``, columns that are only carried along."""
     spark = docs.sparkSession
+    common.prepare(spark)
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID))
     more = F.struct(*[F.col(c) for c in carried]) if carried else F.lit(None).cast("boolean")
     # Both joins below read the same columns, so texts are shuffled once.
