@@ -74,13 +74,23 @@ def test_storage_replay(spark):
     assert big == pytest.approx(-500.0 / 0.95)
 
 
-def test_power_triangle_and_tariff(spark):
+def test_power_triangle(spark):
     df = spark.createDataFrame([(100.0, 0.8)], "p double, f double")
     q, s = df.select(physics.reactive_kvar(F.col("p"), F.col("f")), physics.apparent_kva(F.col("p"), F.col("f"))).first()
     assert s == 125.0 and q == 75.0
-    day = spark.sql("SELECT explode(sequence(TIMESTAMP '2026-07-13', TIMESTAMP '2026-07-19 23:00:00', INTERVAL 1 HOUR)) AS t")
-    prices = day.select(*[c.alias(n) for n, c in physics.tariff(F.col("t")).items()])
-    assert prices.filter("buy_price_inr <= sell_price_inr").count() == 0
+
+
+def test_load_profile_and_tariff_follow_the_readings(spark):
+    loads = spark.sql(
+        "SELECT 1L AS site_id, 'Gym' AS building_id, TIMESTAMP '2026-07-13' + make_interval(0,0,0,0,CAST(id AS INT)) AS time, "
+        "IF(id % 24 = 9, 80.0D, 20.0D) AS active_power_kw FROM range(48)"
+    )
+    shares = {(r.hour, r.is_weekend): (r.readings, r.load_factor) for r in aggregates.load_profile(loads).collect()}
+    assert len(shares) == 24 and shares[9, 0] == (2, 1.0) and shares[10, 0] == (2, 0.25)
+    prices = loads.selectExpr("site_id", "time", "active_power_kw / 10 AS buy_price_inr", "active_power_kw / 20 AS sell_price_inr")
+    hours = {r.hour: r for r in aggregates.tariff_by_hour(prices).collect()}
+    assert hours[9].buy_price_inr == 8.0 and hours[9].multiplier == pytest.approx(8.0 / 2.25, abs=1e-6)
+    assert all(r.sell_price_inr < r.buy_price_inr for r in hours.values())
 
 
 def test_insert_ignore_twice(spark, tmp_path):

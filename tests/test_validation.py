@@ -118,6 +118,20 @@ def test_topic_mapping(spark):
     assert power == {"solar_pv": 71.5, "campus_aggregate": 912.5, "Library_2": 141.5, "Hall_4": 76.25}
 
 
+def test_odd_breakdown_entries_cost_no_other(spark):
+    good = {"active_power_kw": "141.5", "building_type": "library", "power_factor": 0.94}
+    odd = {"Library_2": good, "Number": 7, "Text": "off", "List": [1], "Null": None, "Bad": {"active_power_kw": "n/a"}}
+    meters = {"demand_active_kw": 9.5, "demand_reactive_kvar": 2.0, "aggregate_power_factor": 0.96}
+    sent = send(spark, meters | {"breakdown": odd}, meters | {"breakdown": {}}, meters | {"breakdown": [1]}, meters, topic="meters")
+    rows = validation.reject_reasons(validation.decode(sent))
+    assert [r.reasons for r in rows.orderBy("seq").collect()] == [[], [], ["breakdown: not readable"], ["breakdown: missing"]]
+    found = {r.building: r for r in tables.building_rows(rows).collect()}
+    assert set(found) == set(odd) and [n for n, r in found.items() if r.is_object] == [n for n in found if n in ("Library_2", "Bad")]
+    assert (found["Library_2"].active_power_kw, found["Library_2"].power_factor, found["Bad"].active_power_kw) == (141.5, 0.94, None)
+    clean = rows.filter("seq = 0").withColumn("anomaly_flag", F.lit(False))
+    assert {r.asset_id for r in tables.power_rows(clean).collect()} == {"campus_aggregate", "Library_2"}
+
+
 def test_status_rules(spark):
     df = spark.createDataFrame([(0.0, 0.0), (0.0, 500.0), (5.0, 500.0), (0.0, None)], "p double, i double")
     got = df.select(tables.solar_status(F.col("p"), F.col("i")).alias("s")).collect()

@@ -1,15 +1,13 @@
-"""Plant formulas as column expressions: expected output, load shape, tariff, weather."""
+"""Plant formulas as column expressions: expected output, power triangle, weather, battery."""
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from voltfleet import schemas as S
-from voltfleet.functions.timeparts import is_weekend
 
 
 def cubed(speed: Column) -> Column:
@@ -69,44 +67,6 @@ def apparent_kva(active: Column, factor: Column) -> Column:
     return F.round(active / factor, 3)
 
 
-def load_factor(kind: Column, time: Column) -> Column:
-    """Share of the peak a building draws, by type, hour and day kind."""
-    hour = F.hour(time)
-
-    def shape(name: str) -> Column:
-        level = F.lit(S.LOAD_ELSEWHERE[name])
-        for first, last, base, swing, span, slope in S.LOAD_BANDS[name]:
-            into = hour - first
-            curve = base + swing * F.sin(into / span * math.pi) + slope * into
-            level = F.when(hour.between(first, last), curve).otherwise(level)
-        return level * F.when(is_weekend(time), S.LOAD_WEEKEND[name]).otherwise(1.0)
-
-    return reduce(lambda chain, name: chain.when(kind == name, shape(name)), S.LOAD_BANDS, F).otherwise(S.LOAD_UNKNOWN)
-
-
-def building_load(peak: Column, kind: Column, time: Column) -> Column:
-    return F.round(peak * F.greatest(F.lit(0.05), load_factor(kind, time)), 3)
-
-
-def tariff_multiplier(time: Column) -> Column:
-    hour = F.hour(time)
-    level = F.when((hour >= 23) | (hour <= 5), S.TARIFF_NIGHT).otherwise(1.0)
-    for first, last, base, swing in S.TARIFF_PEAKS:
-        arc = base + swing * F.sin((hour - first) / 3.0 * math.pi)
-        level = F.when(hour.between(first, last), arc).otherwise(level)
-    return level * F.when(is_weekend(time), S.TARIFF_WEEKEND).otherwise(1.0)
-
-
-def tariff(time: Column, buy_base: float = S.BUY_BASE, sell_base: float = S.SELL_BASE) -> dict[str, Column]:
-    """Time-of-use buy and sell price; selling never pays as much as buying costs."""
-    buy = F.greatest(F.lit(S.TARIFF_FLOORS[0]), buy_base * tariff_multiplier(time))
-    sell = F.greatest(F.lit(S.TARIFF_FLOORS[1]), sell_base * tariff_multiplier(time))
-    return {
-        "buy_price_inr": F.round(buy, 2),
-        "sell_price_inr": F.round(F.when(sell >= buy, buy * 0.8).otherwise(sell), 2),
-    }
-
-
 def typical_temperature(time: Column) -> Column:
     low, high = S.FALLBACK_TEMP
     share = (F.sin((F.hour(time) - 9) / 24.0 * 2 * math.pi) + 1.0) / 2.0

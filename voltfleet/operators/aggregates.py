@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voltfleet import schemas as S
 from voltfleet.functions.flows import savings_pct
+from voltfleet.functions.timeparts import is_weekend
 
 
 def _pick(df: DataFrame, keys: Sequence[str], order: Sequence[str], chooser) -> DataFrame:
@@ -70,6 +71,32 @@ def campus_totals(loads: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def load_profile(loads: DataFrame) -> DataFrame:
+    """Mean share of a building's peak by hour and day kind; the peak is that of the building at its site."""
+    peaks = loads.groupBy("site_id", "building_id").agg(F.max("active_power_kw").alias("peak")).filter("peak > 0")
+    share = F.col("active_power_kw") / F.col("peak")
+    weekend = is_weekend(F.col("time")).cast("int").alias("is_weekend")
+    kinds = loads.join(peaks, ["site_id", "building_id"]).groupBy("building_id", F.hour("time").alias("hour"), weekend)
+    return kinds.agg(F.count(F.lit(1)).alias("readings"), F.round(F.avg(share), 6).alias("load_factor"))
+
+
+def tariff_by_hour(prices: DataFrame) -> DataFrame:
+    """Mean buy and sell price of each hour of the day at a site, and the buy price against the site's mean.
+
+    Sums and counts by hour are made once; the site's mean comes from them.
+    """
+    hours = prices.groupBy("site_id", F.hour("time").alias("hour")).agg(
+        F.count("buy_price_inr").alias("quotes"), F.sum("buy_price_inr").alias("_buy"), F.avg("sell_price_inr").alias("_sell")
+    )
+    site = Window.partitionBy("site_id")
+    mean = F.sum("_buy").over(site) / F.sum("quotes").over(site)
+    buy = F.col("_buy") / F.col("quotes")
+    return hours.select(
+        "site_id", "hour", "quotes", F.round(buy, 6).alias("buy_price_inr"), F.round("_sell", 6).alias("sell_price_inr"),
+        F.round(buy / mean, 6).alias("multiplier"),
+    )
+
+
 def savings_summary(schedule: DataFrame, keys: Sequence[str]) -> DataFrame:
     totals = schedule.groupBy(*keys).agg(
         F.sum("baseline_cost_inr").alias("total_baseline_inr"), F.sum("optimized_cost_inr").alias("total_optimized_inr")

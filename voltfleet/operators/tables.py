@@ -24,6 +24,32 @@ def battery_status(soh: Column) -> Column:
     return F.when(F.coalesce(soh, F.lit(100.0)) > 40.0, "operational").otherwise("degraded")
 
 
+# Fields of one building's load.
+BUILDING_FIELDS = {
+    "building_type": "string",
+    "active_power_kw": "double",
+    "reactive_power_kvar": "double",
+    "apparent_power_kva": "double",
+    "power_factor": "double",
+}
+
+
+def building_entries(breakdown: Column) -> Column:
+    """Entries (key, value) of a breakdown object, the value as a variant: it may be of any form."""
+    entries = F.try_variant_get(F.try_parse_json(breakdown), "$", "map<string,variant>")
+    return F.coalesce(F.map_entries(entries), F.expr("map_entries(CAST(map() AS map<string,variant>))"))
+
+
+def building_rows(rows: DataFrame, keep=("site_id", "time", "seq")) -> DataFrame:
+    """One row per building of every breakdown: its load, and ``is_object``. A field that is absent or not readable is null,
+    and an entry that is no object has none; neither costs the other entries."""
+    entries = rows.select(*keep, F.explode(building_entries(F.col("breakdown"))).alias("e"))
+    value = F.col("e.value")
+    fields = [F.try_variant_get(value, f"$.{name}", kind).alias(name) for name, kind in BUILDING_FIELDS.items()]
+    is_object = F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+    return entries.select(*keep, F.col("e.key").alias("building"), *fields, is_object.alias("is_object"))
+
+
 def price_rows(clean: DataFrame) -> DataFrame:
     """``electricity_prices`` rows from market messages."""
     v = dict(zip((f.name for f in S.TOPICS["market"].numeric), S.SLOTS))
@@ -38,7 +64,7 @@ def price_rows(clean: DataFrame) -> DataFrame:
 
 
 def power_rows(clean: DataFrame) -> DataFrame:
-    """``telemetry_power`` rows from the other topics: one per message, and one per metered building.
+    """``telemetry_power`` rows from the other topics: one per message, and one per building with a readable load.
 
     Each message becomes an array of rows that is exploded in place, so the clean
     messages are read once.
@@ -57,9 +83,10 @@ def power_rows(clean: DataFrame) -> DataFrame:
 
     running = F.lit("operational")
     buildings = F.transform(
-        F.map_entries(F.coalesce("breakdown", F.create_map().cast("map<string,struct<active_power_kw:double>>"))),
-        lambda e: row(e["key"], e["value"]["active_power_kw"], running),
+        building_entries(F.col("breakdown")),
+        lambda e: row(e["key"], F.try_variant_get(e["value"], "$.active_power_kw", "double"), running),
     )
+    buildings = F.filter(buildings, lambda r: r["power_kw"].isNotNull())
     topic = F.col("topic")
     solar, wind = slot["solar_power_kw"], slot["wind_power_kw"]
     rows = (
@@ -142,19 +169,3 @@ def site_assets(sites: DataFrame) -> DataFrame:
         )
     )
     return single.unionByName(campus)
-
-
-def building_grid(times: DataFrame) -> DataFrame:
-    """Every building at every time. The building list is configuration of fixed size."""
-    listing = F.array(
-        *[
-            F.struct(
-                F.lit(n).alias("building_id"),
-                F.lit(p).alias("peak_kw"),
-                F.lit(k).alias("kind"),
-                F.lit(f).alias("power_factor"),
-            )
-            for n, (p, k, f) in S.BUILDINGS.items()
-        ]
-    )
-    return times.withColumn("b", F.explode(listing)).select(*times.columns, "b.*")

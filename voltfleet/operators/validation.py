@@ -20,7 +20,6 @@ from voltfleet.operators import series
 from voltfleet.operators.series import Series
 
 FLAG = "anomaly_flag"
-_BREAKDOWN = "map<string, struct<active_power_kw: double>>"
 
 
 def topic_key(topic: Column) -> Column:
@@ -53,7 +52,7 @@ def _text_schema() -> str:
 def decode(messages: DataFrame) -> DataFrame:
     """Typed fields of every known topic; numeric text is coerced, unknown fields are dropped.
 
-    Adds ``time``, the slots, ``flag_in``, ``weather_source``, ``breakdown`` and
+    Adds ``time``, the slots, ``flag_in``, ``weather_source``, ``breakdown`` (an object of any form, as its text) and
     ``bad_fields``: the fields that were sent but could not be read.
     """
     raw = with_columns_once(messages, {"_raw": F.from_json("payload", _text_schema())})
@@ -72,7 +71,7 @@ def decode(messages: DataFrame) -> DataFrame:
             **{name: slot(i) for i, name in enumerate(S.SLOTS)},
             "flag_in": flag_sent.try_cast("boolean"),
             "weather_source": by_topic(lambda t: sent(t.label) if t.label else None).cast("string"),
-            "breakdown": F.from_json(nested_sent, _BREAKDOWN),
+            "breakdown": F.when(F.schema_of_variant(F.try_parse_json(nested_sent)).startswith("OBJECT"), nested_sent),
         },
     )
 

@@ -9,7 +9,7 @@ from voltfleet import schemas as S
 from voltfleet.operators import align, tables, validation
 from voltfleet.operators.aggregates import keep_first
 from voltfleet.operators.series import lay_out
-from voltfleet.plans.inputs import BUILDING_SHARES, JUDGED_SQL, MESSAGES_SQL, T_SQL, Inputs
+from voltfleet.plans.inputs import BUILDING_SHARES, JUDGED_SQL, MESSAGES_SQL, METERED_SQL, T_SQL, Inputs
 from voltfleet.plans.registry import query
 from voltfleet.session import scratch_path, spread
 from voltfleet.sources import export, lake, messages, weather
@@ -191,8 +191,28 @@ def topic_to_prices(i: Inputs) -> DataFrame:
       (VALUES ('Academic_1', 0.6e0), ('Lab_1', 0.4e0)) b(building, share) WHERE has_breakdown""",
 )
 def map_explode(i: Inputs) -> DataFrame:
-    rows = decoded(i).select("seq", F.explode("breakdown").alias("building", "load"))
-    return rows.select("seq", "building", "load.active_power_kw")
+    return tables.building_rows(decoded(i), ["seq"]).select("seq", "building", "active_power_kw")
+
+
+def metered(i: Inputs) -> DataFrame:
+    """Loads of buildings as the meters sent them."""
+    return tables.building_rows(validation.decode(i.meter_messages()))
+
+
+_LOAD = ", ".join(tables.BUILDING_FIELDS)
+_NO_LOAD = ", ".join(f"CAST(NULL AS {'VARCHAR' if kind == 'string' else 'DOUBLE'}) AS {name}" for name, kind in tables.BUILDING_FIELDS.items())
+
+
+@query(
+    "breakdown_variant",
+    f"""WITH {T_SQL}, {METERED_SQL} SELECT site_id, time, seq, building, {_LOAD}, true AS is_object FROM metered
+    UNION ALL SELECT site_id, time, seq, x.name, {_NO_LOAD}, false FROM t,
+      (VALUES ('Number', 90, 100), ('Text', 0, 9), ('List', 50, 50)) x(name, low, high) WHERE topic = 'meters' AND k BETWEEN low AND high
+    UNION ALL SELECT site_id, time, seq, 'Broken', 'lab', NULL, NULL, NULL, NULL, true FROM t WHERE topic = 'meters' AND k BETWEEN 20 AND 29""",
+)
+def breakdown_variant(i: Inputs) -> DataFrame:
+    """Every entry of every breakdown, those of odd forms too."""
+    return metered(i)
 
 
 @query(
@@ -234,7 +254,7 @@ def ticks(i: Inputs) -> DataFrame:
         *[F.expr(e).alias(n) for n, e in _TICK.items()],
         F.lit("real_api").alias("weather_source"),
         F.expr("k >= 95").alias("anomaly_flag"),
-        F.create_map(F.lit("Lab_1"), F.struct(F.col("power_kw").alias("active_power_kw"))).alias("breakdown"),
+        F.struct(F.struct(F.col("power_kw").alias("active_power_kw")).alias("Lab_1")).alias("breakdown"),
     )
 
 

@@ -61,6 +61,8 @@ FIELDS: dict[str, dict[str, str]] = {
     },
 }
 BUILDING_SHARES = {"Academic_1": 0.6, "Lab_1": 0.4}
+#: Buildings of the detailed meter messages: share of the load, type, power factor.
+METERED = {"Academic_1": (0.5, "academic", 0.92), "Lab_1": (0.3, "industrial", 0.85), "Gym": (0.2, "commercial", 0.88)}
 NO_TIMESTAMP = "k = 98"
 NO_BREAKDOWN = "power_kw < 1"
 UNREADABLE_VIBRATION = "k = 97"
@@ -106,6 +108,15 @@ forecast AS (
 )"""
 
 
+METERED_SQL = f"""
+b(building, share, kind, pf) AS (VALUES {", ".join(f"('{n}', {s}e0, '{k}', {f}e0)" for n, (s, k, f) in METERED.items())}),
+metered AS (
+  SELECT site_id, time, seq, building, kind AS building_type, power_kw * share AS active_power_kw,
+         power_kw * share * 0.5e0 AS reactive_power_kvar, power_kw * share / pf AS apparent_power_kva, pf AS power_factor, k
+  FROM t, b WHERE topic = 'meters'
+)"""
+
+
 def slot_sql() -> str:
     """DuckDB columns v0..v4 of the decoded messages."""
     lists = {}
@@ -243,6 +254,26 @@ class Inputs:
             )
         )
 
+    def meter_messages(self) -> DataFrame:
+        """Meter messages whose breakdown has whole loads: some numbers are text, and some entries are no loads at all."""
+        t = spread(self.t().filter("topic = 'meters'"))
+        k, kw = F.col("k"), F.col("power_kw")
+        loads = []
+        for name, (share, kind, factor) in METERED.items():
+            active = kw * share
+            values = {"active_power_kw": active, "reactive_power_kvar": active * 0.5, "apparent_power_kva": active / factor}
+            if name == "Lab_1":
+                values["active_power_kw"] = active.cast("string")
+            fields = [F.lit(kind).alias("building_type"), *[v.alias(n) for n, v in values.items()], F.lit(factor).alias("power_factor")]
+            loads.append(F.struct(*fields).alias(name))
+        loads.append(F.when(k >= 90, k).alias("Number"))
+        loads.append(F.when(k < 10, "offline").alias("Text"))
+        loads.append(F.when(k == 50, F.array(kw, kw)).alias("List"))
+        loads.append(F.when(k.between(20, 29), F.struct(F.lit("n/a").alias("active_power_kw"), F.lit("lab").alias("building_type"))).alias("Broken"))
+        stamp = F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp")
+        payload = F.to_json(F.struct(stamp, kw.alias("demand_active_kw"), F.struct(*loads).alias("breakdown")))
+        return t.select("site_id", "topic", "seq", payload.alias("payload"))
+
     def messages(self, t: DataFrame | None = None) -> DataFrame:
         """One JSON message per event, ``(site_id, topic, seq, payload)``; some numbers are sent as text."""
         t = spread(self.t()) if t is None else t

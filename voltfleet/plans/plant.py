@@ -7,10 +7,10 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltfleet import schemas as S
 from voltfleet.functions import flows, physics, timeparts
-from voltfleet.operators import aggregates, tables
-from voltfleet.plans.inputs import AS_OF, T_SQL, Inputs
+from voltfleet.operators import aggregates
+from voltfleet.plans.ingest import metered
+from voltfleet.plans.inputs import AS_OF, METERED_SQL, PRICES_SQL, T_SQL, Inputs
 from voltfleet.plans.registry import query
 
 W = f"WITH {T_SQL}"
@@ -141,67 +141,38 @@ def power_triangle(i: Inputs) -> DataFrame:
     )
 
 
-LOAD_SQL = f"""CASE kind
-  WHEN 'academic' THEN (CASE WHEN h BETWEEN 8 AND 17 THEN 0.8e0 + 0.2e0 * sin((h - 8) / 10.0e0 * {PI})
-    WHEN h BETWEEN 18 AND 22 THEN 0.3e0 + 0.2e0 * ((22 - h) / 4.0e0) ELSE 0.15e0 END) * CASE WHEN wk THEN 0.4e0 ELSE 1 END
-  WHEN 'industrial' THEN (CASE WHEN h BETWEEN 9 AND 17 THEN 0.9e0 ELSE 0.65e0 END) * CASE WHEN wk THEN 0.7e0 ELSE 1 END
-  WHEN 'residential' THEN (CASE WHEN h BETWEEN 6 AND 9 THEN 0.5e0 + 0.45e0 * sin((h - 6) / 3.0e0 * {PI} / 2)
-    WHEN h BETWEEN 17 AND 23 THEN 0.6e0 + 0.38e0 * sin((h - 17) / 6.0e0 * {PI})
-    WHEN h BETWEEN 10 AND 16 THEN 0.25e0 ELSE 0.15e0 END) * CASE WHEN wk THEN 1.2e0 ELSE 1 END
-  WHEN 'commercial' THEN (CASE WHEN h BETWEEN 7 AND 9 THEN 0.7e0 WHEN h BETWEEN 11 AND 14 THEN 0.95e0
-    WHEN h BETWEEN 17 AND 20 THEN 0.9e0 ELSE 0.2e0 END) * CASE WHEN wk THEN 0.4e0 ELSE 1 END
-  ELSE (CASE WHEN h BETWEEN 8 AND 10 THEN 0.85e0 WHEN h BETWEEN 17 AND 19 THEN 0.75e0 WHEN h BETWEEN 11 AND 16 THEN 0.3e0
-    ELSE 0.05e0 END) * CASE WHEN wk THEN 0.4e0 ELSE 1 END END"""
-
-KIND_SQL = {
-    "solar_pv": "academic",
-    "wind_turbine": "industrial",
-    "battery_bank": "residential",
-    "campus_aggregate": "commercial",
-    "grid_market": "ev",
-}
-_KINDS = "CASE asset_id " + " ".join(f"WHEN '{a}' THEN '{k}'" for a, k in KIND_SQL.items()) + " END"
+_HOURLY_SQL = f"""{METERED_SQL}, hourly AS (
+  SELECT site_id, date_trunc('hour', time) AS time, building AS building_id, arg_max(active_power_kw, seq) AS active_power_kw,
+    arg_max(reactive_power_kvar, seq) AS reactive_power_kvar FROM metered GROUP BY 1, 2, 3)"""
 
 
-@query(
-    "load_profile",
-    f"""{W} SELECT seq, round({LOAD_SQL}, 6) AS load_factor
-    FROM (SELECT seq, {_KINDS} AS kind, hour(time) AS h, isodow(time) >= 6 AS wk FROM t)""",
-)
-def load_profile(i: Inputs) -> DataFrame:
-    return i.t().select("seq", F.round(physics.load_factor(F.expr(_KINDS), F.col("time")), 6).alias("load_factor"))
-
-
-_GRID_SQL = (
-    "b(building_id, peak_kw, kind, pf) AS (VALUES "
-    + ", ".join(f"('{n}', {p}e0, '{k}', {f}e0)" for n, (p, k, f) in S.BUILDINGS.items())
-    + "), times AS (SELECT DISTINCT site_id, date_trunc('hour', time) AS time FROM t),"
-    " g AS (SELECT site_id, time, building_id, pf,"
-    f" round(peak_kw * greatest(0.05e0, {LOAD_SQL}), 3) AS p"
-    " FROM (SELECT *, hour(time) AS h, isodow(time) >= 6 AS wk FROM times, b)),"
-    " l AS (SELECT *, round(p * sqrt(1 - pf * pf) / pf, 3) AS q FROM g)"
-)
+def building_loads(i: Inputs) -> DataFrame:
+    """Last metered load of every building in every hour."""
+    loads = metered(i).filter(F.col("active_power_kw").isNotNull()).withColumn("time", F.date_trunc("hour", "time"))
+    last = aggregates.latest(loads.withColumnRenamed("building", "building_id"), ["site_id", "time", "building_id"], ["seq"])
+    return last.select("site_id", "time", "building_id", "active_power_kw", "reactive_power_kvar")
 
 
-def building_loads(i: Inputs) -> DataFrame:
-    times = i.t().select("site_id", F.date_trunc("hour", "time").alias("time")).distinct()
-    grid = tables.building_grid(times)
-    active = physics.building_load(F.col("peak_kw"), F.col("kind"), F.col("time"))
-    loads = grid.withColumn("active_power_kw", active)
-    return loads.withColumn("reactive_power_kvar", physics.reactive_kvar(F.col("active_power_kw"), F.col("power_factor")))
+@query("building_grid", f"{W}, {_HOURLY_SQL} SELECT * FROM hourly")
+def building_grid(i: Inputs) -> DataFrame:
+    return building_loads(i)
 
 
 @query(
-    "building_grid",
-    f"""{W}, {_GRID_SQL} SELECT site_id, time, building_id, p AS active_power_kw, q AS reactive_power_kvar FROM l""",
+    "load_profile",
+    f"""{W}, {_HOURLY_SQL}, peaks AS (SELECT site_id, building_id, max(active_power_kw) AS peak FROM hourly GROUP BY 1, 2)
+    SELECT building_id, CAST(hour(time) AS INT) AS hour, CASE WHEN isodow(time) >= 6 THEN 1 ELSE 0 END AS is_weekend, count(*) AS readings,
+      round(avg(active_power_kw / peak), 6) AS load_factor
+    FROM hourly JOIN peaks USING (site_id, building_id) WHERE peak > 0 GROUP BY 1, 2, 3""",
 )
-def building_grid(i: Inputs) -> DataFrame:
-    return building_loads(i).select("site_id", "time", "building_id", "active_power_kw", "reactive_power_kvar")
+def load_profile(i: Inputs) -> DataFrame:
+    """Share of its peak that a building draws by hour and day kind, over all sites."""
+    return aggregates.load_profile(building_loads(i))
 
 
 @query(
     "campus_totals",
-    f"""{W}, {_GRID_SQL}, s AS (SELECT site_id, time, sum(p) AS p, sum(q) AS q FROM l GROUP BY 1, 2)
+    f"""{W}, {_HOURLY_SQL}, s AS (SELECT site_id, time, sum(active_power_kw) AS p, sum(reactive_power_kvar) AS q FROM hourly GROUP BY 1, 2)
     SELECT site_id, time, round(p, 3) AS total_active_power_kw, round(q, 3) AS total_reactive_power_kvar,
       round(CASE WHEN p > 0 THEN sqrt(p * p + q * q) ELSE 0 END, 3) AS total_apparent_power_kva,
       round(CASE WHEN p > 0 THEN p / sqrt(p * p + q * q) ELSE 1 END, 3) AS aggregate_power_factor FROM s""",
@@ -212,15 +183,15 @@ def campus_totals(i: Inputs) -> DataFrame:
 
 @query(
     "tou_tariff",
-    f"""{W}, x AS (SELECT seq, (CASE WHEN h BETWEEN 8 AND 11 THEN 1.8e0 + 0.2e0 * sin((h - 8) / 3.0e0 * {PI})
-        WHEN h BETWEEN 18 AND 21 THEN 2.2e0 + 0.3e0 * sin((h - 18) / 3.0e0 * {PI})
-        WHEN h >= 23 OR h <= 5 THEN 0.6e0 ELSE 1 END) * CASE WHEN wk THEN 0.85e0 ELSE 1 END AS mult
-      FROM (SELECT seq, hour(time) AS h, isodow(time) >= 6 AS wk FROM t)),
-    y AS (SELECT seq, greatest(0.5e0, 5 * mult) AS buy, greatest(0.3e0, 3.5e0 * mult) AS sell FROM x)
-    SELECT seq, round(buy, 2) AS buy_price_inr, round(CASE WHEN sell >= buy THEN buy * 0.8e0 ELSE sell END, 2) AS sell_price_inr FROM y""",
+    f"""{W}, {PRICES_SQL}, h AS (SELECT site_id, CAST(hour(time) AS INT) AS hour, count(*) AS quotes, avg(buy_price_inr) AS buy,
+        avg(sell_price_inr) AS sell FROM prices GROUP BY 1, 2),
+      o AS (SELECT site_id, avg(buy_price_inr) AS mean FROM prices GROUP BY 1)
+    SELECT site_id, hour, quotes, round(buy, 6) AS buy_price_inr, round(sell, 6) AS sell_price_inr, round(buy / mean, 6) AS multiplier
+    FROM h JOIN o USING (site_id)""",
 )
 def tou_tariff(i: Inputs) -> DataFrame:
-    return i.t().select("seq", *[c.alias(n) for n, c in physics.tariff(F.col("time")).items()])
+    """What each hour of the day costs at a site, against the site's mean."""
+    return aggregates.tariff_by_hour(i.prices())
 
 
 @query(

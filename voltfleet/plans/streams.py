@@ -77,7 +77,7 @@ def _clean_stream(i: Inputs) -> DataFrame:
         "seq",
         "time",
         *[power.alias(v) for v in S.SLOTS],
-        F.lit(None).cast("map<string,struct<active_power_kw:double>>").alias("breakdown"),
+        F.lit(None).cast("string").alias("breakdown"),
         (F.col("k") >= 95).alias("anomaly_flag"),
     )
 

@@ -127,7 +127,7 @@ WIND_CUT_IN, WIND_RATED, WIND_CUT_OUT = 3.0, 12.0, 25.0
 AIR_DENSITY, ROTOR_AREA_M2, POWER_COEFF, WIND_RATED_KW = 1.225, 1250.0, 0.4, 1500.0
 BATTERY_KWH, BATTERY_KW, BATTERY_EFF = 2000.0, 500.0, 0.95
 BATTERY_MIN_FRACTION, BATTERY_MAX_FRACTION = 0.1, 0.9
-BUY_BASE, SELL_BASE, SELL_RATIO = 5.0, 3.5, 0.7
+SELL_RATIO = 0.7
 MIN_DEMAND_KW, MIN_PRICE = 5.0, 0.5
 
 # Non-building assets as (type, capacity kW, location).
@@ -138,25 +138,6 @@ PLANT_ASSETS: dict[str, tuple[str, float, str]] = {
 }
 CAMPUS_ASSET = "campus_aggregate"
 
-# Load shape per building type. Each band is
-# (first hour, last hour, base, sine swing, sine half-period in hours, slope per hour).
-LOAD_BANDS: dict[str, tuple[tuple[int, int, float, float, float, float], ...]] = {
-    "academic": ((8, 17, 0.8, 0.2, 10.0, 0.0), (18, 22, 0.5, 0.0, 1.0, -0.05)),
-    "industrial": ((9, 17, 0.9, 0.0, 1.0, 0.0),),
-    "residential": ((6, 9, 0.5, 0.45, 6.0, 0.0), (10, 16, 0.25, 0.0, 1.0, 0.0), (17, 23, 0.6, 0.38, 6.0, 0.0)),
-    "commercial": ((7, 9, 0.7, 0.0, 1.0, 0.0), (11, 14, 0.95, 0.0, 1.0, 0.0), (17, 20, 0.9, 0.0, 1.0, 0.0)),
-    "ev": ((8, 10, 0.85, 0.0, 1.0, 0.0), (11, 16, 0.3, 0.0, 1.0, 0.0), (17, 19, 0.75, 0.0, 1.0, 0.0)),
-}
-LOAD_ELSEWHERE = {"academic": 0.15, "industrial": 0.65, "residential": 0.15, "commercial": 0.2, "ev": 0.05}
-LOAD_WEEKEND = {"academic": 0.4, "industrial": 0.7, "residential": 1.2, "commercial": 0.4, "ev": 0.4}
-LOAD_UNKNOWN = 0.5
-
-# Tariff bands as (hours, base multiplier, sine swing, first hour).
-TARIFF_PEAKS = ((8, 11, 1.8, 0.2), (18, 21, 2.2, 0.3))
-TARIFF_NIGHT = 0.6
-TARIFF_WEEKEND = 0.85
-TARIFF_FLOORS = (0.5, 0.3)
-
 # Weather used where the feed has no reading.
 FALLBACK_TEMP = (15.0, 35.0)
 FALLBACK_CLOUD, FALLBACK_HUMIDITY = 20.0, 60.0
