@@ -172,6 +172,26 @@ def test_last_write_wins_across_writes(spark, tmp_path):
     assert [r.v for r in lake.read_range(spark, str(tmp_path), low, high).collect()] == [3.0]
 
 
+def test_stream_and_batch_writers_share_a_lake(spark, tmp_path):
+    """A stream, a second stream, a plain write and a numbered batch under one root; every row is read, each second once."""
+    root, source = str(tmp_path / "lake"), str(tmp_path / "in")
+    rows = spark.sql(
+        "SELECT id % 3 AS site_id, 'solar' AS topic, id AS seq, TIMESTAMP '2026-07-01' + make_interval(0,0,0,CAST(id AS INT)) AS time, "
+        "id * 1.0D AS v FROM range(12)"
+    )
+    rows.filter("seq < 6").write.parquet(source)
+    for n in range(2):  # the second stream brings the same rows again
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        pipelines.run_all(pipelines.to_lake(stream, root, str(tmp_path / f"c{n}"), by_hour=False))
+    lake.write(rows.filter("seq BETWEEN 6 AND 8"), root)
+    for _ in range(2):
+        lake.write(rows.filter("seq > 8"), root, batch=7)
+    assert lake.depth_of(spark, root) == 4
+    assert sorted(r.seq for r in lake.read(spark, root).collect()) == list(range(12))
+    with pytest.raises(ValueError):
+        lake.write(rows, root, depth=5)
+
+
 def test_lines_to_lake_tables_and_letters(spark, tmp_path):
     """Several batches of envelope lines through the whole pipeline; failed ones come back with site and order."""
     folder = tmp_path / "in"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,28 +23,45 @@ def with_partitions(records: DataFrame) -> DataFrame:
     return records.withColumns(date_parts(F.col("time")))
 
 
-def write(
-    records: DataFrame, root: str, mode: str = "append", depth: int = len(PARTITIONS), rows_per_file=5_000_000, batch: int | None = None
-):
-    """Write records under ``root``. ``depth`` 4 stops at the day, for topics with little data per hour.
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [x.getPath().toString() for x in files.listStatus(where) if x.isDirectory()] if files.exists(where) else []
+
+
+def depth_of(spark: SparkSession, root: str) -> int | None:
+    """How many partition folders lie above the batches of a lake; none while it is empty."""
+    depth, path = 0, f"{root}/raw"
+    while inner := [x for x in _folders(spark, path) if "=" in x.rsplit("/", 1)[-1]]:
+        if inner[0].rsplit("/", 1)[-1].startswith("batch="):
+            return depth
+        depth, path = depth + 1, inner[0]
+    return None
+
+
+def write(records: DataFrame, root: str, mode: str = "append", depth: int | None = None, rows_per_file=5_000_000, batch: str | int | None = None):
+    """Write records under ``root``. ``depth`` 4 stops at the day, for topics with little data per hour; all writers of a lake
+    use one depth, that of the first, which is 5 unless it says otherwise.
 
-    Rebalancing by the partition columns gives each folder few files, and lets
-    AQE split the folder of a busy hour over several tasks. The records of a numbered ``batch`` get folders of their own
-    below these, which a second run of the batch replaces.
+    Rebalancing by the partition columns gives each folder few files, and lets AQE split the folder of a busy hour over several
+    tasks. Every write gets folders of its own below these, so batch and stream writers share a lake; those of a named
+    ``batch`` are replaced when the batch is run again.
     """
-    parts = PARTITIONS[:depth]
-    rows = with_partitions(last_per_second(records))
+    spark = records.sparkSession
+    known = None if mode == "overwrite" else depth_of(spark, root)
+    if known is not None and depth is not None and known != depth:
+        raise ValueError(f"the lake at {root} has {known} partition folders, not {depth}")
+    parts = PARTITIONS[: known or depth or len(PARTITIONS)]
+    rows = with_partitions(last_per_second(records)).withColumn("batch", F.lit(uuid.uuid4().hex if batch is None else str(batch)))
     rows = rows.hint("rebalance", *parts).sortWithinPartitions(*parts, "site_id", "time")
-    if batch is not None:
-        rows, parts, mode = rows.withColumn("batch", F.lit(batch)), (*parts, "batch"), "overwrite"
     writer = rows.write.mode(mode).option("maxRecordsPerFile", rows_per_file)
-    if batch is not None:
-        writer = writer.option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(*parts).parquet(f"{root}/raw")
+    if batch is not None and mode == "append":
+        writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*parts, "batch").parquet(f"{root}/raw")
 
 
 def _stored(spark: SparkSession, root: str, schema: str | None) -> DataFrame:
-    reader = spark.read.schema(schema) if schema else spark.read
+    reader = spark.read.schema(f"{schema}, batch STRING") if schema else spark.read
     return reader.parquet(f"{root}/raw").drop("batch")
 
 

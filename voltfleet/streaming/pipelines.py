@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,17 +25,19 @@ def run_all(query: StreamingQuery) -> None:
     query.awaitTermination()
 
 
+def _batch_name(checkpoint: str, batch_id: int) -> str:
+    """The same for a batch that is run again, and different for every stream."""
+    return f"{zlib.crc32(checkpoint.encode()):08x}-{batch_id}"
+
+
 def to_lake(clean: DataFrame, root: str, checkpoint: str, once: bool = True, by_hour: bool = True) -> StreamingQuery:
-    """Append clean records to the lake, in folders by hour or by day. The file sink's log makes each record land once."""
-    parts = lake.PARTITIONS if by_hour else lake.PARTITIONS[:-1]
-    writer = (
-        lake.with_partitions(clean.repartition("topic", F.to_date("time")))
-        .writeStream.format("parquet")
-        .partitionBy(*parts)
-        .option("path", f"{root}/raw")
-        .option("checkpointLocation", checkpoint)
-    )
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    """Append clean records to the lake, in folders by hour or by day. A batch that is run again replaces what it wrote, and
+    other writers may use the same lake."""
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        lake.write(batch, root, depth=len(lake.PARTITIONS) - (not by_hour), batch=_batch_name(checkpoint, batch_id))
+
+    return _start(clean, checkpoint, land, once)
 
 
 def to_tables(clean: DataFrame, root: str, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -61,7 +64,7 @@ def ingest(raw: DataFrame, root: str, checkpoint: str, once: bool = True) -> Str
         rows = batch.persist()
         try:
             clean = rows.filter("accepted").drop("accepted", "reasons", "payload")
-            lake.write(clean, f"{root}/lake", depth=4, batch=batch_id)
+            lake.write(clean, f"{root}/lake", depth=4, batch=_batch_name(checkpoint, batch_id))
             tables.insert_ignore(shape.price_rows(clean), root, "electricity_prices")
             tables.insert_ignore(shape.power_rows(clean), root, "telemetry_power")
             failed = messages.dead_letters(rows.filter("NOT accepted"), F.col("reasons"), F.current_timestamp())
