@@ -126,11 +126,31 @@ def test_signature_bound_is_never_too_low():
             assert jaccard._may_link(n_a, n_b, jaccard._most_shared(n_a, n_b, *bits))[0]
 
 
-def test_components_of_chains_and_stars(spark):
-    links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(5, 5)]
-    got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
-    assert got == {k: 0 for k in range(1, 41)} | {k: 100 for k in range(101, 130)}
-    assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components_of_chains_and_stars(spark, one_task):
+    links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(5, 5), (-3, -9), (3, 2)]
+    random.Random(5).shuffle(links)
+    rows = spark.createDataFrame(links, "a bigint, b bigint").repartition(4)
+    got = {r.node: r.component for r in components.components(rows, one_task).collect()}
+    assert got == {k: 0 for k in range(1, 41)} | {k: 100 for k in range(101, 130)} | {-3: -9}
+    assert components.components(spark.createDataFrame([], "a bigint, b bigint"), one_task).count() == 0
+
+
+def test_least_reached_agrees_with_single_links():
+    rng = np.random.default_rng(7)
+    for links in (rng.integers(-50, 50, (2, 40)), np.stack([rng.permutation(3000)[:-1], rng.permutation(3000)[1:]])):
+        root: dict[int, int] = {}
+
+        def top(x, root=root):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for x, y in links.T.tolist():
+            x, y = sorted((top(x), top(y)))
+            root[y] = x
+        node, least = components.least_reached(*links)
+        assert dict(zip(node.tolist(), least.tolist())) == {x: top(x) for x in root if top(x) != x}
 
 
 def test_one_of_each_group_stays(spark, odd_dir):
