@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voltfleet.operators import imputation, joins, ordered, series, validation
+from voltfleet.operators import imputation, joins, ordered, scans, series, validation
 from voltfleet.operators.series import lay_out
 
 LIMITS = [10_000, 23, 7]
@@ -192,3 +192,56 @@ def test_one_long_series_is_filled_backwards_in_linear_time(spark):
     s = series.backward_fill(series.Series(df, ("site_id",), ("seq",)), {"b": "x"})
     assert s.rows().filter("b = 5.0").count() == n
     assert time.perf_counter() - begun < 60
+
+
+@pytest.mark.parametrize("batch", [1, 3, 1000])
+@pytest.mark.parametrize("limit", LIMITS)
+def test_recurrences_go_on_from_batch_to_batch(spark, limit, batch):
+    """A step in time may lie anywhere: in a batch, between batches, between chunks; missing deltas change nothing."""
+    df = rows(spark, n=150, seed=9).withColumn("d", F.when(F.col("seq") % 11 > 0, F.col("d")))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        s = lay_out(df, ["site_id"], ["seq"], limit)
+        got = table(ordered.storage_level(s, "d", "v").rows(), "site_id", "seq", "v")
+        smooth = table(ordered.smoothed(s, "d", "v", keep=0.6, start=2.0).rows(), "site_id", "seq", "v")
+        whole = lay_out(df, ["site_id"], ["seq"], 10_000)
+        first = table(ordered.fill_chain(s, ["x"]).rows(), "site_id", "seq", "x")
+        assert first == table(ordered.fill_chain(whole, ["x"]).rows(), "site_id", "seq", "x")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    level, wear, want, want_smooth = {}, {}, [], []
+    for r in sorted(df.collect(), key=lambda r: (r.site_id, r.seq)):
+        level[r.site_id] = min(1800.0, max(200.0, level.get(r.site_id, 1000.0) + (r.d or 0.0)))
+        wear[r.site_id] = 0.6 * wear.get(r.site_id, 2.0) + 0.4 * (r.d or 0.0)
+        want.append((r.site_id, r.seq, level[r.site_id]))
+        want_smooth.append((r.site_id, r.seq, wear[r.site_id]))
+    close(got, want)
+    close(smooth, want_smooth)
+
+
+def test_steps_compose_in_any_grouping():
+    rng = np.random.default_rng(3)
+    low = rng.uniform(-5, 0, 64)
+    steps = [rng.normal(0, 3, 64), low, low + rng.uniform(0, 6, 64)]
+    begin = np.repeat([0, 20, 21], [20, 1, 43])
+    got = scans.CLAMP.at(scans.scan(scans.CLAMP, steps, begin), np.full(64, 1.5))
+    for k in range(64):
+        x = 1.5
+        for j in range(begin[k], k + 1):
+            x = min(steps[2][j], max(steps[1][j], x + steps[0][j]))
+        assert got[k] == pytest.approx(x)
+
+
+def test_acceptance_needs_no_order(spark):
+    """The first complete good message is found by a minimum; the plan has no window, and null keys are keys too."""
+    def solar(power):
+        return f'{{"timestamp": "2025-01-01T00:00:00Z", "solar_power_kw": {power}, "irradiance_wm2": 500, "temperature_c": 30}}'
+
+    sent = [(site, "solar", seq, solar(p)) for site in (1, None) for seq, p in enumerate(("null", "null", "50", "null", '"x"', "60"))]
+    df = spark.createDataFrame(sent, "site_id long, topic string, seq long, payload string")
+    judged = validation.accept_rows(validation.decode(df), ["site_id", "topic"], ["seq"])
+    assert "Window" not in judged._jdf.queryExecution().executedPlan().toString()
+    by_window = validation.accept(lay_out(validation.decode(df.filter("site_id = 1")), ["site_id", "topic"], ["seq"], 2))
+    assert table(by_window.rows().filter("site_id = 1"), "seq", "accepted") == table(judged.filter("site_id = 1"), "seq", "accepted")
+    assert table(judged.filter("site_id = 1"), "seq", "accepted") == table(judged.filter("site_id IS NULL"), "seq", "accepted")
+    assert [a for _, a in table(judged.filter("site_id = 1"), "seq", "accepted")][:3] == [False, False, True]

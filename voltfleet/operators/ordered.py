@@ -3,21 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from voltfleet import schemas as S
-from voltfleet.operators import series
-from voltfleet.operators.series import CHUNK, Series
-from voltfleet.session import ship_package
+from voltfleet.operators import scans, series
+from voltfleet.operators.series import Series
 
 ROLL = 4
-_DELTA, _LOW, _HIGH, _START = "_delta", "_low", "_high", "_start"
 
 
 def lag_features(s: Series, columns: Sequence[str], lags: Sequence[int] = (1, 2), roll: int = ROLL) -> Series:
@@ -42,9 +37,9 @@ def lag_features(s: Series, columns: Sequence[str], lags: Sequence[int] = (1, 2)
 
 
 def fill_chain(s: Series, columns: Sequence[str]) -> Series:
-    """Forward fill, then backward fill of the leading gap, then 0."""
+    """Forward fill, then the first value of the series for the leading gap, then 0."""
     s = series.forward_fill(s, {f"_f_{c}": c for c in columns})
-    s = series.backward_fill(s, {f"_b_{c}": c for c in columns})
+    s = series.first_values(s, {f"_b_{c}": c for c in columns})
     df = s.df.withColumns({c: F.coalesce(f"_f_{c}", f"_b_{c}", F.lit(0.0)) for c in columns})
     return s.on(df.drop(*[f"_{d}_{c}" for c in columns for d in "fb"]))
 
@@ -54,28 +49,31 @@ def smoothed(s: Series, column: str, out: str, keep: float = 0.95, start: float
 
     Inside a block of rows the recurrence is a weighted running sum. A block is
     long enough that what lies two blocks back weighs less than one part in
-    10^16, so two blocks of past rows give the value to full precision.
+    10^16, so two blocks of past rows give the value to full precision. A chunk
+    of a long series begins from what the chunks before it come to, each folded
+    to a factor and a sum.
     """
     block = math.ceil(math.log(1e-9) / math.log(keep))
-
-    def add(df: DataFrame, w) -> DataFrame:
-        keys = [c for c in [*s.keys, CHUNK] if c in df.columns]
-        df = df.withColumn("_i", F.row_number().over(w) - 1).withColumns(
-            {"_b": F.floor(F.col("_i") / block), "_j": (F.col("_i") % block + 1).cast("double")}
-        )
-        within = Window.partitionBy(*keys, "_b").orderBy(*s.order).rowsBetween(Window.unboundedPreceding, 0)
-        grown = F.sum(F.col(column) * F.pow(F.lit(keep), -F.col("_j"))).over(within)
-        df = df.withColumn("_own", (1 - keep) * grown * F.pow(F.lit(keep), F.col("_j")))
-        ends = F.col("_j") == block
-        before = w.rowsBetween(Window.unboundedPreceding, -1)
-        faded = F.pow(F.lit(keep), F.lit(float(block)))
-        for name, value in (("_e1", F.col("_own")), ("_e2", F.col("_own") + faded * F.coalesce("_e1", F.lit(start)))):
-            df = df.withColumn(name, F.last(F.when(ends, value), ignorenulls=True).over(before))
-        at_block_start = F.coalesce("_e2", F.lit(start))
-        df = df.withColumn(out, F.col("_own") + F.pow(F.lit(keep), F.col("_j")) * at_block_start)
-        return df.drop("_i", "_b", "_j", "_own", "_e1", "_e2")
-
-    return series.windowed(s, 4 * block, add)
+    df = s.df.withColumn("_begin", F.lit(float(start)))
+    if s.split:
+        step = {"_factor": F.lit(keep), "_add": F.coalesce((1 - keep) * F.col(column), F.lit(0.0))}
+        before = scans.chunk_starts(s, scans.AFFINE, step, start, "_before")
+        df = s.df.join(before, s.group, "left").withColumn("_begin", F.coalesce("_before", F.lit(float(start)))).drop("_before")
+    w = s.window()
+    df = df.withColumn("_i", F.row_number().over(w) - 1).withColumns(
+        {"_b": F.floor(F.col("_i") / block), "_j": (F.col("_i") % block + 1).cast("double")}
+    )
+    within = Window.partitionBy(*s.group, "_b").orderBy(*s.order).rowsBetween(Window.unboundedPreceding, 0)
+    grown = F.sum(F.col(column) * F.pow(F.lit(keep), -F.col("_j"))).over(within)
+    df = df.withColumn("_own", (1 - keep) * F.coalesce(grown, F.lit(0.0)) * F.pow(F.lit(keep), F.col("_j")))
+    ends = F.col("_j") == block
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    faded = F.pow(F.lit(keep), F.lit(float(block)))
+    for name, value in (("_e1", F.col("_own")), ("_e2", F.col("_own") + faded * F.coalesce("_e1", "_begin"))):
+        df = df.withColumn(name, F.last(F.when(ends, value), ignorenulls=True).over(before))
+    at_block_start = F.coalesce("_e2", "_begin")
+    df = df.withColumn(out, F.col("_own") + F.pow(F.lit(keep), F.col("_j")) * at_block_start)
+    return s.on(df.drop("_i", "_b", "_j", "_own", "_e1", "_e2", "_begin"))
 
 
 def cycle_count(s: Series, energy: str, out: str, capacity: float = S.BATTERY_KWH) -> Series:
@@ -91,29 +89,6 @@ def energy_delta(power: Column, hours: float = 1.0) -> Column:
     return F.when(power > 0, limited * S.BATTERY_EFF).otherwise(-limited / S.BATTERY_EFF)
 
 
-def _clamp_partition(batches: Iterator[pd.DataFrame], keys: list[str], out: str):
-    current, level = None, 0.0
-    for batch in batches:
-        ids = list(zip(*[batch[c].tolist() for c in keys])) if keys else [()] * len(batch)
-        steps = zip(ids, *[batch[c].tolist() for c in (_DELTA, _LOW, _HIGH, _START)])
-        levels = np.empty(len(batch))
-        for i, (key, delta, low, high, start) in enumerate(steps):
-            if key != current:
-                current, level = key, start
-            level = min(high, max(low, level + delta))
-            levels[i] = level
-        yield batch.drop(columns=[_DELTA, _LOW, _HIGH, _START]).assign(**{out: levels})
-
-
-def _walk(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
-    """Step through the series of each partition; the state is one number, so they may be of any length."""
-    ship_package(df.sparkSession)
-    ordered = df.sortWithinPartitions(*keys, *order)
-    kept = [f for f in ordered.schema.fields if f.name not in (_DELTA, _LOW, _HIGH, _START)]
-    schema = T.StructType([*kept, T.StructField(out, T.DoubleType())])
-    return ordered.mapInPandas(lambda batches: _clamp_partition(batches, list(keys), out), schema)
-
-
 def storage_level(
     s: Series,
     delta: str,
@@ -124,42 +99,11 @@ def storage_level(
 ) -> Series:
     """Running sum held within ``[low, high]`` at every step.
 
-    For a long series each chunk is first summed up as a function of the level it
-    starts from. Adding and clamping composes to ``min(b, max(a, x + sum))``, so
-    three numbers describe a chunk: where it ends from the lowest and from the
-    highest level, and the sum of its deltas. Those make a short series of
-    chunks, which is walked by the same rule to find where each chunk starts.
+    Adding and clamping composes to ``min(b, max(a, x + sum))``, so three numbers describe a stretch of any length, a chunk of
+    a long series too. A missing delta leaves the level as it is.
     """
-
-    def prepared(df: DataFrame, start_from) -> DataFrame:
-        fixed = {_LOW: F.lit(float(low)), _HIGH: F.lit(float(high)), _START: start_from}
-        return df.withColumn(_DELTA, F.col(delta)).withColumns(fixed)
-
-    if not s.split:
-        # The window brings each series together; sorting by its row number keeps it in the plan.
-        df = s.df.withColumn("_seen", F.row_number().over(s.window()))
-        df = prepared(df, F.lit(float(start)))
-        return s.on(_walk(df, s.keys, ["_seen"], out).drop("_seen"))
-
-    crossing = series.crossings(s).select(*s.group)
-    long_rows = s.df.join(F.broadcast(crossing), s.group, "left_semi").select(*s.group, *s.order, delta)
-    both = F.explode(F.array(F.lit(float(low)), F.lit(float(high))))
-    probes = prepared(long_rows.withColumn("_from", both), F.col("_from")).repartition(s.chunks, *s.group, "_from")
-    ends = _walk(probes, [*s.group, "_from"], s.order, "_end")
-    last = F.max_by("_end", F.struct(*s.order))
-    chunk_maps = (
-        ends.groupBy(*s.group, "_from")
-        .agg(last.alias("_end"), F.sum(delta).alias(_DELTA))
-        .groupBy(*s.group)
-        .agg(F.min("_end").alias(_LOW), F.max("_end").alias(_HIGH), F.min(_DELTA).alias(_DELTA))
-        .withColumn(_START, F.lit(float(start)))
-    )
-    together = chunk_maps.repartition(*s.keys) if s.keys else chunk_maps.coalesce(1)
-    after = _walk(together, s.keys, [CHUNK], "_after")
-    starts = after.select(*s.group, F.lag("_after").over(Window.partitionBy(*s.keys).orderBy(CHUNK)).alias("_before"))
-    df = s.df.join(F.broadcast(starts), s.group, "left")
-    df = prepared(df, F.coalesce("_before", F.lit(float(start)))).drop("_before").repartition(s.chunks, *s.group)
-    return s.on(_walk(df, s.group, s.order, out))
+    columns = {"_delta": F.coalesce(delta, F.lit(0.0)), "_low": F.lit(low), "_high": F.lit(high)}
+    return scans.walk(s, scans.CLAMP, columns, start, out)
 
 
 def chrono_split(s: Series, out: str = "part", share: float = 0.8, minimum: int = 1) -> Series:

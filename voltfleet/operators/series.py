@@ -188,6 +188,20 @@ def backward_fill(s: Series, columns: Mapping[str, str]) -> Series:
     return s.on(df.drop(*folds))
 
 
+def first_values(s: Series, columns: Mapping[str, str]) -> Series:
+    """``out``: the first non-null value of ``source`` in the series, on every row; no frame and no second sort."""
+    order = F.struct(*s.order)
+    first = {out: F.min_by(source, F.when(F.col(source).isNotNull(), order)) for out, source in columns.items()}
+    here = {out: f.over(Window.partitionBy(*s.group)) for out, f in first.items()}
+    if not s.split:
+        return s.on(s.df.withColumns(here))
+    # Of a series in several chunks the first chunk that has a value gives it.
+    by_key = Window.partitionBy(*s.keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    parts = s.df.groupBy(*s.group).agg(*[f.alias(out) for out, f in first.items()])
+    found = parts.select(*s.group, *[F.first(out, ignorenulls=True).over(by_key).alias(out) for out in first])
+    return s.on(s.df.join(found, s.group, "left"))
+
+
 def running_sum(s: Series, columns: Mapping[str, str]) -> Series:
     """``out``: the sum of ``source`` over all rows of the key up to the row."""
     sums = {out: F.sum(source).over(s.running()) for out, source in columns.items()}

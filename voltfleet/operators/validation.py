@@ -7,7 +7,7 @@ i-th numeric field of the row's topic.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -132,15 +132,26 @@ def complete() -> Column:
     return ~F.coalesce(missing, F.lit(True))
 
 
-def accept(s: Series) -> Series:
-    """Add ``accepted``.
+def accept_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Add ``reasons`` and ``accepted``.
 
     A missing number is replaced from the accepted values before it, so a message
     with gaps is accepted as soon as its series holds one complete good message.
+    Where that is, is one minimum per series, combined before the shuffle and joined
+    back: the messages are neither sorted nor brought together by series.
     """
-    s = s.on(reject_reasons(s.df).withColumn("_ok", present_ok()).withColumn("_complete", complete()))
-    s = series.running_any(s, "_started", F.col("_ok") & F.col("_complete"))
-    return s.on(s.df.withColumn("accepted", F.col("_ok") & F.col("_started")).drop("_ok", "_started"))
+    judged = reject_reasons(df).withColumn("_ok", present_ok())
+    keyed = {f"_key_{k}": F.col(k) for k in keys} or {"_key": F.lit(0)}
+    begun = judged.filter(F.col("_ok") & complete()).groupBy(*[c.alias(n) for n, c in keyed.items()]).agg(F.min(F.struct(*order)).alias("_begun"))
+    same = reduce(lambda a, b: a & b, [c.eqNullSafe(F.col(n)) for n, c in keyed.items()])
+    joined = judged.join(begun, same, "left")
+    started = F.coalesce(F.struct(*order) >= F.col("_begun"), F.lit(False))
+    return joined.withColumn("accepted", F.col("_ok") & started).drop("_ok", "_begun", *keyed)
+
+
+def accept(s: Series) -> Series:
+    """:func:`accept_rows` over a series, in its layout."""
+    return s.on(accept_rows(s.df, s.keys, s.order))
 
 
 def outlier() -> Column:

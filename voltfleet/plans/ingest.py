@@ -31,9 +31,7 @@ def decoded(i: Inputs) -> DataFrame:
 
 
 def accepted(i: Inputs, keys=tuple(TOPIC)) -> DataFrame:
-    sent = i.messages()
-    rows = validation.fill_defaults(validation.decode(sent)).drop("payload")
-    return validation.accept(lay_out(rows, keys, ["seq"], counted=sent)).rows()
+    return validation.accept_rows(validation.fill_defaults(decoded(i)).drop("payload"), keys, ["seq"])
 
 
 @query(
