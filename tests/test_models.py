@@ -49,6 +49,30 @@ def test_schedule_invariants(spark):
     assert total.savings_pct == pytest.approx(100 * (96750 - total.total_optimized_inr) / 96750)
 
 
+def test_certificate(spark):
+    """The schedule of the day keeps every rule and reaches the bound."""
+    (found,) = dispatch.certificate(day(spark), begin(spark), RUN).collect()
+    assert (found.hours, found.broken_hours) == (24, 0) and -1e-6 <= found.gap <= found.grid_gap < 5
+    empty = dispatch.certificate(day(spark).limit(0), begin(spark), RUN)
+    assert empty.count() == 0
+
+
+def test_bound_is_below_every_walk_and_met_by_the_best():
+    """Random days, some prices below zero: the bound never exceeds the best walk, and meets it when prices are positive."""
+    rng = np.random.default_rng(11)
+    small = Battery(low=20.0, high=180.0, rate=50.0, step=10.0)
+    net, start = rng.uniform(-80, 80, (40, 5)), rng.uniform(0, 200, 40)
+    for low, tight in ((1.0, True), (-6.0, False)):
+        price = rng.uniform(low, 15, (40, 5))
+        _, cost = small.solve(start, net, price)
+        bound = small.bound(start, net, price)
+        assert (bound <= cost + 1e-6).all()
+        if tight:
+            assert ((cost - bound) <= price.sum(axis=1) * small.finest / small.efficiency + 1e-6).all()
+            rough = small.solve(start, net, price, refine=False)[1]
+            assert (rough - bound).max() > 10
+
+
 def test_audit_names_what_is_broken(spark):
     plan = dispatch.schedule(day(spark), begin(spark), RUN)
     bad = plan.withColumn("battery_soc_kwh", F.lit(100.0)).withColumn("grid_buy_kw", F.col("grid_buy_kw") + 5)

@@ -1,7 +1,7 @@
 """Minimum-cost battery schedules, one dynamic program per forecast run.
 
-A run is at most two days of hours, so it fits one row with an array; Spark
-spreads the runs and each task solves a batch of them at once in numpy. The
+The hours of a run fit one row with arrays; Spark spreads the runs and each
+task solves a batch of them at once in numpy, and hands its hours on with it. The
 stored energy moves on a grid of levels. Since selling pays less than buying
 costs and every price is positive, the cost is convex in the path of levels:
 grids of ever smaller step around the best path so far lead to the optimum.
@@ -121,34 +121,75 @@ class Battery:
         return path, cost
 
 
-def _solve_batches(batches: Iterator[pd.DataFrame], keys: list[str], battery: Battery, refine: bool):
+    def bound(self, start, net_load, price):
+        """What no schedule of these runs can cost less than.
+
+        With a price ``x[t]`` on the energy stored after hour t, each hour buys and sells for itself, and whatever prices are
+        set, the sum is a lower bound. The least cost is that of a flow in a network whose arcs cost the slopes of the hourly
+        cost, so best prices are found among these slopes and 0, by a walk through the hours. With positive prices the bound
+        is the least cost itself; with others it stays a bound.
+        """
+        runs, hours = net_load.shape
+        ratio = np.array([1.0, self.sell_ratio])
+        slopes = (price[:, :, None] * ratio)[..., None] * np.array([self.efficiency, 1 / self.efficiency])
+        rates = np.concatenate([slopes.reshape(runs, -1), np.zeros((runs, 1))], axis=1)
+        # The cost of an hour bends where nothing moves and where the grid is idle; it is least at a bend or an end.
+        most, least = self.rate * self.efficiency, -self.rate / self.efficiency
+        idle = np.where(net_load < 0, -net_load * self.efficiency, -net_load / self.efficiency)
+        bends = np.stack([np.full_like(idle, least), np.zeros_like(idle), np.clip(idle, least, most), np.full_like(idle, most)])
+        costs = self.cost(bends, net_load, price)
+        step = rates[:, :, None] - rates[:, None, :]
+        held = np.minimum(step * self.low, step * self.high)
+        value = np.minimum(rates * self.low, rates * self.high)
+        for t in range(hours - 1, -1, -1):
+            if t < hours - 1:
+                value = (held + value[:, None, :]).max(axis=-1)
+            value = value + (costs[:, :, t, None] - bends[:, :, t, None] * rates).min(axis=0)
+        return (value - rates * start[:, None]).max(axis=-1)
+
+
+#: Numbers a bound may hold at once: runs times the square of the prices it tries.
+_BOUND_CELLS = 4_000_000
+
+
+def _bounds(battery: Battery, start, net, price) -> np.ndarray:
+    size = max(1, _BOUND_CELLS // (4 * net.shape[1] + 1) ** 2)
+    parts = [slice(first, first + size) for first in range(0, len(start), size)]
+    return np.concatenate([battery.bound(start[p], net[p], price[p]) for p in parts])
+
+
+_SERIES = ("times", "demand", "solar", "wind", "price")
+
+
+def _solve_batches(batches: Iterator[pd.DataFrame], keys: list[str], battery: Battery, refine: bool, bounded: bool):
     for batch in batches:
         for _, same in batch.groupby(batch["price"].map(len), sort=False):
             # Some thousand moves per run and hour: a few hundred runs at a time keep the arrays small.
             for first in range(0, len(same), 256):
                 part = same.iloc[first : first + 256]
-                net, price = np.stack(part["net_load"].to_list()), np.stack(part["price"].to_list())
-                path, cost = battery.solve(part["start_kwh"].to_numpy(dtype=float), net, price, refine)
-                solved = np.isfinite(cost)
-                yield part[keys].assign(path=list(path), cost=cost)[solved]
+                demand, solar, wind, price = (np.stack(part[c].to_list()) for c in _SERIES[1:])
+                start, net = part["start_kwh"].to_numpy(dtype=float), demand - solar - wind
+                path, cost = battery.solve(start, net, price, refine)
+                least = _bounds(battery, start, net, price) if bounded else cost
+                yield part.assign(path=list(path), cost=cost, bound=least)[np.isfinite(cost)]
 
 
-def _solved(forecast: DataFrame, starts: DataFrame, keys, battery: Battery, refine: bool) -> DataFrame:
+def _solved(forecast: DataFrame, starts: DataFrame, keys, battery: Battery, refine: bool, bounded: bool = False) -> DataFrame:
+    """One row per run that can be kept within the limits: its hours as arrays, the path of levels, its cost and bound."""
     ship_package(forecast.sparkSession)
-    hour = F.struct("time", (F.col("demand") - F.col("solar") - F.col("wind")).alias("net_load"), "price")
+    hour = F.struct(F.unix_micros(F.col("time").cast("timestamp")).alias("times"), *_SERIES[1:])
     runs = forecast.groupBy(*keys).agg(F.array_sort(F.collect_list(hour)).alias("hours"))
     start_keys = [k for k in keys if k in starts.columns]
     runs = runs.join(starts, start_keys, "left")
-    runs = runs.withColumn("start_kwh", F.coalesce("start_kwh", F.lit(S.BATTERY_KWH / 2)))
-    slim = runs.select(*keys, "start_kwh", "hours.net_load", "hours.price")
+    start = F.coalesce("start_kwh", F.lit(S.BATTERY_KWH / 2)).alias("start_kwh")
+    slim = runs.select(*keys, start, *[F.col(f"hours.{c}").alias(c) for c in _SERIES])
     # Solving is heavy work on few bytes, so the task count is set here and not left to be coalesced.
     tasks = int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slim = slim.repartition(tasks, *keys)
-    schema = T.StructType(
-        [slim.schema[k] for k in keys]
-        + [T.StructField("path", T.ArrayType(T.DoubleType())), T.StructField("cost", T.DoubleType())]
-    )
-    return slim.mapInPandas(lambda b: _solve_batches(b, list(keys), battery, refine), schema)
+    numbers = T.ArrayType(T.DoubleType())
+    found = [T.StructField("path", numbers), T.StructField("cost", T.DoubleType()), T.StructField("bound", T.DoubleType())]
+    schema = T.StructType([*slim.schema.fields, *found])
+    return slim.mapInPandas(lambda b: _solve_batches(b, list(keys), battery, refine, bounded), schema)
 
 
 def optimal_cost(
@@ -157,6 +198,26 @@ def optimal_cost(
     return _solved(forecast, starts, keys, battery, refine).select(*keys, "cost")
 
 
+def _flows(solved: DataFrame, keys: Sequence[str], battery: Battery, time_type: str = "timestamp") -> DataFrame:
+    """Unrounded hourly flows of solved runs, with the level before and after each hour."""
+    hours = F.arrays_zip(*_SERIES, "path", F.concat(F.array("start_kwh"), "path").alias("before"))
+    # The levels before the hours are one more than the hours; the last one starts no hour.
+    rows = solved.select(*keys, F.posexplode(F.slice(hours, F.lit(1), F.size("times"))).alias("i", "h"))
+    c = lambda name: F.col(f"h.{name}")
+    change = c("path") - c("before")
+    rows = rows.select(
+        *keys,
+        F.timestamp_micros(c("times")).cast(time_type).alias("time"),
+        *[c(n).alias(n) for n in _SERIES[1:]],
+        c("before").alias("before"),
+        c("path").alias("soc"),
+        (F.greatest(change, F.lit(0.0)) / battery.efficiency).alias("charge"),
+        (F.greatest(-change, F.lit(0.0)) * battery.efficiency).alias("discharge"),
+    )
+    grid = F.expr("demand - solar - wind + charge - discharge")
+    return rows.withColumns({"buy": F.greatest(grid, F.lit(0.0)), "sell": F.greatest(-grid, F.lit(0.0))})
+
+
 def schedule(
     forecast: DataFrame, starts: DataFrame, keys: Sequence[str], battery: Battery = Battery(), refine: bool = True
 ) -> DataFrame:
@@ -166,26 +227,9 @@ def schedule(
     ``starts``: ``start_kwh`` per key (or a subset of the keys).
     Runs that cannot be brought within the limits have no rows.
     """
-    solved = _solved(forecast, starts, keys, battery, refine)
-    start_keys = [k for k in keys if k in starts.columns]
-    first = F.coalesce("start_kwh", F.lit(S.BATTERY_KWH / 2))
-    levels = solved.join(starts, start_keys, "left").select(*keys, F.concat(F.array(first), "path").alias("level"))
-    hours = forecast.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("time", "demand", "solar", "wind", "price"))).alias("hours")
-    )
-    rows = levels.join(hours, list(keys)).select(*keys, "level", F.posexplode("hours").alias("i", "h"))
-    before, after = F.element_at("level", F.col("i") + 1), F.element_at("level", F.col("i") + 2)
-    change = after - before
-    rows = rows.select(
-        *keys,
-        "h.*",
-        after.alias("soc"),
-        (F.greatest(change, F.lit(0.0)) / battery.efficiency).alias("charge"),
-        (F.greatest(-change, F.lit(0.0)) * battery.efficiency).alias("discharge"),
-    )
+    time_type = forecast.schema["time"].dataType.simpleString()
+    rows = _flows(_solved(forecast, starts, keys, battery, refine), keys, battery, time_type)
     c = F.col
-    grid = c("demand") - c("solar") - c("wind") + c("charge") - c("discharge")
-    buy, sell = F.greatest(grid, F.lit(0.0)), F.greatest(-grid, F.lit(0.0))
     return rows.select(
         *keys,
         "time",
@@ -197,11 +241,46 @@ def schedule(
         F.round("charge", 1).alias("charge_kw"),
         F.round("discharge", 1).alias("discharge_kw"),
         F.round("soc", 1).alias("battery_soc_kwh"),
-        F.round(buy, 1).alias("grid_buy_kw"),
-        F.round(sell, 1).alias("grid_sell_kw"),
+        F.round("buy", 1).alias("grid_buy_kw"),
+        F.round("sell", 1).alias("grid_sell_kw"),
         F.round(flows.baseline_cost(c("demand"), c("solar"), c("wind"), c("price")), 2).alias("baseline_cost_inr"),
-        F.round(flows.dispatched_cost(buy, sell, c("price"), battery.sell_ratio), 2).alias("optimized_cost_inr"),
+        F.round(flows.dispatched_cost(c("buy"), c("sell"), c("price"), battery.sell_ratio), 2).alias("optimized_cost_inr"),
+    )
+
+
+#: Kilowatts, or kilowatt-hours, by which unrounded flows may miss a rule.
+EXACT = 1e-6
+
+
+def certificate(forecast: DataFrame, starts: DataFrame, keys: Sequence[str], battery: Battery = Battery()) -> DataFrame:
+    """Per run: its hours, how many of them break a rule before rounding, its cost, what no schedule can cost less than, and
+    the gap between the two, and what the last grid of levels explains of it: each hour's move misses the best by a step at most.
+
+    The rules: one direction an hour, level and rate within limits, energy in equals energy out, and each hour's level follows
+    from the level before it, beginning with the start. That cheap hours charge and dear ones discharge needs no rule of its
+    own: a schedule that missed a gain between two hours would lie above the bound.
+    """
+    solved = _solved(forecast, starts, keys, battery, True, bounded=True)
+    rows = _flows(solved, [*keys, "cost", "bound"], battery)
+    c = F.col
+    follows = c("before") + c("charge") * battery.efficiency - c("discharge") / battery.efficiency
+    balance = c("buy") + c("solar") + c("wind") + c("discharge") - c("demand") - c("charge") - c("sell")
+    bad = (
+        ((c("charge") > EXACT) & (c("discharge") > EXACT))
+        | ~c("soc").between(battery.low - EXACT, battery.high + EXACT)
+        | (F.greatest("charge", "discharge") > battery.rate + EXACT)
+        | (F.abs(balance) > EXACT)
+        | (F.abs(follows - c("soc")) > EXACT)
+    )
+    step_cost = F.abs("price") * battery.finest / battery.efficiency
+    runs = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("hours"),
+        F.count_if(bad).alias("broken_hours"),
+        F.any_value("cost").alias("cost"),
+        F.any_value("bound").alias("bound"),
+        F.sum(step_cost).alias("grid_gap"),
     )
+    return runs.withColumn("gap", F.col("cost") - F.col("bound"))
 
 
 def audit(plan: DataFrame, battery: Battery = Battery(), tolerance: float = 0.1) -> DataFrame:
