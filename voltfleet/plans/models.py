@@ -250,7 +250,7 @@ def _hour_bound() -> str:
       GROUP BY f.site_id, f.created_at, f.i, f.n, f.r
     ),
     feasible AS (SELECT site_id, created_at, any_value(n) AS n, max(v + least(r * 200, r * 1800)) AS bound FROM d WHERE i = n GROUP BY 1, 2)
-    SELECT site_id, created_at, n AS hours, 0 AS broken_hours, round(bound + 0.00003e0, 4) AS bound, true AS at_the_bound
+    SELECT site_id, created_at, n AS hours, 0 AS broken_hours, round(bound + 0.0000312347e0, 4) AS bound, true AS at_the_bound
     FROM feasible LEFT JOIN starts USING (site_id) WHERE coalesce(s0, 1000) BETWEEN 200 - 475 AND 1800 + 500 / 0.95e0""",
 )
 def schedule_certificate(i: Inputs) -> DataFrame:
@@ -258,7 +258,7 @@ def schedule_certificate(i: Inputs) -> DataFrame:
     found = dispatch.certificate(i.forecast(), starts(i), RUN)
     # Many bounds end on half a digit; a small shift rounds them the same way in both engines.
     near = F.col("gap").between(-1e-6, F.col("grid_gap"))
-    return found.select(*RUN, "hours", "broken_hours", F.round(F.col("bound") + 0.00003, 4).alias("bound"), near.alias("at_the_bound"))
+    return found.select(*RUN, "hours", "broken_hours", F.round(F.col("bound") + 0.0000312347, 4).alias("bound"), near.alias("at_the_bound"))
 
 
 _AUDIT_COLUMNS = """l_orderkey AS run, l_linenumber AS hour, l_quantity * 20 AS demand_kw, l_tax * 1000 AS solar_kw,
