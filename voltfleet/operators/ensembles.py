@@ -1,8 +1,11 @@
-"""Tree ensembles as tables of nodes: what a forecaster does, as data that any SQL engine can walk."""
+"""Tree ensembles as tables of nodes: what a forecaster does, as data that any SQL engine can walk, or as numpy arrays."""
 
 from __future__ import annotations
 
-from pyspark.ml import Model
+from dataclasses import dataclass
+
+import numpy as np
+from pyspark.ml import Model, PipelineModel
 from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,3 +71,68 @@ def walk_sql(inputs: list[str], rows: str = "rows", nodes: str = "nodes") -> str
       JOIN {nodes} n ON n.tree = w.tree AND n.node = CASE WHEN CASE w.name {value} END <= w.threshold THEN w.left_node ELSE w.right_node END
       WHERE w.name IS NOT NULL),
     walked AS (SELECT row, sum(weight * value) AS got FROM walk WHERE name IS NULL GROUP BY row)"""
+
+
+@dataclass(frozen=True)
+class Walker:
+    """A fitted ensemble as arrays, all trees one after the other. A leaf leads to itself, so every row takes ``depth`` steps."""
+
+    inputs: tuple[str, ...]
+    roots: np.ndarray
+    weights: np.ndarray
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    value: np.ndarray
+    depth: int
+
+    def __call__(self, rows: np.ndarray) -> np.ndarray:
+        at = np.broadcast_to(self.roots, (len(rows), len(self.roots)))
+        each = np.arange(len(rows))[:, None]
+        for _ in range(self.depth):
+            at = np.where(rows[each, self.feature[at]] <= self.threshold[at], self.left[at], self.right[at])
+        return self.value[at] @ self.weights
+
+
+@dataclass(frozen=True)
+class Line:
+    """A fitted linear model."""
+
+    inputs: tuple[str, ...]
+    slopes: np.ndarray
+    intercept: float
+
+    def __call__(self, rows: np.ndarray) -> np.ndarray:
+        return rows @ self.slopes + self.intercept
+
+
+def compiled(pipeline: PipelineModel) -> Walker | Line:
+    """An assembler and a regression model as one function over a matrix with a column per name in ``inputs``."""
+    assembler, model = pipeline.stages
+    inputs = tuple(assembler.getInputCols())
+    if not hasattr(model, "trees"):
+        return Line(inputs, np.array(model.coefficients.toArray()), float(model.intercept))
+    nodes = node_table(model, list(inputs)).toPandas()  # as large as the model
+    base = nodes.groupby("tree")["node"].transform("size").groupby(nodes["tree"]).first().cumsum().shift(fill_value=0)
+    first = nodes["tree"].map(base).to_numpy()
+    own = first + nodes["node"].to_numpy()
+    order = np.argsort(own)
+    nodes, first, own = nodes.iloc[order], first[order], own[order]
+    leaf = nodes["feature"].isna().to_numpy()
+
+    def child(name: str) -> np.ndarray:
+        return np.where(leaf, own, first + nodes[name].fillna(0).to_numpy().astype(int))
+
+    trees = nodes[nodes["node"] == 0]
+    return Walker(
+        inputs,
+        own[(nodes["node"] == 0).to_numpy()],
+        trees["weight"].to_numpy(),
+        nodes["feature"].fillna(0).to_numpy().astype(int),
+        nodes["threshold"].fillna(0.0).to_numpy(),
+        child("left_node"),
+        child("right_node"),
+        nodes["value"].to_numpy(),
+        max(t.depth for t in model.trees),
+    )

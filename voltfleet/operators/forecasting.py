@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from datetime import datetime
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voltfleet.functions import flows, physics
 from voltfleet.functions.timeparts import cyclic, is_stale
-from voltfleet.operators import aggregates, align, ordered, series
-from voltfleet.session import path_exists
+from voltfleet.operators import aggregates, align, ensembles, ordered, series
+from voltfleet.session import materialise, path_exists, ship_package
+from voltfleet.sources import tables
 
 HORIZON = 24
 MIN_ROWS = 10
@@ -43,6 +48,15 @@ TARGETS: dict[str, Target] = {
 }
 
 
+#: Two inputs per target, for forecasters that are lines.
+LINES: dict[str, Target] = {
+    "demand": Target("demand_power_kw", ("demand_power_kw_lag_1h", "demand_power_kw_lag_2h")),
+    "solar": Target("solar_power_kw", ("irradiance_wm2", "solar_attenuation")),
+    "wind": Target("wind_power_kw", ("wind_speed_ms", "wind_speed_cubed")),
+    "price": Target("buy_price_inr", ("buy_price_inr_lag_1h", "buy_price_inr_lag_2h")),
+}
+
+
 def estimator(target: str, boosting_rounds: int = 100, trees: int = 50) -> Estimator:
     names = {"labelCol": TARGETS[target].actual, "featuresCol": f"{target}_x", "predictionCol": f"{target}_hat"}
     if target == "solar":
@@ -71,6 +85,16 @@ def fit_all(train: DataFrame, targets: Iterable[str] = TARGETS, boosting_rounds=
         rows.unpersist()
 
 
+def fit_lines(train: DataFrame) -> dict[str, Model]:
+    """One linear model of two inputs per target: closed forms that train in one pass each."""
+    models = {}
+    for target, spec in LINES.items():
+        names = {"labelCol": spec.actual, "featuresCol": f"{target}_x", "predictionCol": f"{target}_hat"}
+        stages = [VectorAssembler(inputCols=list(spec.inputs), outputCol=f"{target}_x"), LinearRegression(solver="normal", **names)]
+        models[target] = Pipeline(stages=stages).fit(train.select(spec.actual, *spec.inputs))
+    return models
+
+
 def split_sites(frame: DataFrame, keys=("site_id",), order=("time",), max_rows: int | None = None) -> DataFrame:
     """Chronological 80/20 split per site; sites with fewer than ten rows are left out."""
     return ordered.chrono_split(series.lay_out(frame, keys, order, max_rows), minimum=MIN_ROWS).rows()
@@ -123,6 +147,35 @@ def load_models(root: str, targets=tuple(TARGETS)) -> dict[str, Model]:
     return {t: PipelineModel.load(f"{root}/{t}") for t in targets if path_exists(spark, f"{root}/{t}")}
 
 
+_VERSION, _COMPLETE = "version=", "_complete"
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def publish_models(models: dict[str, Model], root: str, version: datetime) -> None:
+    """Save a set of models as a version of its own. Readers see it once the last model is written, and never a part of it."""
+    spark = SparkSession.active()
+    folder = f"{root}/{_VERSION}{version:%Y%m%dT%H%M%S%f}"
+    mark, files = _file_system(spark, f"{folder}/{_COMPLETE}")
+    files.delete(mark, False)  # a version that is written again is no version until it is whole
+    save_models(models, folder)
+    files.create(mark, True).close()
+
+
+def current_models(root: str, targets=tuple(TARGETS)) -> dict[str, Model]:
+    """The newest complete version; none when there is none."""
+    spark = SparkSession.active()
+    where, files = _file_system(spark, root)
+    if not files.exists(where):
+        return {}
+    folders = [x.getPath().toString() for x in files.listStatus(where) if x.getPath().getName().startswith(_VERSION)]
+    done = [f for f in folders if path_exists(spark, f"{f}/{_COMPLETE}")]
+    return load_models(max(done), targets) if done else {}
+
+
 def horizon(latest_times: DataFrame, time: str = "time", hours: int = HORIZON) -> DataFrame:
     """One row per coming hour after ``time``, numbered from 1."""
     ahead = F.sequence(
@@ -182,6 +235,55 @@ def recursive_forecast(
     return exploded.select(*keys, later.alias("time"), "s.demand", "s.price")
 
 
+def _run_batches(batches: Iterator[pd.DataFrame], keys: list[str], walkers: dict, hours: int, consistent_roll: bool):
+    floors = {"demand": flows.S.MIN_DEMAND_KW, "price": flows.S.MIN_PRICE}
+    columns = {"demand": "demand_power_kw", "price": "buy_price_inr"}
+    for batch in batches:
+        if not len(batch):
+            continue
+        clock = np.stack(batch["clock"].to_list()).reshape(len(batch), hours, len(_CLOCK))
+        out = batch[[*keys, "at"]].copy()
+        for name, walk in walkers.items():
+            last, before = batch[f"{name}_1"].to_numpy(float), batch[f"{name}_2"].to_numpy(float)
+            made: list[np.ndarray] = []
+            for h in range(hours):
+                known = [last, before] + ([made[i] for i in (h - 3, h - 4) if i >= 0] if consistent_roll else [])
+                row = {c: clock[:, h, j] for j, c in enumerate(_CLOCK)}
+                row |= {
+                    f"{columns[name]}_lag_1h": last,
+                    f"{columns[name]}_lag_2h": before,
+                    f"{columns[name]}_roll_4h": sum(known[1:], known[0]) / float(len(known)),
+                }
+                made.append(np.maximum(walk(np.column_stack([row[c] for c in walk.inputs])), floors[name]))
+                last, before = made[-1], last
+            out[name] = list(np.column_stack(made))
+        yield out
+
+
+def vector_forecast(
+    state: DataFrame, models: dict[str, Model], keys=("site_id",), hours=HORIZON, consistent_roll: bool = False
+) -> DataFrame:
+    """What ``recursive_forecast`` gives, in one pass: the models are numpy arrays, and all hours of a batch of sites run in
+    one task. The plan stays the same however many hours and trees there are."""
+    ship_package(state.sparkSession)
+    walkers = {name: ensembles.compiled(models[name]) for name in ("demand", "price")}
+    stamp = F.unix_timestamp("time")
+
+    def clock(h: Column) -> Column:
+        parts = cyclic(F.timestamp_seconds(stamp + h * 3600))
+        return F.array(*[parts[c].cast("double") for c in _CLOCK])
+
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(hours)), clock)).alias("clock")
+    starts = [F.col(f"{n}_{k}").cast("double").alias(f"{n}_{k}") for n in walkers for k in (1, 2)]
+    slim = state.select(*keys, stamp.alias("at"), *starts, spans)
+    numbers = T.ArrayType(T.DoubleType())
+    schema = T.StructType([*[slim.schema[c] for c in (*keys, "at")], *[T.StructField(n, numbers) for n in walkers]])
+    made = slim.mapInPandas(lambda b: _run_batches(b, list(keys), walkers, hours, consistent_roll), schema)
+    exploded = made.select(*keys, "at", F.posexplode(F.arrays_zip("demand", "price")).alias("_i", "s"))
+    later = F.timestamp_seconds(F.col("at") + (F.col("_i") + 1) * 3600)
+    return exploded.select(*keys, later.alias("time"), "s.demand", "s.price")
+
+
 def forecast(
     frame: DataFrame, weather: DataFrame, models: dict[str, Model], keys=("site_id",), consistent_roll: bool = False
 ) -> DataFrame:
@@ -190,7 +292,7 @@ def forecast(
     An hour that ``weather`` lacks takes the nearest one of its site; a site without any takes the typical day.
     """
     state = latest_state(frame, keys)
-    chained = recursive_forecast(state, models, keys, consistent_roll=consistent_roll)
+    chained = vector_forecast(state, models, keys, consistent_roll=consistent_roll)
     clock = {n: e for n, e in cyclic(F.col("time")).items() if n in ("hour_sin", "hour_cos")}
     hours = align.with_weather(chained, weather, keys)
     feed = {c: F.col(c) for c in weather.columns if c not in (*keys, "time")}
@@ -235,3 +337,31 @@ def stale_sites(sites: DataFrame, predictions: DataFrame, as_of: Column, limit:
     """Sites that need a new forecast: none yet, or the newest is too old."""
     runs = sites.join(latest_run(predictions), ["site_id"], "left")
     return runs.filter(is_stale(F.col("created_at"), as_of, limit))
+
+
+def refresh(
+    frame: DataFrame,
+    weather: DataFrame,
+    sites: DataFrame,
+    root: str,
+    model_root: str,
+    as_of: datetime,
+    limit: int = 3600,
+    train: Callable[[DataFrame], dict[str, Model]] = fit_all,
+) -> DataFrame:
+    """The newest forecast of every site, after a new run for those without one and those whose last is older than ``limit``.
+
+    Fresh sites keep their run. If any site is stale, the models are fitted anew over all sites and published as the version of
+    ``as_of``; only the stale sites run. A stale site without history keeps what it has. Called again with the same ``as_of``,
+    it adds nothing.
+    """
+    spark = frame.sparkSession
+    now = F.lit(as_of.isoformat(" ")).cast("timestamp")
+    known = sites.join(frame.select("site_id"), "site_id", "left_semi")
+    # Written once: the table it is read from changes below.
+    stale = materialise(stale_sites(known, tables.read(spark, root, "predictions").drop("date"), now, limit).select("site_id"))
+    if not stale.isEmpty():
+        publish_models(train(frame), model_root, as_of)
+        run = forecast(frame.join(stale, "site_id", "left_semi"), weather, current_models(model_root))
+        tables.append_run(prediction_rows(run, now), root)
+    return latest_forecast(tables.read(spark, root, "predictions").drop("date"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from voltfleet.operators import aggregates, align, dispatch, forecasting, status
 from voltfleet.plans.inputs import FORECAST_SQL, POWER_SQL, PREDICTIONS_SQL, T_SQL, Inputs
 from voltfleet.plans.registry import query
 from voltfleet.plans.reports import _PIVOT
+from voltfleet.session import scratch_path
+from voltfleet.sources import tables
 
 
 def frame(i: Inputs) -> DataFrame:
@@ -172,6 +176,76 @@ def latest_forecast(i: Inputs) -> DataFrame:
     return forecasting.latest_forecast(i.predictions())
 
 
+REFRESHED_AT = datetime(2024, 1, 31)
+_LINES = {
+    "demand": ("demand_power_kw", "d1", "d2"),
+    "price": ("buy_price_inr", "p1", "p2"),
+    "solar": ("solar_power_kw", "sun", "sun * dim"),
+    "wind": ("wind_power_kw", "speed", "pow(speed, 3)"),
+}
+
+
+def _line_ctes() -> str:
+    """Per target the least-squares line through the rows of y, as columns b0, b1, b2."""
+    made = []
+    for target, (y, x1, x2) in _LINES.items():
+        sums = _LINE_SQL.format(keys="", group="")
+        for name in ("m", "b", "d"):
+            sums = sums.replace(f"{name} AS (", f"{target}_{name} AS (").replace(f"FROM {name} ", f"FROM {target}_{name} ").replace(f"FROM {name})", f"FROM {target}_{name})")
+        made.append(f"{target}_d AS (SELECT {y} AS y, {x1} AS x1, {x2} AS x2 FROM y), {sums}")
+        made.append(f"{target} AS (SELECT my - b1 * m1 - b2 * m2 AS b0, b1, b2 FROM {target}_b)")
+    return ", ".join(made)
+
+
+@query(
+    "refresh_forecast",
+    f"""{FRAME_SQL.replace("WITH ", "WITH RECURSIVE ", 1)}, {PREDICTIONS_SQL},
+    y AS (SELECT *, sqrt(wind_power_kw) * 1.5e0 AS speed, solar_power_kw * 8 AS sun,
+        1 - 0.75e0 * pow(least(battery_power_kw, 100) / 100, 3) AS dim, count(*) OVER (PARTITION BY site_id) AS n,
+        coalesce(lag(demand_power_kw) OVER o, CASE WHEN n > 1 THEN first_value(demand_power_kw) OVER o END, 0) AS d1,
+        coalesce(lag(demand_power_kw, 2) OVER o, CASE WHEN n > 2 THEN first_value(demand_power_kw) OVER o END, 0) AS d2,
+        coalesce(lag(buy_price_inr) OVER o, CASE WHEN n > 1 THEN first_value(buy_price_inr) OVER o END, 0) AS p1,
+        coalesce(lag(buy_price_inr, 2) OVER o, CASE WHEN n > 2 THEN first_value(buy_price_inr) OVER o END, 0) AS p2
+      FROM x WINDOW o AS (PARTITION BY site_id ORDER BY time)), {_line_ctes()},
+    runs AS (SELECT site_id, max(created_at) AS created_at FROM predictions GROUP BY 1),
+    stale AS (SELECT site_id FROM (SELECT DISTINCT site_id FROM y) LEFT JOIN runs USING (site_id)
+      WHERE created_at IS NULL OR created_at < TIMESTAMP '{REFRESHED_AT}' - INTERVAL 1 DAY),
+    r AS (
+      SELECT site_id, 0 AS h, max(time) AS time, arg_max(demand_power_kw, time) AS d, arg_max(d1, time) AS d_before,
+        arg_max(buy_price_inr, time) AS p, arg_max(p1, time) AS p_before FROM y SEMI JOIN stale USING (site_id) GROUP BY 1
+      UNION ALL
+      SELECT site_id, h + 1, time + INTERVAL 1 HOUR, greatest(demand.b0 + demand.b1 * d + demand.b2 * d_before, 5), d,
+        greatest(price.b0 + price.b1 * p + price.b2 * p_before, 0.5e0), p FROM r, demand, price WHERE h < 24),
+    sky AS (SELECT site_id, avg(speed) AS speed, avg(sun) AS sun, avg(least(battery_power_kw, 100)) AS cloud FROM y GROUP BY 1),
+    made AS (SELECT site_id, TIMESTAMP '{REFRESHED_AT}' AS created_at, time, round(d, 3) AS demand,
+        round(CASE WHEN sun <= 0 OR hour(time) NOT BETWEEN 6 AND 18 THEN 0
+          ELSE greatest(solar.b0 + solar.b1 * sun + solar.b2 * sun * (1 - 0.75e0 * pow(cloud / 100, 3)), 0) END, 3) AS solar,
+        round(CASE WHEN speed >= 3 AND speed < 25
+          THEN greatest(least(wind.b0 + wind.b1 * speed + wind.b2 * pow(speed, 3), 1500), 0) ELSE 0 END, 3) AS wind, round(p, 3) AS price
+      FROM r JOIN sky USING (site_id), solar, wind WHERE h > 0),
+    kept AS (SELECT site_id, created_at, time, {_PIVOT} FROM predictions SEMI JOIN runs USING (site_id, created_at)
+      ANTI JOIN stale USING (site_id) GROUP BY 1, 2, 3)
+    SELECT * FROM made UNION ALL BY NAME SELECT * FROM kept""",
+)
+def refresh_forecast(i: Inputs) -> DataFrame:
+    """The predictions of the table, with a new run of linear models for the sites whose last one is over a day old.
+
+    Every coming hour has the site's mean weather.
+    """
+    root = scratch_path(i.spark, "forecasts")
+    tables.create_folders(i.spark, root)
+    tables.append_run(i.predictions(), root)
+    features = scratch_path(i.spark, "frame")
+    frame(i).write.parquet(features)  # read by the fits, the state and the weather
+    rows = i.spark.read.parquet(features)
+    sky = rows.groupBy("site_id").agg(F.max("time").alias("time"), *[F.avg(c).alias(c) for c in align.WEATHER_COLUMNS])
+    weather = forecasting.horizon(sky).drop("step")
+    sites = i.t().select("site_id").distinct()
+    return forecasting.refresh(
+        rows, weather, sites, root, f"{root}/models", REFRESHED_AT, limit=86_400, train=forecasting.fit_lines
+    )
+
+
 RUN = ["site_id", "created_at"]
 _STARTS = """starts AS (SELECT site_id, coalesce(arg_max(battery_soc_pct, (time, seq)) FILTER (
     WHERE battery_soc_pct IS NOT NULL) / 100.0e0 * 2000, 1000.0e0) AS s0 FROM power GROUP BY 1)"""
