@@ -58,17 +58,21 @@ def to_tables(clean: DataFrame, root: str, checkpoint: str, once: bool = True) -
 
 
 def ingest(raw: DataFrame, root: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Messages to lake, tables and dead letters in one pass: what is rejected never reaches the tables."""
+    """Messages to lake, tables and dead letters in one pass: what is rejected never reaches the tables.
+
+    Several streams may feed one ``root``, such as a broker's and a replay of dead letters; each has its own ``checkpoint``.
+    """
 
     def load(batch: DataFrame, batch_id: int) -> None:
         rows = batch.persist()
         try:
             clean = rows.filter("accepted").drop("accepted", "reasons", "payload")
-            lake.write(clean, f"{root}/lake", depth=4, batch=_batch_name(checkpoint, batch_id))
+            name = _batch_name(checkpoint, batch_id)
+            lake.write(clean, f"{root}/lake", depth=4, batch=name)
             tables.insert_ignore(shape.price_rows(clean), root, "electricity_prices")
             tables.insert_ignore(shape.power_rows(clean), root, "telemetry_power")
             failed = messages.dead_letters(rows.filter("NOT accepted"), F.col("reasons"), F.current_timestamp())
-            failed.write.mode("overwrite").text(f"{root}/dead_letters/batch={batch_id}")
+            failed.write.mode("overwrite").text(f"{root}/dead_letters/batch={name}")
         finally:
             rows.unpersist()
 
