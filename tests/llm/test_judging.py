@@ -152,8 +152,10 @@ def test_viterbi_is_the_best_path():
 def test_quality_of_unseen_documents():
     sql = f"SELECT d.doc_id, text, quality FROM '{MIDDLE}/documents.parquet' d JOIN '{MIDDLE}/labels.parquet' l USING (doc_id) ORDER BY 1"
     docs = read(sql)
-    known = [(example(t)[:60], 0 if q else 1) for d, t, q in docs if not held_out(d)]
-    field = quality_rules.fit(known[:1500])
+    whole = [(example(t), 0 if q else 1) for d, t, q in docs if not held_out(d)][:1500]
+    size = quality_rules.STRETCH
+    known = [(lines[k : k + size], y) for lines, y in whole for k in range(0, len(lines), size)]
+    field = quality_rules.fit(known)
     good, bad = [], []
     for d, t, q in docs:
         if held_out(d):
@@ -163,6 +165,22 @@ def test_quality_of_unseen_documents():
     assert quality_rules.fit([]) is None
 
 
+def test_pages_of_both_kinds_teach_the_turns(spark):
+    """Good pages with a long footer, longer than a stretch of training: the footer is learned although it never comes first,
+    and a mixed page is marked line by line."""
+    text = "The river rises slowly in the hills and runs down to the sea."
+    foot = "| HOME | SHOP | $$ |"
+    good = "\n".join([f"{text} Part {k} follows." for k in range(70)] + [f"{foot} {k}" for k in range(6)])
+    bad = "\n".join([f"{foot} {k}" for k in range(70)])
+    docs = spark.createDataFrame([(d, good if d % 2 else bad) for d in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, d % 2) for d in range(60)], "doc_id long, quality int")
+    field = quality_rules.train(docs, labels)
+    marks = field.decode(example(good))
+    assert marks == [0] * 70 + [1] * 6
+    assert field.decode(example(bad)) == [1] * 70
+    assert quality_rules.train(docs.limit(0), labels) is None
+
+
 def test_toxicity_of_unseen_documents():
     sql = f"SELECT d.doc_id, text, toxic FROM '{MIDDLE}/documents.parquet' d JOIN '{MIDDLE}/labels.parquet' l USING (doc_id) ORDER BY 1"
     docs = read(sql)

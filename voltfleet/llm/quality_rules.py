@@ -2,9 +2,12 @@
 
 The field is a chain over the lines of a document that hold a word. Each line has a few yes-or-no features of its own;
 weights tie them to the two labels, and four more weights tie neighbouring labels. They are fitted in numpy by the exact
-gradient (forward and backward sums over the chain) on at most ``SAMPLE`` labelled documents, whose lines all take the label
-of their document as a start: a good document is content, a bad one boilerplate. Viterbi decoding then marks the lines of
-every document; if content has less than ``LEAST_SHARE`` of the words, the document goes.
+gradient (forward and backward sums over the chain) on at most ``SAMPLE`` labelled documents, from the first line to the
+last: a document is cut into stretches of ``STRETCH`` lines, each a chain of its own, and of all stretches those with the least
+hashes are taken, at most ``SAMPLE`` of each label. At first all lines take the label of their document: a good document is
+content, a bad one boilerplate. Fitted to that without turns, for all chains would teach it to stay, the field marks each line
+anew, with ``PRIOR`` in favour of the document's label; fitted once more, now with turns, it learns them from chains with both labels. Viterbi decoding marks the lines of every
+document; if content has less than ``LEAST_SHARE`` of the words, the document goes.
 
 A null or empty text has no words and fails the base rules. Without labels of both kinds all lines are content. A document
 with several labels takes the least. Repeated rows are judged as often as they stand.
@@ -24,8 +27,10 @@ from voltfleet.llm import bpe, common
 from voltfleet.llm.shingles import STEP, mix, texts_words
 
 SAMPLE, STEPS, RATE, DECAY = 3_000, 120, 0.2, 1e-3
-#: Lines of one document used in training.
-SAMPLE_LINES = 60
+#: Lines of a chain in training.
+STRETCH = 60
+#: How much a line is held to its document's label when lines are marked anew, in logarithms of odds.
+PRIOR = 1.0
 LEAST_SHARE = 0.5
 #: Base rules: fewest words, and most words in repeated windows, in percent.
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -136,25 +141,39 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def fit(examples: list[tuple[list[tuple[int, ...]], int]]) -> Field | None:
-    """Maximum likelihood on (features of the lines, label of all of them); None if a label is missing."""
+    """Fitted to (features of the lines, label of the document), marked anew and fitted again; None if a label is missing."""
     examples = [e for e in examples if e[0]]
     if len({y for _, y in examples}) < 2:
         return None
+    first = _likeliest(examples, [[y] * len(x) for x, y in examples], turns=False)
+    held = []
+    for y in (CONTENT, BOILERPLATE):
+        emit = first.emit.copy()
+        emit[y][0] += PRIOR
+        held.append(Field(emit, first.turn))
+    return _likeliest(examples, [held[y].decode(x) for x, y in examples])
+
+
+def _likeliest(examples: list[tuple[list[tuple[int, ...]], int]], marks: list[list[int]], turns: bool = True) -> Field:
+    """Maximum likelihood of the marks of all lines; without ``turns`` each line stands for itself."""
     docs, longest = len(examples), max(len(x) for x, _ in examples)
     x = np.zeros((docs, longest, FEATURES))
     there = np.zeros((docs, longest), bool)
+    mark = np.zeros((docs, longest), np.int64)
     label = np.array([y for _, y in examples])
     for k, (lines, _) in enumerate(examples):
         for t, own in enumerate(lines):
             x[k, t, list(own)] = 1
         there[k, : len(lines)] = True
-    # Both labels weigh the same, whatever their share of the lines.
+        mark[k, : len(lines)] = marks[k]
+    # Documents of both labels weigh the same, whatever their share of the lines.
     lines_of_label = np.bincount(label, there.sum(axis=1), 2)
     weight = (0.5 / lines_of_label)[label][:, None]
     emit, turn = np.zeros((2, FEATURES)), np.zeros((2, 2))
     state = [np.zeros_like(emit), np.zeros_like(turn)]
-    true = np.eye(2)[label][:, None, :] * there[:, :, None]
+    true = np.eye(2)[mark] * there[:, :, None]
     pairs = there[:, 1:]
+    seen = np.einsum("dti,dtj->dij", true[:, :-1], true[:, 1:])
     for _ in range(STEPS):
         score = x @ emit.T
         forward, backward = np.zeros((docs, longest, 2)), np.zeros((docs, longest, 2))
@@ -171,9 +190,9 @@ def fit(examples: list[tuple[list[tuple[int, ...]], int]]) -> Field | None:
             forward[:, :-1, :, None] + turn + (score[:, 1:] + backward[:, 1:])[:, :, None, :] - total[:, None, None, None]
         ) * pairs[:, :, None, None]
         grad_emit = np.einsum("dtl,dtf->lf", (true - own) * weight[:, :, None], x) - DECAY * emit
-        hit = np.eye(2)[label]
-        seen = hit[:, :, None] * hit[:, None, :] * pairs.sum(axis=1)[:, None, None]
         grad_turn = ((seen - joint.sum(axis=1)) * weight[:, :, None]).sum(axis=0) - DECAY * turn
+        if not turns:
+            grad_turn[:] = 0
         for w, g, s in ((emit, grad_emit, state[0]), (turn, grad_turn, state[1])):
             s += g * g
             w += RATE * g / np.sqrt(s + 1e-12)
@@ -187,15 +206,23 @@ def train(docs: DataFrame, labels: DataFrame) -> Field | None:
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")  # at most SAMPLE pairs of numbers
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "quality", "part", "lines"]
         for batch in common.batches(batches_):
-            own = []
-            for text in batch.column("text").to_pylist():
+            for doc, text, quality in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "quality")), strict=True):
                 lines, again, _ = lines_of(text or "")
-                own.append([list(features(*x)) for x in zip(lines[:SAMPLE_LINES], again, strict=False)])
-            yield pa.record_batch([batch.column("doc_id"), batch.column("quality").cast(pa.int32()), pa.array(own, pa.list_(pa.list_(pa.int32())))], ["doc_id", "quality", "lines"])
-
-    found = rows.select("doc_id", "text", "quality").mapInArrow(run, "doc_id bigint, quality int, lines array<array<int>>").dropDuplicates(["doc_id"]).collect()
-    found.sort(key=lambda r: r.doc_id)
+                for start in range(0, len(lines), STRETCH):
+                    stop = start + STRETCH
+                    own = [list(features(*x)) for x in zip(lines[start:stop], again[start:stop], strict=True)]
+                    yield pa.record_batch([
+                        pa.array([doc], pa.int64()), pa.array([quality], pa.int32()), pa.array([start // STRETCH], pa.int64()),
+                        pa.array([own], pa.list_(pa.list_(pa.int32()))),
+                    ], names)
+
+    cut = rows.select("doc_id", "text", "quality").mapInArrow(run, "doc_id bigint, quality int, part bigint, lines array<array<int>>")
+    cut = cut.dropDuplicates(["doc_id", "part"])
+    least = [cut.filter(F.col("quality") == y).orderBy(F.xxhash64("doc_id", "part"), "doc_id", "part").limit(SAMPLE) for y in (0, 1)]
+    found = least[0].union(least[1]).collect()  # at most 2 * SAMPLE stretches of STRETCH lines
+    found.sort(key=lambda r: (r.doc_id, r.part))
     return fit([([tuple(x) for x in r.lines], CONTENT if r.quality else BOILERPLATE) for r in found])
 
 
