@@ -250,3 +250,18 @@ def test_metrics_edge_cases(spark):
     df = spark.createDataFrame([("a", 1.0, 3.0), ("b", 2.0, 2.0), ("b", 2.0, 3.0)], "k string, y double, p double")
     got = {r.k: (r.mae, r.rmse, r.r2_score) for r in aggregates.regression_metrics(df, ["k"], "y", "p").collect()}
     assert got["a"] == (2.0, 2.0, 1.0) and got["b"] == (0.5, 0.7071, 0.0)
+
+
+def test_fits_use_as_few_partitions_as_the_rows_need(spark, frame):
+    """Boosting runs hundreds of jobs over the rows: their tasks must follow from the rows, not from the layout."""
+    scattered = frame.repartition(40)
+    rows = forecasting.packed(scattered, ("demand", "wind"))
+    spec = [forecasting.TARGETS[t] for t in ("demand", "wind")]
+    assert set(rows.columns) == {c for s in spec for c in (s.actual, *s.inputs)}
+    assert rows.rdd.getNumPartitions() == 1 and rows.count() == 50
+    assert forecasting.packed(scattered, ("wind",), fit_rows=20).rdd.getNumPartitions() == 3
+    assert forecasting.packed(scattered.limit(0), ("wind",)).count() == 0
+
+    one, other = (forecasting.fit_all(f, boosting_rounds=2, trees=3) for f in (scattered, frame.coalesce(1)))
+    seen = [sorted(tuple(r) for r in forecasting.score(frame, m).select(*[f"{t}_hat" for t in m]).collect()) for m in (one, other)]
+    assert list(one) == list(forecasting.TARGETS) and seen[0] == seen[1]

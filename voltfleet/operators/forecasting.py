@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -23,6 +26,8 @@ from voltfleet.sources import tables
 
 HORIZON = 24
 MIN_ROWS = 10
+#: Rows that one task of a fit passes over.
+FIT_ROWS = 100_000
 _CLOCK = ("hour_sin", "hour_cos", "day_sin", "day_cos", "is_weekend")
 
 
@@ -76,11 +81,25 @@ def fit(train: DataFrame, target: str, boosting_rounds: int = 100, trees: int =
     return pipeline.fit(train.select(spec.actual, *spec.inputs))
 
 
+def packed(train: DataFrame, targets: Iterable[str], fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The columns that ``targets`` learn from, in as few partitions as the rows need.
+
+    Boosting runs a job for each level of each of its rounds, and all of them have as many tasks as this has partitions. Rows
+    go to partitions by their values and lie there in order, so a fit is the same however ``train`` was laid out.
+    """
+    columns = list(dict.fromkeys(c for t in targets for c in (TARGETS[t].actual, *TARGETS[t].inputs)))
+    slim = train.select(*columns)
+    return slim.repartition(max(1, math.ceil(train.count() / fit_rows)), *columns).sortWithinPartitions(*columns)
+
+
 def fit_all(train: DataFrame, targets: Iterable[str] = TARGETS, boosting_rounds=100, trees=50) -> dict[str, Model]:
-    """One model per target, over all sites. The rows are kept at hand while the models pass over them."""
-    rows = train.persist()
+    """One model per target, over all sites, side by side. The rows are kept at hand while the models pass over them."""
+    targets = tuple(targets)
+    rows = packed(train, targets).persist()
     try:
-        return {t: fit(rows, t, boosting_rounds, trees) for t in targets}
+        with ThreadPoolExecutor(max(1, len(targets))) as pool:
+            fits = {t: pool.submit(inheritable_thread_target(train.sparkSession)(fit), rows, t, boosting_rounds, trees) for t in targets}
+            return {t: f.result() for t, f in fits.items()}
     finally:
         rows.unpersist()
 

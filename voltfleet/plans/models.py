@@ -33,6 +33,13 @@ def frame(i: Inputs) -> DataFrame:
     return align.features(whole.on(whole.df.withColumns(weather))).rows()
 
 
+def kept_frame(i: Inputs) -> DataFrame:
+    """:func:`frame`, written once: fits, states, splits and scores read it again."""
+    features = scratch_path(i.spark, "frame")
+    frame(i).write.parquet(features)
+    return i.spark.read.parquet(features)
+
+
 _FILLED = """coalesce(last_value({c} IGNORE NULLS) OVER b, first_value({c} IGNORE NULLS) OVER f, 0) AS {c}"""
 FRAME_SQL = f"""WITH {T_SQL},
 p AS (SELECT site_id, date_trunc('hour', time) AS time, arg_min(power_kw / 10, seq) AS buy_price_inr
@@ -78,7 +85,7 @@ def feature_vectors(i: Inputs) -> DataFrame:
 
 
 def _trained(i: Inputs, target: str) -> DataFrame:
-    rows = frame(i)
+    rows = kept_frame(i)
     model = forecasting.fit_all(rows, [target])[target]
     spec = forecasting.TARGETS[target]
     return model.transform(rows).select(
@@ -142,7 +149,7 @@ def regression_metrics(i: Inputs) -> DataFrame:
 
 @query("train_eval")
 def train_eval(i: Inputs) -> DataFrame:
-    _, metrics = forecasting.train_all(frame(i))
+    _, metrics = forecasting.train_all(kept_frame(i))
     return metrics
 
 
@@ -158,7 +165,7 @@ def horizon_grid(i: Inputs) -> DataFrame:
 
 @query("forecast_24h")
 def forecast_24h(i: Inputs) -> DataFrame:
-    rows = frame(i)
+    rows = kept_frame(i)
     models = forecasting.fit_all(rows, forecasting.TARGETS)
     coming = forecasting.horizon(rows.groupBy("site_id").agg(F.max("time").alias("time"))).drop("step")
     # The coming day's weather repeats the hour's mean over the site's past.
@@ -235,9 +242,7 @@ def refresh_forecast(i: Inputs) -> DataFrame:
     root = scratch_path(i.spark, "forecasts")
     tables.create_folders(i.spark, root)
     tables.append_run(i.predictions(), root)
-    features = scratch_path(i.spark, "frame")
-    frame(i).write.parquet(features)  # read by the fits, the state and the weather
-    rows = i.spark.read.parquet(features)
+    rows = kept_frame(i)
     sky = rows.groupBy("site_id").agg(F.max("time").alias("time"), *[F.avg(c).alias(c) for c in align.WEATHER_COLUMNS])
     weather = forecasting.horizon(sky).drop("step")
     sites = i.t().select("site_id").distinct()
