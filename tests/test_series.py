@@ -45,6 +45,16 @@ def test_split_is_used_and_bounded(spark):
     assert not lay_out(rows(spark), ["site_id"], ["seq"], 10_000).split
 
 
+def test_short_chunks_need_no_task_each(spark):
+    """400 rows in chunks of 7 are 58 chunks, but no more tasks than there are cores."""
+    s = lay_out(rows(spark), ["site_id"], ["seq"], 7)
+    assert s.split and s.df.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    chunks = s.df.groupBy("_chunk").agg(F.count("*").alias("n"), F.min(F.struct("site_id", "seq")).alias("a"), F.max(F.struct("site_id", "seq")).alias("b"))
+    chunks = chunks.orderBy("_chunk").collect()
+    assert len(chunks) >= 58 and sum(c.n for c in chunks) == 400 and max(c.n for c in chunks) <= 7
+    assert all(x.b < y.a for x, y in zip(chunks, chunks[1:]))  # consecutive stretches in order
+
+
 @pytest.mark.parametrize("keys", [["site_id"], []])
 @pytest.mark.parametrize("limit", LIMITS[1:])
 def test_layouts_agree(spark, keys, limit):

@@ -94,7 +94,7 @@ def impute(s: Series, slots: Sequence[str] = S.SLOTS) -> Series:
         df = units.df.withColumns(
             {f"_{c}_{b}": F.when(F.col(_UNIT).isNotNull(), F.col(f"_{c}_{b}")) for c in slots for b in (1, 2)}
         ).withColumn(_UNIT, F.coalesce(_UNIT, F.lit(-1)))
-        df = df.repartition(s.chunks, *s.keys, _UNIT)
+        df = df.repartition(s.tasks, *s.keys, _UNIT)
         order = list(s.order)
     columns = dict.fromkeys([*original, _UNIT, *[f"_{c}_{b}" for c in slots for b in (1, 2)], *order])
     ordered = df.select(*columns).sortWithinPartitions(*s.keys, _UNIT, *order)

@@ -6,15 +6,17 @@ of all rows. ``lay_out`` counts the rows per key (a column-pruned, map-side
 combined job) and then picks one of two layouts:
 
 * *whole*: ``Window.partitionBy(keys)``, one shuffle;
-* *split*: a range partitioning by ``keys + order`` cuts long series into
-  consecutive chunks of about equal size. The chunk number is written down with
-  the rows, since range bounds are sampled and must not change between readers.
+* *split*: a range partitioning by ``keys + order`` gives every task one run of
+  consecutive rows, and the task cuts it into chunks of at most ``limit`` rows.
+  So there are as many tasks as the rows call for, however short the chunks are.
+  The chunk number is written down with the rows, since range bounds are sampled
+  and must not change between readers.
 
 Operators see the earlier rows of a key that lie in other chunks either as a
 halo (the last few rows, for bounded frames) or as a carry (one folded value per
 chunk, for running frames). A chunk boundary crosses at most one key, so the
-tables of halos and carries grow with the number of chunks, not with the data,
-and it is safe to broadcast them.
+tables of halos and carries have a few rows per chunk. With short chunks those
+are many; how they are joined is left to the planner, by their size.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from voltfleet.session import materialise, max_series_rows
 
 CHUNK = "_chunk"
 HALO = "_halo"
+#: Rows that one task orders when series are cut; the number of tasks follows from it.
+TASK_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -37,11 +41,11 @@ class Series:
     df: DataFrame
     keys: tuple[str, ...]
     order: tuple[str, ...]
-    chunks: int = 0  # 0: every series is whole
+    tasks: int = 0  # over which the chunks are spread; 0: every series is whole
 
     @property
     def split(self) -> bool:
-        return self.chunks > 0
+        return self.tasks > 0
 
     @property
     def group(self) -> list[str]:
@@ -83,9 +87,12 @@ def lay_out(
     longest, total = sizes.agg(F.max("n"), F.sum("n")).first()
     if (longest or 0) <= limit:
         return Series(df, tuple(keys), tuple(order))
-    chunks = math.ceil(total / limit)
-    ranged = df.repartitionByRange(chunks, *keys, *order).withColumn(CHUNK, F.spark_partition_id())
-    return Series(materialise(ranged), tuple(keys), tuple(order), chunks)
+    spread = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(total / TASK_ROWS))
+    tasks = min(math.ceil(total / limit), spread)
+    ranged = df.repartitionByRange(tasks, *keys, *order).sortWithinPartitions(*keys, *order)
+    # The row ids of a task run on without a gap and far apart from those of the next, so no two tasks share a chunk.
+    cut = ranged.withColumn(CHUNK, F.floor(F.monotonically_increasing_id() / limit))
+    return Series(materialise(cut), tuple(keys), tuple(order), tasks)
 
 
 def crossings(s: Series) -> DataFrame:
@@ -105,7 +112,7 @@ def _with_halo(s: Series, depth: int) -> DataFrame:
     cut = crossings(s)
     newest_first = [F.col(c).desc() for c in s.order]
     tails = (
-        s.df.join(F.broadcast(cut), s.group)
+        s.df.join(cut, s.group)
         .withColumn("_age", F.row_number().over(Window.partitionBy(*s.group).orderBy(*newest_first)))
         .filter(F.col("_age") <= depth)
         .filter("_pos < _last")
@@ -114,7 +121,7 @@ def _with_halo(s: Series, depth: int) -> DataFrame:
     )
     targets = cut.select(*s.keys, F.col("_pos").alias("_to"), CHUNK)
     halo = (
-        tails.join(F.broadcast(targets), [*s.keys, "_to"])
+        tails.join(targets, [*s.keys, "_to"])
         .withColumn("_age", F.row_number().over(Window.partitionBy(*s.group).orderBy(*newest_first)))
         .filter(F.col("_age") <= depth)
         .drop("_to", "_age")
@@ -134,7 +141,7 @@ def with_key_rows(s: Series, name: str) -> Series:
     local = F.count(F.lit(1)).over(Window.partitionBy(*s.group))
     if not s.split:
         return s.on(s.df.withColumn(name, local))
-    totals = F.broadcast(crossings(s).select(*s.group, "_total"))
+    totals = crossings(s).select(*s.group, "_total")
     df = s.df.join(totals, s.group, "left").withColumn(name, F.coalesce("_total", local)).drop("_total")
     return s.on(df)
 
@@ -150,7 +157,7 @@ def _with_carry(s: Series, folds: Mapping[str, tuple[Column, Callable[[WindowSpe
         .filter("_pos > 1")
         .drop("_pos")
     )
-    return s.df.join(F.broadcast(carry), s.group, "left")
+    return s.df.join(carry, s.group, "left")
 
 
 def forward_fill(s: Series, columns: Mapping[str, str]) -> Series:
