@@ -11,7 +11,7 @@ from voltfleet.operators import validation
 from voltfleet.plans.history import IMPUTED_SQL
 from voltfleet.plans.inputs import BUILDING_SHARES, T_SQL, Inputs
 from voltfleet.plans.registry import query
-from voltfleet.session import scratch_path
+from voltfleet.session import scratch_path, spread
 from voltfleet.sources import lake, messages, tables
 from voltfleet.streaming import pipelines
 from voltfleet.streaming.state import judged
@@ -44,7 +44,7 @@ def _frozen_sql() -> str:
     FROM t LEFT JOIN z USING (seq)""",
 )
 def stream_validate(i: Inputs) -> DataFrame:
-    clean = judged(i.messages(event_stream(i)))
+    clean = judged(i.messages(spread(event_stream(i))))
     out = scratch_path(i.spark, "validated")
     writer = clean.select("site_id", "topic", "seq", "accepted", *S.SLOTS, validation.FLAG).writeStream.format("parquet")
     writer = writer.option("path", out).option("checkpointLocation", scratch_path(i.spark, "checkpoint"))

@@ -62,9 +62,22 @@ def materialise(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Share out the rows of a few big file splits before work that is heavy per row; many splits stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming:  # its splits are not known before a batch runs
+        return df.repartition(cores)
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def by_folder(df: DataFrame, *columns: str) -> DataFrame:
+    """Bring the rows of an output folder together, so that a write leaves few files.
+
+    AQE sizes the tasks and splits busy folders. Batches of a stateful stream run without it, where the hint would do nothing
+    and every task write to every folder.
+    """
+    if df.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
+        return df.hint("rebalance", *columns)
+    return df.repartition(*columns)
+
+
 def max_series_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(MAX_SERIES_ROWS, str(DEFAULT_MAX_SERIES_ROWS)))
 

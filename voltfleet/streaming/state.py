@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections import deque
 from collections.abc import Iterator
 
@@ -25,8 +26,12 @@ _MAY_REST = {
     for i, field in enumerate(spec.numeric)
     if field.name in S.ZERO_IS_NORMAL
 }
-#: The last accepted values per slot, newest last, one after another.
-STATE = T.StructType([T.StructField(name, T.ArrayType(T.DoubleType())) for name in S.SLOTS])
+#: Series that share a hash are stepped together: a call of the state function costs far more than a row. A stream must keep
+#: this number for as long as its checkpoint lives.
+BUCKETS = 1024
+_SERIES, _BUCKET = "_series", "_bucket"
+#: Per series of a bucket the last accepted values of every slot, newest last, pickled.
+STATE = T.StructType([T.StructField("histories", T.BinaryType())])
 
 
 def _is_frozen(topic: str, history: list[deque]) -> bool:
@@ -37,11 +42,11 @@ def _is_frozen(topic: str, history: list[deque]) -> bool:
     return False
 
 
-def _advance(rows: pd.DataFrame, topic: str, history: list[deque]) -> tuple[list, list, list]:
+def _advance(rows: list, oks: list, topic: str, history: list[deque]) -> tuple[list, list, list]:
     """Run the rows of one series through its history: values, accepted, frozen."""
     width = len(S.TOPICS[topic].numeric)
     results, accepted, frozen = [], [], []
-    for sent, ok in zip(rows["values"].tolist(), rows["ok"].tolist()):
+    for sent, ok in zip(rows, oks, strict=True):
         values = [float(v) for v in sent[:width]]
         gaps = [slot for slot, v in enumerate(values) if v != v]
         good = ok and not (gaps and not history[0])
@@ -56,58 +61,68 @@ def _advance(rows: pd.DataFrame, topic: str, history: list[deque]) -> tuple[list
     return results, accepted, frozen
 
 
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     # A micro-batch is bounded by the source's rate limit; its rows come unordered.
-    parts = list(batches)
-    rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-    if not rows["seq"].is_monotonic_increasing:
-        rows = rows.sort_values("seq", kind="stable")
-    stored = state.get if state.exists else [[]] * _WIDTH
-    history = [deque(values, maxlen=S.FREEZE_WINDOW) for values in stored]
-    if key[-1] in S.TOPICS:
-        values, accepted, frozen = _advance(rows, key[-1], history)
-    else:
-        values, accepted, frozen = rows["values"].tolist(), False, False
-    state.update(tuple(list(h) for h in history))
-    out = {name: rows[name].to_numpy() for name in rows.columns if name not in ("values", "ok")}
-    yield pd.DataFrame(out | {"values": values, "accepted": accepted, "frozen": frozen})
+    rows = pd.concat(list(batches), ignore_index=True).sort_values([_SERIES, "seq"], kind="stable", ignore_index=True)
+    histories = pickle.loads(state.get[0]) if state.exists else {}
+    names, topics, sent = rows[_SERIES].tolist(), rows["topic"].tolist(), rows["values"].tolist()
+    ok = rows["ok"].tolist()
+    starts = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]]
+    values, accepted, frozen = [], [], []
+    for begin, end in zip(starts, [*starts[1:], len(names)], strict=True):
+        topic = topics[begin]
+        history = [deque(v, maxlen=S.FREEZE_WINDOW) for v in histories.get(names[begin], [[]] * _WIDTH)]
+        if topic in S.TOPICS:
+            made = _advance(sent[begin:end], ok[begin:end], topic, history)
+        else:
+            made = sent[begin:end], [False] * (end - begin), [False] * (end - begin)
+        for out, new in zip((values, accepted, frozen), made, strict=True):
+            out.extend(new)
+        histories[names[begin]] = [list(h) for h in history]
+    state.update((pickle.dumps(histories),))
+    yield pd.DataFrame({"rest": rows["rest"], "values": values, "accepted": accepted, "frozen": frozen})
 
 
 def judged(messages: DataFrame, keys=("site_id", "topic")) -> DataFrame:
     """Decoded stream rows with ``accepted``, filled slots and ``anomaly_flag``.
 
     Everything that concerns one message alone stays in built-in expressions; the
-    state function only does what needs the past. Its state is five numbers per
-    field and series.
+    state function only does what needs the past. It runs once per bucket of series,
+    and its state is five numbers per field and series.
     """
     ship_package(messages.sparkSession)
     decoded = validation.fill_defaults(validation.decode(messages))
     rows = validation.reject_reasons(decoded).drop("bad_fields")
     rows = rows.withColumn("reasons", F.array_join("reasons", "; "))
-    # Each column costs time per series, so what the state does not need crosses to Python as one text.
+    # Each column costs time per call, so what the state does not need crosses to Python as one text.
     fixed = [*dict.fromkeys([*keys, "topic", "seq"])]
-    rest = [f for f in rows.schema.fields if f.name not in (*fixed, *S.SLOTS)]
+    rest = [f for f in rows.schema.fields if f.name not in S.SLOTS]
     nan = F.lit(float("nan"))
+    by_topic = [*dict.fromkeys([*keys, "topic"])]
     slim = rows.select(
-        *fixed,
+        F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias(_BUCKET),
+        F.to_json(F.struct(*by_topic)).alias(_SERIES),
+        "topic",
+        "seq",
         F.array(*[F.coalesce(v, nan) for v in S.SLOTS]).alias("values"),
         (F.col("reasons") == "").alias("ok"),
         F.to_json(F.struct(*[_as_text(f) for f in rest]), {"ignoreNullFields": "true"}).alias("rest"),
     )
     out = T.StructType(
-        [slim.schema[c] for c in (*fixed, "rest")]
-        + [
+        [
+            slim.schema["rest"],
             T.StructField("values", T.ArrayType(T.DoubleType())),
             T.StructField("accepted", T.BooleanType()),
             T.StructField("frozen", T.BooleanType()),
         ]
     )
-    stepped = slim.groupBy(*keys).applyInPandasWithState(_step, out, STATE, "append", GroupStateTimeout.NoTimeout)
+    stepped = slim.groupBy(_BUCKET).applyInPandasWithState(_step, out, STATE, "append", GroupStateTimeout.NoTimeout)
     carried = T.StructType([_text_field(f) for f in rest])
     unpacked = with_columns_once(stepped, {"rest": F.from_json("rest", carried)})
-    slots = {v: F.nanvl(F.get("values", i), F.lit(None).cast("double")) for i, v in enumerate(S.SLOTS)}
-    back = {f.name: _from_text(f) for f in rest}
-    flat = unpacked.withColumns(slots | back).drop("rest", "values")
+    slots = [F.nanvl(F.get("values", i), F.lit(None).cast("double")).alias(v) for i, v in enumerate(S.SLOTS)]
+    back = {f.name: _from_text(f).alias(f.name) for f in rest}
+    others = [column for name, column in back.items() if name not in fixed]
+    flat = unpacked.select(*[back[c] for c in fixed], "accepted", "frozen", *slots, *others)
     return flat.withColumn(validation.FLAG, validation.outlier() | F.col("frozen")).drop("frozen", "flag_in")
 
 
