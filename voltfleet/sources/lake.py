@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voltfleet.functions.timeparts import date_parts, epoch_seconds
 from voltfleet.operators.aggregates import latest
+from voltfleet.session import by_folder
 
 PARTITIONS = ("topic", "year", "month", "day", "hour")
 
@@ -43,8 +44,8 @@ def write(records: DataFrame, root: str, mode: str = "append", depth: int | None
     """Write records under ``root``. ``depth`` 4 stops at the day, for topics with little data per hour; all writers of a lake
     use one depth, that of the first, which is 5 unless it says otherwise.
 
-    Rebalancing by the partition columns gives each folder few files, and lets AQE split the folder of a busy hour over several
-    tasks. Every write gets folders of its own below these, so batch and stream writers share a lake; those of a named
+    The rows of a folder are brought together first, which gives each few files; with AQE the folder of a busy hour is split
+    over several tasks. Every write gets folders of its own below these, so batch and stream writers share a lake; those of a named
     ``batch`` are replaced when the batch is run again.
     """
     spark = records.sparkSession
@@ -53,7 +54,7 @@ def write(records: DataFrame, root: str, mode: str = "append", depth: int | None
         raise ValueError(f"the lake at {root} has {known} partition folders, not {depth}")
     parts = PARTITIONS[: known or depth or len(PARTITIONS)]
     rows = with_partitions(last_per_second(records)).withColumn("batch", F.lit(uuid.uuid4().hex if batch is None else str(batch)))
-    rows = rows.hint("rebalance", *parts).sortWithinPartitions(*parts, "site_id", "time")
+    rows = by_folder(rows, *parts).sortWithinPartitions(*parts, "site_id", "time")
     writer = rows.write.mode(mode).option("maxRecordsPerFile", rows_per_file)
     if batch is not None and mode == "append":
         writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")

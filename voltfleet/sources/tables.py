@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voltfleet import schemas as S
 from voltfleet.operators.aggregates import keep_first
 from voltfleet.operators.tables import site_assets
-from voltfleet.session import path_exists
+from voltfleet.session import by_folder, path_exists
 
 
 def create(spark: SparkSession, root: str, prefix: str = "") -> None:
@@ -86,13 +86,13 @@ def insert_ignore(batch: DataFrame, root: str, name: str, order=("seq",)) -> Non
     existing = read(spark, root, name).filter(F.col("date").isin(days))
     wanted = [f.name for f in spark.createDataFrame([], columns).schema]
     fresh = with_declared_columns(new_rows(dated, existing, list(keys), order), name)
-    fresh = fresh.select(*wanted, "date").hint("rebalance", "date")
+    fresh = by_folder(fresh.select(*wanted, "date"), "date")
     fresh.sortWithinPartitions("date", *keys).write.mode("append").partitionBy("date").parquet(f"{root}/{name}")
 
 
 def append_run(predictions: DataFrame, root: str) -> None:
     """Add a forecast run. Runs are told apart by ``created_at``, so the same hours may be forecast again."""
-    dated = predictions.withColumn("date", F.to_date("created_at")).hint("rebalance", "date")
+    dated = by_folder(predictions.withColumn("date", F.to_date("created_at")), "date")
     dated.write.mode("append").partitionBy("date").parquet(f"{root}/predictions")
 
 
