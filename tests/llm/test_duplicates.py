@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from llm_helpers import prose, spark_rows, sql_rows
@@ -237,6 +239,49 @@ def test_shards_of_one_anchor_merge(monkeypatch, shard):
     assert got == {(k, s) for k, s, string in every if first[string] != (k, s)}
 
 
+def surroundings(n):
+    """Blobs of one bucket, as a task gets them: surroundings whose keys come several times, some with equal texts."""
+    rng = np.random.default_rng(6)
+    key = rng.integers(0, n // 3, n).astype(np.uint64)
+    many = np.full(n, 60, np.uint8)
+    texts = rng.integers(97, 100, (n // 3, 159)).astype(np.uint8)[key.astype(int)]
+    texts[rng.random(n) < 0.5, 130:] = 120
+    seen = np.array([hash(t.tobytes()) for t in texts]).view(np.uint64)
+    d, row, start = rng.permutation(n), np.zeros(n, np.int64), rng.integers(0, 9, n).astype(np.int32)
+    for o in np.array_split(np.arange(n), 20):
+        plain = suffix_dedup.common.pack(texts[o])
+        blob = suffix_dedup.common.pack(key[o], seen[o], d[o], row[o], start[o], many[o])
+        yield pa.record_batch([pa.array([3], pa.int32()), pa.array([blob], pa.binary()), pa.array([plain], pa.binary())], ["to", "rows", "texts"])
+
+
+def removed_strings(batches):
+    out = []
+    for batch in batches:
+        for blob in batch.column("rows").to_pylist():
+            d, _, start, many = suffix_dedup.common.unpack(blob, "i8", "i8", "i4", "u1")
+            out += [(a, s) for a, b, m in zip(d.tolist(), start.tolist(), many.tolist(), strict=True) for s in range(b, b + m)]
+    return sorted(out)
+
+
+def test_a_bucket_in_several_passes_gives_the_same(monkeypatch):
+    whole = removed_strings(suffix_dedup._removed(4, surroundings(900)))
+    monkeypatch.setattr(suffix_dedup, "PASS", 5000)
+    assert removed_strings(suffix_dedup._removed(4, surroundings(900))) == whole
+    assert len(whole) > 10_000
+
+
+def test_a_bucket_is_not_unpacked_whole():
+    """A task holds a part of its bucket and a small suffix array at a time, and sends runs of strings, not each string."""
+    rows = list(surroundings(120_000))
+    tracemalloc.start()
+    out = list(suffix_dedup._removed(4, iter(rows)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 90 << 20
+    entries = sum(len(suffix_dedup.common.unpack(blob, "i8", "i8", "i4", "u1")[0]) for batch in out for blob in batch.column("rows").to_pylist())
+    assert 40_000 < entries < 240_000
+
+
 def test_kept_texts_are_whole_characters(spark):
     text = "é" * 120
     df = spark.createDataFrame([(1, text, "x"), (2, "ab" + text + "é", "y")], "doc_id bigint, text string, n string")

@@ -17,11 +17,12 @@ the same result. Null texts are empty. Texts under 100 bytes lose nothing. Posit
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,15 +34,17 @@ LENGTH = 100
 PIECE = 32
 PIECES = LENGTH - PIECE + 1
 #: Text looked at together when anchors and surroundings are gathered.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Times an anchor may stand in a chunk before its places are spread.
 FREQUENT = 32
 #: Anchors to a task, on average; bytes of one suffix array.
-ANCHORS, SHARD = 1_000_000, 1 << 20
+ANCHORS, SHARD = 1_000_000, 1 << 18
+#: Bytes of surroundings and their entries that a task unpacks at a time; those of one anchor come together.
+PASS = 8 << 20
 #: Stands for a null id, before all others.
 LEAST_ID = -(2**63)
-#: Bits of a place in the values whose minimum is sought.
-PLACE = 20
+#: Bits of a place in the values whose minimum is sought; so many bytes are looked through at a time.
+PLACE = 18
 
 
 def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,6 +134,15 @@ def _chunks(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def _each(work: Callable[[pa.RecordBatch], pa.RecordBatch], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The work on each chunk; what it took is free when the next rows come."""
+    for batch in _chunks(rows):
+        out = work(batch)
+        del batch
+        common.release()
+        yield out
+
+
 def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False)
 
@@ -157,25 +169,24 @@ SHARED = np.uint8(128)
 
 
 def _find_anchors(shuffles: int):
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _chunks(rows):
-            key, which, start, many = Block(_bytes(batch)).anchors()
-            d, row = _column(batch, "d")[which], _column(batch, "row")[which]
-            to = key % np.uint64(shuffles)
-            mark = many.astype(np.uint8)
-            order = np.argsort(key, kind="stable")
-            run_ = np.cumsum(np.append(True, key[order][1:] != key[order][:-1])) - 1 if len(key) else order
-            frequent = np.zeros(len(key), bool)
-            frequent[order] = np.bincount(run_)[run_] > FREQUENT if len(key) else False
-            head = np.zeros(len(key), bool)
-            if len(key):
-                head[order[np.append(True, run_[1:] != run_[:-1])]] = True
-            mark[frequent] |= SHARED
-            away = frequent & ~head
-            to[away] = _spread(int(away.sum())) % np.uint64(shuffles)
-            yield _routed(to.astype(np.int64), shuffles, key, d, row, start.astype(np.int32), mark)
-
-    return run
+    def found(batch: pa.RecordBatch) -> pa.RecordBatch:
+        key, which, start, many = Block(_bytes(batch)).anchors()
+        d, row = _column(batch, "d")[which], _column(batch, "row")[which]
+        to = key % np.uint64(shuffles)
+        mark = many.astype(np.uint8)
+        order = np.argsort(key, kind="stable")
+        run_ = np.cumsum(np.append(True, key[order][1:] != key[order][:-1])) - 1 if len(key) else order
+        frequent = np.zeros(len(key), bool)
+        frequent[order] = np.bincount(run_)[run_] > FREQUENT if len(key) else False
+        head = np.zeros(len(key), bool)
+        if len(key):
+            head[order[np.append(True, run_[1:] != run_[:-1])]] = True
+        mark[frequent] |= SHARED
+        away = frequent & ~head
+        to[away] = _spread(int(away.sum())) % np.uint64(shuffles)
+        return _routed(to.astype(np.int64), shuffles, key, d, row, start.astype(np.int32), mark)
+
+    return partial(_each, found)
 
 
 def _gather(rows: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
@@ -243,37 +254,36 @@ PLACED = ("u8", "u8", "i8", "i8", "i4", "u1")
 def _surroundings(shuffles: int):
     """Of each repeated anchor the text that holds its strings, once for equal ones of a chunk."""
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _chunks(rows):
-            texts = _bytes(batch)
-            found = [_entries(p, "u8", "i4", "u1") for p in batch.column("part").to_pylist()]
-            which = np.repeat(np.arange(len(texts)), [len(f[0]) for f in found])
-            key, start, many = (np.concatenate(x) for x in zip(*found, strict=True))
-            base = np.cumsum([0] + [len(t) for t in texts])
-            data = np.frombuffer(b"".join(texts), np.uint8)
-            begin = base[which] + start
-            size = many.astype(np.int64) + LENGTH - 1
-            seen = _hash(data, begin, size)
-            d, row = _column(batch, "d")[which], _column(batch, "row")[which]
-            order = np.lexsort((start, row, d, seen, key))
-            # A place that comes again is that of a repeated row, not a later one.
-            order = order[_new(*(x[order] for x in (key, seen, d, row, start)))]
-            key, seen, d, row, start, many, begin, size = (x[order] for x in (key, seen, d, row, start, many, begin, size))
-            first = np.append(True, (key[1:] != key[:-1]) | (seen[1:] != seen[:-1])) if len(key) else np.zeros(0, bool)
-            to = key % np.uint64(shuffles)
-            to[~first] = _spread(int((~first).sum())) % np.uint64(shuffles)
-            # Entries without text are repeats of one that goes on.
-            wide = np.where(first, size, 0)
-            order = np.argsort(to, kind="stable")
-            cuts = np.searchsorted(to[order], np.arange(shuffles + 1, dtype=np.uint64))
-            used, blobs, plain = np.flatnonzero(np.diff(cuts)).tolist(), [], []
-            for p in used:
-                o = order[cuts[p] : cuts[p + 1]]
-                blobs.append(common.pack(key[o], seen[o], d[o], row[o], start[o], np.where(first[o], many[o], many[o] | SHARED)))
-                plain.append(common.pack(data[_ranges(begin[o], wide[o])], level=7))
-            yield pa.record_batch([pa.array(used, pa.int32()), pa.array(blobs, pa.binary()), pa.array(plain, pa.binary())], ["to", "rows", "texts"])
-
-    return run
+    def around(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = _bytes(batch)
+        found = [_entries(p, "u8", "i4", "u1") for p in batch.column("part").to_pylist()]
+        which = np.repeat(np.arange(len(texts)), [len(f[0]) for f in found])
+        key, start, many = (np.concatenate(x) for x in zip(*found, strict=True))
+        base = np.cumsum([0] + [len(t) for t in texts])
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        begin = base[which] + start
+        size = many.astype(np.int64) + LENGTH - 1
+        seen = _hash(data, begin, size)
+        d, row = _column(batch, "d")[which], _column(batch, "row")[which]
+        order = np.lexsort((start, row, d, seen, key))
+        # A place that comes again is that of a repeated row, not a later one.
+        order = order[_new(*(x[order] for x in (key, seen, d, row, start)))]
+        key, seen, d, row, start, many, begin, size = (x[order] for x in (key, seen, d, row, start, many, begin, size))
+        first = np.append(True, (key[1:] != key[:-1]) | (seen[1:] != seen[:-1])) if len(key) else np.zeros(0, bool)
+        to = key % np.uint64(shuffles)
+        to[~first] = _spread(int((~first).sum())) % np.uint64(shuffles)
+        # Entries without text are repeats of one that goes on.
+        wide = np.where(first, size, 0)
+        order = np.argsort(to, kind="stable")
+        cuts = np.searchsorted(to[order], np.arange(shuffles + 1, dtype=np.uint64))
+        used, blobs, plain = np.flatnonzero(np.diff(cuts)).tolist(), [], []
+        for p in used:
+            o = order[cuts[p] : cuts[p + 1]]
+            blobs.append(common.pack(key[o], seen[o], d[o], row[o], start[o], np.where(first[o], many[o], many[o] | SHARED)))
+            plain.append(common.pack(data[_ranges(begin[o], wide[o])], level=7))
+        return pa.record_batch([pa.array(used, pa.int32()), pa.array(blobs, pa.binary()), pa.array(plain, pa.binary())], ["to", "rows", "texts"])
+
+    return partial(_each, around)
 
 
 def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -382,14 +392,18 @@ class Shard:
         shared = common_prefixes(data, begin, count, before)[place[order]]
         group = np.cumsum(shared < LENGTH)
         owner, place = owner[order], place[order]
-        d, row, s = d[owner], row[owner], start[owner] + place - begin[owner]
-        by = np.lexsort((s, row, d, group))
-        group, self.d, self.row, self.s, place = group[by], d[by], row[by], s[by], place[by]
+        s = start[owner] + place - begin[owner]
+        by = np.lexsort((s, row[owner], d[owner], group))
+        group, owner, self.s, place = group[by], owner[by], s[by], place[by]
+        self.d, self.row = d[owner], row[owner]
         first = np.append(True, group[1:] != group[:-1])
-        lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-        again = (self.d != self.d[lead]) | (self.row != self.row[lead]) | (self.s != self.s[lead])
-        self.removed = again
         self.heads = np.flatnonzero(first)
+        lead = self.heads[np.cumsum(first) - 1]
+        again = (self.d != self.d[lead]) | (self.row != self.row[lead]) | (self.s != self.s[lead])
+        gone = np.sort(place[again])
+        owner = np.searchsorted(begin, gone, side="right") - 1
+        #: Places of strings that start earlier, those of a surrounding in a row.
+        self.removed = d[owner], row[owner], start[owner] + gone - begin[owner]
         self.data, self.place = data, place
 
     def strings(self) -> np.ndarray:
@@ -426,7 +440,7 @@ def _repeats(data: np.ndarray, begin: np.ndarray, size: np.ndarray, key: np.ndar
         while at < b:
             to = min(b, max(at + 1, int(np.searchsorted(ends, ends[at] - size[at] + SHARD, side="right"))))
             shard = Shard(data[_ranges(begin[at:to], size[at:to])], size[at:to], d[at:to], row[at:to], start[at:to])
-            yield shard.d[shard.removed], shard.row[shard.removed], shard.s[shard.removed]
+            yield shard.removed
             if (at, to) != (a, b):  # one anchor, several shards
                 strings = shard.strings()
                 places = [x[shard.heads] for x in (shard.d, shard.row, shard.s)]
@@ -448,35 +462,83 @@ def _repeats(data: np.ndarray, begin: np.ndarray, size: np.ndarray, key: np.ndar
             at = to
 
 
-def _removed(shuffles: int, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs (first string, number) to remove, from the surroundings of a shard, on their way to their documents."""
-    held: dict[int, list[tuple[bytes, bytes]]] = {}
+def _runs(d: np.ndarray, row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Strings that follow each other as runs (d, row, first string, number), of ``PIECES`` strings at most."""
+    at = np.arange(len(d))
+    first = _new(d, row, start - at)
+    begin = np.flatnonzero(first)
+    first |= (at - begin[np.cumsum(first) - 1]) % PIECES == 0
+    begin = np.flatnonzero(first)
+    return d[begin], row[begin], start[begin].astype(np.int32), np.diff(np.append(begin, len(d))).astype(np.uint8)
+
+
+def _passes(parts: list[tuple[bytes, bytes]]) -> Iterator[list[np.ndarray]]:
+    """Columns of a bucket's entries and the texts of whole ones, about ``PASS`` bytes at a time; an anchor's are all in one."""
+    size = sum(zstandard.frame_content_size(x) for part in parts for x in part)
+    passes = max(1, -(-size // PASS))
+    for k in range(passes):
+        yield _unpacked(parts, k, passes)
+
+
+def _unpacked(parts: list[tuple[bytes, bytes]], k: int, passes: int) -> list[np.ndarray]:
+    found: list[list[np.ndarray]] = []
+    for blob, plain in parts:
+        columns = common.unpack(blob, *PLACED)
+        own = mix(columns[0]) % np.uint64(passes) == k
+        texts = common.unpack(plain, "u1")[0]
+        found.append([c[own] for c in columns] + [texts[np.repeat(own, _sizes(columns[5]))]])
+    return [np.concatenate(x) for x in zip(*found, strict=True)]
+
+
+def _sizes(many: np.ndarray) -> np.ndarray:
+    """Bytes of text that come with an entry."""
+    return np.where(many & SHARED, 0, many.astype(np.int64) + LENGTH - 1)
+
+
+def _buckets(rows: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bytes, bytes]]]:
+    """The values of each bucket; rows come in order of their bucket, so that one is held at a time."""
+    last, held = None, []
     for batch in rows:
         for to, blob, plain in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            held.setdefault(to, []).append((blob, plain))
-    while held:
-        parts = held.popitem()[1]
-        key, seen, d, row, start, many = (np.concatenate(x) for x in zip(*(common.unpack(b, *PLACED) for b, _ in parts), strict=True))
-        data = np.concatenate([common.unpack(t, "u1")[0] for _, t in parts])
-        del parts
-        whole = (many & SHARED) == 0
-        many = (many & ~SHARED).astype(np.int64)
-        size = np.where(whole, many + LENGTH - 1, 0)
-        begin = np.cumsum(size) - size
-        gone = [(d[~whole], row[~whole], start[~whole].astype(np.int64), many[~whole])]
-        o = np.flatnonzero(whole)
-        o = o[np.lexsort((start[o], row[o], d[o], seen[o], key[o]))]
-        first = np.append(True, (key[o][1:] != key[o][:-1]) | (seen[o][1:] != seen[o][:-1])) if len(o) else np.zeros(0, bool)
-        lead = o[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(o) else o
-        again = o[(d[o] != d[lead]) | (row[o] != row[lead]) | (start[o] != start[lead])]
-        gone.append((d[again], row[again], start[again].astype(np.int64), many[again]))
-        o = o[first]
-        run = np.cumsum(np.append(True, key[o][1:] != key[o][:-1])) - 1 if len(o) else o
-        o = o[np.bincount(run)[run] > 1] if len(o) else o
-        for gd, gr, gs in _repeats(data, begin[o], size[o], key[o], d[o], row[o], start[o].astype(np.int64)):
-            gone.append((gd, gr, gs, np.ones(len(gd), np.int64)))
-        gd, gr, gs, gm = (np.concatenate(x) for x in zip(*gone, strict=True))
-        yield _to_documents(shuffles, gd, gr, gs.astype(np.int32), gm.astype(np.uint8))
+            if held and to != last:
+                yield held
+                held = []
+            last = to
+            held.append((blob, plain))
+    if held:
+        yield held
+
+
+def _removed(shuffles: int, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs (first string, number) to remove, from the surroundings of a shard, on their way to their documents."""
+    for parts in _buckets(rows):
+        gone: list[tuple] = []
+        for found in _passes(parts):
+            gone.extend(_gone(*found))
+            del found
+            common.release()
+        yield _to_documents(shuffles, *(np.concatenate(x) for x in zip(*gone, strict=True)))
+    common.release()
+
+
+def _gone(key: np.ndarray, seen: np.ndarray, d: np.ndarray, row: np.ndarray, start: np.ndarray, many: np.ndarray, data: np.ndarray) -> Iterator[tuple]:
+    """Runs to remove among the entries of some anchors."""
+    whole = (many & SHARED) == 0
+    size = _sizes(many)
+    many = many & ~SHARED
+    begin = np.cumsum(size) - size
+    yield d[~whole], row[~whole], start[~whole], many[~whole]
+    o = np.flatnonzero(whole)
+    o = o[np.lexsort((start[o], row[o], d[o], seen[o], key[o]))]
+    first = np.append(True, (key[o][1:] != key[o][:-1]) | (seen[o][1:] != seen[o][:-1])) if len(o) else np.zeros(0, bool)
+    lead = o[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(o) else o
+    again = o[(d[o] != d[lead]) | (row[o] != row[lead]) | (start[o] != start[lead])]
+    yield d[again], row[again], start[again], many[again]
+    o = o[first]
+    run = np.cumsum(np.append(True, key[o][1:] != key[o][:-1])) - 1 if len(o) else o
+    o = o[np.bincount(run)[run] > 1] if len(o) else o
+    for found in _repeats(data, begin[o], size[o], key[o], d[o], row[o], start[o].astype(np.int64)):
+        yield _runs(*found)
 
 
 def _spans(part: bytes | None, length: int) -> list[tuple[int, int]]:
@@ -492,7 +554,7 @@ def _spans(part: bytes | None, length: int) -> list[tuple[int, int]]:
     return list(zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True))
 
 
-def _keep(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keep(as_text: bool, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in common.batches(rows):
         n, removed, spans, sums, kept = [], [], [], [], []
         for text, part in zip(_bytes(batch), batch.column("part").to_pylist(), strict=True):
@@ -506,14 +568,16 @@ def _keep(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             removed.append(len(text) - len(rest))
             spans.append(len(cut))
             sums.append(hashlib.sha256(rest).hexdigest())
-            kept.append(rest)
-        new = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sums), pa.array(kept, pa.binary())]
+            kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
+        kind = pa.string() if as_text else pa.binary()
+        new = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sums), pa.array(kept, kind)]
         yield pa.record_batch([*batch.columns[:3], *new], [*batch.schema.names[:3], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def deduplicated(docs: DataFrame, carried: list[str] | None = None) -> DataFrame:
+def deduplicated(docs: DataFrame, carried: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """A row per document: d and row (its id, null as the least number, and the hash of its text), doc_id, n_bytes, n_removed,
-    n_spans, kept_sha256, kept (the remaining bytes) and, as fields of ``more``, columns that are only carried along."""
+    n_spans, kept_sha256, kept (the remaining bytes, or as text their whole characters) and, as fields of ``more``, columns that
+    are only carried along."""
     spark = docs.sparkSession
     common.prepare(spark)
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID))
@@ -527,28 +591,21 @@ def deduplicated(docs: DataFrame, carried: list[str] | None = None) -> DataFrame
     marks = found.repartition(shuffles, "to").mapInArrow(_repeated(shuffles), routed)
     marks = marks.repartition(shuffles, "to").mapInArrow(_by_document("u8", "i4", "u1"), by_document)
     placed = texts.join(marks, ["d", "row"]).select("d", "row", "more", "text", "part")
-    around = placed.mapInArrow(_surroundings(shuffles), f"{routed}, texts binary").repartition(shuffles, "to")
+    around = placed.mapInArrow(_surroundings(shuffles), f"{routed}, texts binary").repartition(shuffles, "to").sortWithinPartitions("to")
     gone = around.mapInArrow(partial(_removed, shuffles), routed)
     gone = gone.repartition(shuffles, "to").mapInArrow(_by_document("i4", "u1"), by_document)
     both = texts.join(gone, ["d", "row"], "left").select("d", "row", "more", "text", "part")
     kind = both.schema["more"].dataType.simpleString()
-    kept = both.mapInArrow(
-        _keep, f"d bigint, row bigint, more {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
-    )
+    counts = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    kept = both.mapInArrow(partial(_keep, as_text), f"d bigint, row bigint, more {kind}, {counts}, kept {'string' if as_text else 'binary'}")
     return kept.withColumn("doc_id", F.when(F.col("d") != LEAST_ID, F.col("d")))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with what is left of their texts; all columns stay. A character that a cut would split goes whole."""
     carried = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = deduplicated(docs, carried).select("doc_id", "kept", "more")
-
-    def decode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            texts = pa.array([k.decode("utf-8", "ignore") for k in batch.column("kept").to_pylist()], pa.string())
-            yield pa.record_batch([batch.column("doc_id"), texts, batch.column("more")], ["doc_id", "text", "more"])
-
-    texts = out.mapInArrow(decode, f"doc_id bigint, text string, more {out.schema['more'].dataType.simpleString()}")
+    # Decoded where the bytes are cut: a second Python step would hold a second worker a task.
+    texts = deduplicated(docs, carried, as_text=True).withColumnRenamed("kept", "text")
     return texts.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"more.{c}").alias(c) for c in docs.columns])
 
 
